@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, secrets, warc
+from . import decontaminate, language_id, licenses, line_dedup, mixing, ngram_join, quality_model, quality_rules, secrets, warc
 from .frames import shared_folder
 
 
@@ -13,6 +13,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(_table(spark, sf_dir, "documents"))
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -42,6 +46,24 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    scored = quality_model.score(docs, quality_model.fit(docs, labels))
+    return scored.select("doc_id", quality_model.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    profiles = language_id.fit(docs.filter(~quality_model.held_out(F.col("doc_id"))))
+    return language_id.predict(docs, profiles).select("doc_id", quality_model.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ppl"
+    )
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.archive_round_trip(_table(spark, sf_dir, "pages"), shared_folder(spark))
     return back.filter(F.col("kind") != "gap").select(
@@ -49,9 +71,53 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_secret_scan": op2_secret_scan, "op3_license_scan": op3_license_scan, "op7_warc": op7_warc}
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.later_lines(_table(spark, sf_dir, "documents"))
+
+
+#: Target weights of the mix; sources that aren't named weigh 1.
+MIX_WEIGHTS = {"src0": 4, "src1": 3, "src2": 2, "src3": 2}
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(_table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), MIX_WEIGHTS)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join,
+        op2_secret_scan,
+        op3_license_scan,
+        op4_quality_classifier,
+        op5_language_id,
+        op6_quality_rules,
+        op7_warc,
+        op8_decontamination,
+        op9_line_dedup,
+        op10_mixing,
+    )
+}
 
 ORACLES = {
+    "op1_ngram_jaccard_join": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\x09-\\x0D]+') AS ws FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+        e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+        r AS (SELECT doc_id AS root, doc_id FROM documents UNION SELECT r.root, e.y FROM r JOIN e ON e.x = r.doc_id)
+        SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.root)::BIGINT AS component_id
+        FROM documents d LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY ALL
+    """,
     "op7_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages),
              last AS (SELECT sha, max(page_id) AS last_id FROM p GROUP BY sha)
