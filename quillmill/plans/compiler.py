@@ -16,6 +16,7 @@ from itertools import groupby
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.lexers import JAVA_PATTERNS
 from ..operators import symbols
@@ -75,7 +76,7 @@ def _steps(rules: tuple[Rule, ...]) -> Iterator[tuple[str | None, list[Rule]]]:
 def _arrow_step(rules: list[Rule]):
     """A function of Arrow columns that does the rules in order; texts that none of them is for never get here."""
 
-    @F.arrow_udf("string")
+    @F.arrow_udf(StringType())
     def run(path: pa.Array, text: pa.Array) -> pa.Array:
         out = []
         for p, t in zip(path.to_pylist(), text.to_pylist(), strict=True):

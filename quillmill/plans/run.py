@@ -10,6 +10,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..operators.edits import unified_diff
 from ..sources import sinks
@@ -58,7 +59,7 @@ def summary_line(row, elapsed_ms: int = 0) -> str:
     return f"Done: {row['files_seen']} file(s) seen, {row['files_changed']} changed, {row['bytes_before']} → {row['bytes_after']} bytes in {elapsed_ms} ms"
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _diff(path: pa.Array, before: pa.Array, after: pa.Array) -> pa.Array:
     return pa.array([unified_diff(*x) for x in zip(path.to_pylist(), before.to_pylist(), after.to_pylist(), strict=True)], pa.string())
 
