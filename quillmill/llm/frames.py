@@ -50,11 +50,23 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/quillmill-{uuid.uuid4().hex}"
 
 
+#: With this setting on, a query's shuffle files go when it ends, not when the driver next collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """``df`` written once below ``folder`` and read again: later uses neither recompute it nor depend on executors."""
+    """``df`` written once below ``folder`` and read again: later uses neither recompute it nor depend on executors.
+
+    What was shuffled for it is freed at once.
+    """
     spark = df.sparkSession
     path = f"{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    try:
+        spark.conf.set(_CLEANUP, "true")
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -79,24 +79,20 @@ def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     p = setjoin.plan(ids, extract(least), folder)
     cols = setjoin.columns(p, setjoin.rarity(p))
     table = setjoin.members(p, cols)
-    sets = stored(setjoin.class_sets(table), folder, "sets")
-    first = stored(table.groupBy("cls").agg(F.min(F.struct("doc", "line")).alias("at")), folder, "first")
 
-    linked = stored(setjoin.verified(setjoin.first_pairs(cols), sets), folder, "linked")
-    place = F.struct("doc", "line")
+    linked = stored(setjoin.verified(setjoin.first_pairs(cols), table), folder, "linked")
     # a pivot is the earliest of its column: a class that has a link to one is settled
     settled = linked.select(F.col("a").alias("cls"))
-    slim = cols.select("elem", "cls", "n", "pos", place.alias("at"))
-    unsettled = slim.join(cols.filter("cls = pivot").select(F.col("elem"), F.col("cls").alias("pivot")), "elem").filter("cls != pivot").drop("pivot").join(settled, "cls", "left_anti")
+    slim = cols.select("elem", "cls", "n", "pos", "doc", "line")
+    unsettled = cols.filter("cls != pivot").select(slim.columns).join(settled, "cls", "left_anti").select(slim.columns)
     unsettled = stored(unsettled, folder, "unsettled")
-    at_stake = unsettled.select("elem").distinct()
-    earlier = slim.join(at_stake, "elem", "left_semi")
-    more = setjoin.full_pairs(unsettled, earlier, F.col("y.at") < F.col("x.at"))
+    earlier = slim.join(unsettled.select("elem").distinct(), "elem", "left_semi").select(slim.columns)
+    more = setjoin.full_pairs(unsettled, earlier, F.struct("y.doc", "y.line") < F.struct("x.doc", "x.line"))
     more = more.join(linked.select("a", "b"), ["a", "b"], "left_anti")
-    late = stored(setjoin.verified(more, sets), folder, "late")
-    links = linked.select("a", "b", "common", "together").unionByName(late.select("a", "b", "common", "together"))
-    ends = links.join(first.select(F.col("cls").alias("b"), F.col("at").alias("b_at")), "b")
-    best = ends.groupBy(F.col("a").alias("cls")).agg(F.min(F.struct("b_at", (F.col("common") / F.col("together")).alias("sim"))).alias("m"))
+    late = stored(setjoin.verified(more, table), folder, "late")
+    links = linked.unionByName(late)
+    best = links.groupBy(F.col("a").alias("cls")).agg(F.min(F.struct(F.struct(F.col("b_doc").alias("doc"), F.col("b_line").alias("line")).alias("b_at"), (F.col("common") / F.col("together")).alias("sim"))).alias("m"))
+    first = table.groupBy("cls").agg(F.min(F.struct("doc", "line")).alias("at"))
     known = first.join(best, "cls", "left")
     rows = table.select("doc", "line", "cls").distinct().join(known, "cls")
     is_first = F.struct("doc", "line") == F.col("at")

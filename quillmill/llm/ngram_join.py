@@ -76,24 +76,22 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     p = setjoin.plan(ids, extract, folder)
     cols = setjoin.columns(p, setjoin.rarity(p))
     table = setjoin.members(p, cols)
-    sets = stored(setjoin.class_sets(table), folder, "sets")
 
-    linked = stored(setjoin.verified(setjoin.first_pairs(cols), sets), folder, "linked")
+    linked = stored(setjoin.verified(setjoin.first_pairs(cols), table), folder, "linked")
     tree = roots(linked.select(F.col("a").alias("cls"), F.col("b").alias("parent")), f"{folder}/tree")
-    known = cols.select("elem", "cls", "n", "pos", "doc").join(tree, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    known = cols.select("elem", "cls", "n", "pos", "doc", "line").join(tree, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     known = stored(known, folder, "known")
     open_ = known.groupBy("elem").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("elem")
     known = stored(known.join(open_, "elem", "left_semi"), folder, "open")
     order = F.struct("x.doc", "x.cls") < F.struct("y.doc", "y.cls")
     more = setjoin.full_pairs(known, known, (F.col("x.root") != F.col("y.root")) & order)
-    late = stored(setjoin.verified(more, sets), folder, "late")
+    late = stored(setjoin.verified(more, table), folder, "late")
 
     # classes by their smallest document, so that the least node of a component is its id
-    small = stored(table.groupBy("cls").agg(F.min("doc").alias("least")), folder, "classes")
-    name = lambda c: small.select(F.col("cls").alias(c), F.col("least").alias(f"n{c}"))
-    links = linked.select("a", "b").unionByName(late.select("a", "b")).join(name("a"), "a").join(name("b"), "b").select(F.col("na").alias("x"), F.col("nb").alias("y"))
+    links = linked.select("a_doc", "b_doc").unionByName(late.select("a_doc", "b_doc")).toDF("x", "y")
     ends = merged(links, f"{folder}/merge")
-    first = table.join(small, "cls").select(F.col("doc").alias("id"), F.col("n").alias("n_shingles"), "least")
+    small = table.groupBy("cls").agg(F.min("doc").alias("least"))
+    first = table.select("doc", "n", "cls").join(small, "cls").select(F.col("doc").alias("id"), F.col("n").alias("n_shingles"), "least")
     named = first.join(ends.select(F.col("cls").alias("least"), "root"), "least", "left").select("id", "n_shingles", F.coalesce("root", "least").alias("component_id"))
     # rows without shingles are not in the table
     empty = ids.filter("id IS NOT NULL").filter(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select("id", F.lit(0).cast("long").alias("n_shingles"), F.col("id").alias("component_id"))

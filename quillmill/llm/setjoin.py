@@ -208,7 +208,9 @@ def columns(p: Plan, heavy: Heavy) -> DataFrame:
     """Columns that hold two classes or more, a row for each class.
 
     (elem, cls, n, pos, doc, line) with the first place of the class, and the
-    column's earliest class as pivot, pivot_n.
+    column's earliest class likewise as pivot, pivot_n, pivot_doc, pivot_line.
+    All texts of a class have the same prefix, so its first place is the first
+    in the corpus.
     """
     extract, bits, shift = p.extract, p.block_bits, 64 - p.block_bits - 32
     shared = p.docs.sparkSession.sparkContext.broadcast(heavy)  # MOST_HEAVY at most
@@ -256,15 +258,17 @@ def columns(p: Plan, heavy: Heavy) -> DataFrame:
             for i in range(0, len(order), 65536):
                 o, q = order[i : i + 65536], pivot[i : i + 65536]
                 elem = np.uint64(block) << np.uint64(32) | rem[o].astype(np.uint64)
-                arrays = [elem.astype(np.int64), cls[o].astype(np.int64), n[o].astype(np.int64), pos[o].astype(np.int32), doc[o], line[o], cls[q].astype(np.int64), n[q].astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["elem", "cls", "n", "pos", "doc", "line", "pivot", "pivot_n"])
+                arrays = [elem.astype(np.int64), cls[o].astype(np.int64), n[o].astype(np.int64), pos[o].astype(np.int32), doc[o], line[o], cls[q].astype(np.int64), n[q].astype(np.int64), doc[q], line[q]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["elem", "cls", "n", "pos", "doc", "line", "pivot", "pivot_n", "pivot_doc", "pivot_line"])
 
     dealt = p.docs.mapInArrow(deal, "block int, rem binary, cls binary, doc binary, line binary, n binary, pos binary")
-    rows = _by_block(dealt).mapInArrow(meet, "elem long, cls long, n long, pos int, doc long, line int, pivot long, pivot_n long")
+    rows = _by_block(dealt).mapInArrow(meet, "elem long, cls long, n long, pos int, doc long, line int, pivot long, pivot_n long, pivot_doc long, pivot_line int")
     return stored(rows, p.folder, "columns")
 
 
 class Bloom(NamedTuple):
+    """A set of numbers that may hold a few more than were put in."""
+
     words: np.ndarray
 
     def has(self, ids: np.ndarray) -> np.ndarray:
@@ -280,8 +284,14 @@ class Bloom(NamedTuple):
             return mix(ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * np.uint64(k + 1)) & np.uint64(bits - 1)
 
 
-def bloom(ids: DataFrame, expected: int) -> Bloom:
-    """A filter of the one long column of ``ids``, 16 MB at most; built in parts by the tasks and merged by slices."""
+def place_keys(cls: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """One number for a class and its place."""
+    with np.errstate(over="ignore"):
+        return mix(cls.astype(np.uint64)) ^ mix(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.uint64))
+
+
+def bloom(places: DataFrame, expected: int) -> Bloom:
+    """A filter of the rows (cls, doc, line), 16 MB at most; built in parts by the tasks and merged by slices."""
     bits = 1 << int(np.clip(np.ceil(np.log2(max(1, 16 * expected))), 16, 27))
     slices = 1 << int(np.clip(np.log2(bits) - 16, 0, 8))
     width = bits // 64 // slices
@@ -289,7 +299,7 @@ def bloom(ids: DataFrame, expected: int) -> Bloom:
     def part(batches):
         words = np.zeros(bits // 64, np.uint64)
         for batch in batches:
-            x = np.unique(batch.column(0).to_numpy(zero_copy_only=False))
+            x = np.unique(place_keys(*(c.to_numpy(zero_copy_only=False) for c in batch.columns)))
             for k in range(3):
                 h = Bloom.hash(x, k, bits)
                 np.bitwise_or.at(words, h >> np.uint64(6), np.uint64(1) << (h & np.uint64(63)))
@@ -305,7 +315,7 @@ def bloom(ids: DataFrame, expected: int) -> Bloom:
                 own[i] = own[i] | x if i in own else x
         yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array([x.tobytes() for x in own.values()], pa.binary())], names=["slice", "bits"])
 
-    rows = ids.mapInArrow(part, "slice int, bits binary").repartition("slice").mapInArrow(merge, "slice int, bits binary").collect()
+    rows = places.mapInArrow(part, "slice int, bits binary").repartition("slice").mapInArrow(merge, "slice int, bits binary").collect()
     words = np.zeros(bits // 64, np.uint64)
     for i, raw in rows:
         words[i * width : (i + 1) * width] = np.frombuffer(raw, np.uint64)
@@ -313,37 +323,35 @@ def bloom(ids: DataFrame, expected: int) -> Bloom:
 
 
 def members(p: Plan, cols: DataFrame) -> DataFrame:
-    """(doc, line, cls, n, set) of every row that has a set; ``set`` is null where the class surely meets no other."""
+    """(doc, line, cls, n, set) of every row that has a set; ``set`` is there at the first place of a class that may meet another.
+
+    A few other rows have one too, as Bloom filters let some through.
+    """
     extract, expected = p.extract, cols.agg(F.approx_count_distinct("cls")).collect()[0][0]
-    shared = p.docs.sparkSession.sparkContext.broadcast(bloom(cols.select("cls"), expected))
+    shared = p.docs.sparkSession.sparkContext.broadcast(bloom(cols.select("cls", "doc", "line"), expected))
 
     def run(batches):
         for batch in batches:
             for s in extract(batch):
                 ids, sizes = class_ids(s), np.diff(s.bounds)
-                hit = shared.value.has(ids) & (sizes > 0)
+                hit = shared.value.has(place_keys(ids, s.doc, s.line))
                 some = np.flatnonzero(sizes > 0)
-                seen: set[int] = set()
-                sets = []
-                for i in some.tolist():
-                    c = int(ids[i])
-                    if hit[i] and c not in seen:
-                        seen.add(c)
-                        sets.append(planes(s.elements[s.bounds[i] : s.bounds[i + 1]]))
-                    else:
-                        sets.append(None)
+                sets = [planes(s.elements[s.bounds[i] : s.bounds[i + 1]]) if hit[i] else None for i in some.tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(s.doc[some]), pa.array(s.line[some], pa.int32()), pa.array(ids[some].astype(np.int64)), pa.array(sizes[some]), pa.array(sets, pa.binary())], names=["doc", "line", "cls", "n", "set"])
 
     return stored(p.docs.mapInArrow(run, "doc long, line int, cls long, n long, set binary"), p.folder, "members")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b, and more columns) whose sets reach the similarity, with ``common`` and ``together``.
+#: A pair: two classes, each with its first place, at which its set is found.
+PAIR = ("a", "a_doc", "a_line", "b", "b_doc", "b_line")
+
+
+def verified(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """The pairs whose sets reach the similarity, with the sizes of intersection and union as ``common`` and ``together``.
 
-    ``sets`` is (cls, set), one row a class. A class in very many pairs is a hot
+    ``table`` is that of :func:`members`. A class in very many pairs is a hot
     key of the second join, which adaptive execution splits.
     """
-    more = [c for c in pairs.columns if c not in ("a", "b")]
 
     def run(batches):
         for batch in batches:
@@ -356,28 +364,26 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     keep.append(i)
                     common.append(k)
                     together.append(len(both) - k)
-            kept = batch.select(["a", "b", *more]).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(common, pa.int64()), pa.array(together, pa.int64())], names=["a", "b", *more, "common", "together"])
-
-    a = sets.select(F.col("cls").alias("a"), F.col("set").alias("sa"))
-    b = sets.select(F.col("cls").alias("b"), F.col("set").alias("sb"))
-    ddl = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select("a", "b", *more).schema.fields), "common long, together long"])
-    return pairs.join(a, "a").join(b, "b").select("a", "b", *more, "sa", "sb").mapInArrow(run, ddl)
-
+            kept = batch.select(PAIR).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(common, pa.int64()), pa.array(together, pa.int64())], names=[*PAIR, "common", "together"])
 
-def class_sets(table: DataFrame) -> DataFrame:
-    """(cls, set), one row a class."""
-    return table.filter("set IS NOT NULL").select("cls", "set").dropDuplicates(["cls"])
+    # rows that repeat a place have the same set there
+    sets = table.filter("set IS NOT NULL").select("cls", "doc", "line", "set").dropDuplicates(["cls", "doc", "line"])
+    side = lambda x: sets.select(F.col("cls").alias(x), F.col("doc").alias(f"{x}_doc"), F.col("line").alias(f"{x}_line"), F.col("set").alias(f"s{x}"))
+    both = pairs.join(side("a"), ["a", "a_doc", "a_line"]).join(side("b"), ["b", "b_doc", "b_line"])
+    return both.select(*PAIR, "sa", "sb").mapInArrow(run, "a long, a_doc long, a_line int, b long, b_doc long, b_line int, common long, together long")
 
 
 def first_pairs(cols: DataFrame) -> DataFrame:
-    """(a, b): each class with the pivot that it meets most often, if the sizes allow a link."""
-    met = cols.filter((F.col("cls") != F.col("pivot")) & within_size(F.col("n"), F.col("pivot_n"))).groupBy("cls", "pivot").agg(F.count("*").alias("c"))
-    return met.groupBy(F.col("cls").alias("a")).agg(F.max(F.struct("c", "pivot")).alias("m")).select("a", F.col("m.pivot").alias("b"))
+    """Each class with the pivot that it meets most often, if the sizes allow a link."""
+    met = cols.filter((F.col("cls") != F.col("pivot")) & within_size(F.col("n"), F.col("pivot_n")))
+    met = met.groupBy("cls", "doc", "line", "pivot", "pivot_doc", "pivot_line").agg(F.count("*").alias("c"))
+    best = met.groupBy(F.col("cls").alias("a"), F.col("doc").alias("a_doc"), F.col("line").alias("a_line")).agg(F.max(F.struct("c", "pivot", "pivot_doc", "pivot_line")).alias("m"))
+    return best.select("a", "a_doc", "a_line", F.col("m.pivot").alias("b"), F.col("m.pivot_doc").alias("b_doc"), F.col("m.pivot_line").alias("b_line"))
 
 
 def full_pairs(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
-    """(a, b): pairs of ``left`` and ``right`` (both elem, cls, n, pos and what ``on`` needs) that the bounds leave.
+    """Pairs of ``left`` and ``right`` (both elem, cls, n, pos, doc, line and what ``on`` needs) that the bounds leave.
 
     ``on`` says which pairs count, in terms of the aliases x and y. Every common
     prefix column of a pair must be in both tables. What of the pair isn't
@@ -386,8 +392,7 @@ def full_pairs(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
     """
     x, y = left.alias("x"), right.alias("y")
     met = x.join(y, (F.col("x.elem") == F.col("y.elem")) & (F.col("x.cls") != F.col("y.cls")) & within_size(F.col("x.n"), F.col("y.n")) & on)
-    pairs = met.groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).agg(
-        F.count("*").alias("c"), F.first("x.n").alias("n"), F.first("y.n").alias("m"), F.max("x.pos").alias("i"), F.max("y.pos").alias("j")
-    )
+    ends = [F.col(f"{t}.{c}").alias(name) for t, names in (("x", PAIR[:3]), ("y", PAIR[3:])) for c, name in zip(("cls", "doc", "line"), names, strict=True)]
+    pairs = met.groupBy(*ends).agg(F.count("*").alias("c"), F.first("x.n").alias("n"), F.first("y.n").alias("m"), F.max("x.pos").alias("i"), F.max("y.pos").alias("j"))
     reach = F.col("c") + F.least(F.col("n") - 1 - F.col("i"), F.col("m") - 1 - F.col("j"))
-    return pairs.filter(reach >= least_overlap(F.col("n"), F.col("m"))).select("a", "b")
+    return pairs.filter(reach >= least_overlap(F.col("n"), F.col("m"))).select(*PAIR)
