@@ -121,7 +121,10 @@ class Rule(NamedTuple):
 
 
 def _version(v: str) -> str:
-    return r"(?: version)?(?: v)? ?v?" + " ".join(p for p in re.split(r"[.-]", v)) if v[0].isdigit() and "clause" not in v else ""
+    """A version, with or without the word; its last part may be left out if it is 0 and no other number stands there."""
+    parts = v.split(".")
+    number = " ".join(parts[:-1]) + "(?: 0|(?! \\d))" if parts[-1] == "0" and len(parts) > 1 else " ".join(parts)
+    return rf"(?: version)?(?: v)? ?v?{number}"
 
 
 @cache
