@@ -47,6 +47,7 @@ def _parser() -> argparse.ArgumentParser:
     sub.add_parser("explain").add_argument("script")
     sub.add_parser("lint").add_argument("script")
     sub.add_parser("pack").add_argument("what", choices=["list"])
+    sub.add_parser("serve", help="JSON-RPC over standard input and output").add_argument("kind", choices=["tools", "language"])
     sub.add_parser("undo").add_argument("--from", dest="table", required=True)
     return p
 
@@ -131,6 +132,10 @@ def main(argv: list[str] | None = None) -> int:
         if a.command == "undo":
             print(f"{sinks.undo(_session(), a.table)} file(s) restored")
             return 0
+        if a.command == "serve":
+            from .server import main as serve
+
+            return serve(a.kind)
         if a.command == "lint":
             found = api.lint_script(dsl.read_script(a.script))
             print(json.dumps(found, indent=2))

@@ -88,6 +88,8 @@ def read_paths(spark: SparkSession, paths: DataFrame, on_error: str = "raise", j
     otherwise the run fails.
     """
 
+    base = os.getcwd()  # workers keep the folder that they were started in
+
     def run(batches):
         rows, size = [], 0
 
@@ -97,7 +99,7 @@ def read_paths(spark: SparkSession, paths: DataFrame, on_error: str = "raise", j
         for batch in batches:
             for i, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    with open(p, "rb") as f:
+                    with open(os.path.join(base, p), "rb") as f:
                         raw = f.read()
                     rows.append((i, p, raw.decode("utf-8")))
                 except (OSError, UnicodeDecodeError) as e:

@@ -25,9 +25,14 @@ def _put(path: str, text: str) -> None:
         raise SourceError(f"{path}: {e}") from e
 
 
-def _write_rows(rows) -> None:
-    for r in rows:
-        _put(r["path"], r["text"])
+def _writer():
+    base = os.getcwd()  # workers keep the folder that they were started in
+
+    def write(rows) -> None:
+        for r in rows:
+            _put(os.path.join(base, r["path"]), r["text"])
+
+    return write
 
 
 def write_files(changes: DataFrame, column: str = "after") -> None:
@@ -35,7 +40,7 @@ def write_files(changes: DataFrame, column: str = "after") -> None:
 
     ``changes`` should be stored or cached: all of it is worked out before the first file is written.
     """
-    changes.filter("changed").select("path", F.col(column).alias("text")).foreachPartition(_write_rows)
+    changes.filter("changed").select("path", F.col(column).alias("text")).foreachPartition(_writer())
 
 
 def backup(changes: DataFrame, table: str) -> None:
@@ -53,5 +58,5 @@ def backup(changes: DataFrame, table: str) -> None:
 def undo(spark: SparkSession, table: str) -> int:
     """Writes every pre-image back; returns how many."""
     old = spark.read.parquet(table)
-    old.select("path", "text").foreachPartition(_write_rows)
+    old.select("path", "text").foreachPartition(_writer())
     return old.count()
