@@ -60,7 +60,7 @@ def extract(least: int) -> setjoin.Extract:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for part in chunks(*column(batch, "text")):
             of, line, bounds, elements = line_sets(part, least)
-            yield setjoin.Sets(ids[part.first + of], line.astype(np.int32), bounds, elements)
+            yield setjoin.Sets(ids[part.first + of], line.astype(np.int32), bounds, elements, setjoin.parities(elements, bounds))
 
     return run
 
@@ -81,9 +81,9 @@ def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table = setjoin.members(p, cols)
 
     linked = stored(setjoin.verified(setjoin.first_pairs(cols), table), folder, "linked")
-    # a pivot is the earliest of its column: a class that has a link to one is settled
+    # pivots are earlier: a class that has a link to one is settled
     settled = linked.select(F.col("a").alias("cls"))
-    slim = cols.select("elem", "cls", "n", "pos", "doc", "line")
+    slim = cols.select("elem", "cls", "n", "pos", "sketch", "doc", "line")
     unsettled = cols.filter("cls != pivot").select(slim.columns).join(settled, "cls", "left_anti").select(slim.columns)
     unsettled = stored(unsettled, folder, "unsettled")
     earlier = slim.join(unsettled.select("elem").distinct(), "elem", "left_semi").select(slim.columns)

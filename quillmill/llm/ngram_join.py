@@ -20,7 +20,7 @@ def extract(batch: pa.RecordBatch) -> Iterator[setjoin.Sets]:
     for part in chunks(*column(batch, "text")):
         found = list(shingle_sets(part))
         bounds = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
-        yield setjoin.Sets(ids[part.first : part.first + len(found)], np.zeros(len(found), np.int32), bounds, np.concatenate(found))
+        yield setjoin.Sets(ids[part.first : part.first + len(found)], np.zeros(len(found), np.int32), bounds, np.concatenate(found), np.zeros(len(found), np.uint64))
 
 
 def roots(parents: DataFrame, folder: str) -> DataFrame:
@@ -62,6 +62,13 @@ def merged(links: DataFrame, folder: str) -> DataFrame:
     return done if done is not None else left.select(F.col("x").alias("cls"), F.col("y").alias("root"))
 
 
+def open_columns(cols: DataFrame, tree: DataFrame, folder: str, name: str) -> DataFrame:
+    """``cols`` with each class's root, without the columns that one root holds alone."""
+    known = stored(cols.join(tree, "cls", "left").withColumn("root", F.coalesce("root", "cls")), folder, f"{name}_roots")
+    some = known.groupBy("elem").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("elem")
+    return stored(known.join(some, "elem", "left_semi"), folder, name)
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row with an id: the smallest id that links reach.
 
@@ -79,16 +86,19 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     linked = stored(setjoin.verified(setjoin.first_pairs(cols), table), folder, "linked")
     tree = roots(linked.select(F.col("a").alias("cls"), F.col("b").alias("parent")), f"{folder}/tree")
-    known = cols.select("elem", "cls", "n", "pos", "doc", "line").join(tree, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    known = stored(known, folder, "known")
-    open_ = known.groupBy("elem").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("elem")
-    known = stored(known.join(open_, "elem", "left_semi"), folder, "open")
+    known = open_columns(cols.select("elem", "cls", "n", "pos", "sketch", "doc", "line"), tree, folder, "open1")
+    # the classes of large groups that aren't like the earliest: most find another here, and what a root holds needs no more pairs
+    wide = setjoin.wide_sketches(table.join(known.select("cls").distinct(), "cls", "left_semi"))
+    known = stored(known.join(wide, "cls"), folder, "open2")
+    ring = stored(setjoin.verified(setjoin.ring_pairs(known), table), folder, "ring")
+    tree = merged(linked.select("a", "b").unionByName(ring.select("a", "b")).toDF("x", "y"), f"{folder}/forest")
+    known = open_columns(known.drop("root"), tree, folder, "open3")
     order = F.struct("x.doc", "x.cls") < F.struct("y.doc", "y.cls")
-    more = setjoin.full_pairs(known, known, (F.col("x.root") != F.col("y.root")) & order)
+    more = setjoin.full_pairs(known, known, (F.col("x.root") != F.col("y.root")) & order & setjoin.within_wide("x", "y"))
     late = stored(setjoin.verified(more, table), folder, "late")
 
     # classes by their smallest document, so that the least node of a component is its id
-    links = linked.select("a_doc", "b_doc").unionByName(late.select("a_doc", "b_doc")).toDF("x", "y")
+    links = linked.unionByName(ring).unionByName(late).select("a_doc", "b_doc").toDF("x", "y")
     ends = merged(links, f"{folder}/merge")
     small = table.groupBy("cls").agg(F.min("doc").alias("least"))
     first = table.select("doc", "n", "cls").join(small, "cls").select(F.col("doc").alias("id"), F.col("n").alias("n_shingles"), "least")

@@ -9,9 +9,10 @@ only these entries are multiplied:
    packed, are counted; the most frequent ones (a bounded number) become the
    end of the column order.  The order only steers the work; any is exact.
 2. ``columns``: the prefix entries, dealt into blocks likewise.  A block sorts
-   its entries and gives out the columns that hold two classes or more.
-3. First candidates: each class with the earliest class of the column where
-   most of its entries lie.  That is one pair a class, however large a group.
+   its entries and gives out those of classes that another class of the column
+   may be similar to, by size and by a 64-bit parity sketch.
+3. First candidates: each class with the earliest class that it may be similar
+   to in most of its columns.  That is one pair a class, however large a group.
 4. What these pairs leave open (the caller says which) is multiplied in full:
    overlap counts of all pairs in the open columns, dropped when count and
    sizes show that the similarity is out of reach.
@@ -46,12 +47,16 @@ NUM, DEN = 4, 5
 
 
 class Sets(NamedTuple):
-    """Consecutive sets: document, line, bounds in ``elements``, and the sorted distinct elements."""
+    """Consecutive sets: document, line, bounds in ``elements``, and the sorted distinct elements.
+
+    ``sketch`` may hold 64 parities for each set (see :func:`parities`), or zeros.
+    """
 
     doc: np.ndarray
     line: np.ndarray
     bounds: np.ndarray
     elements: np.ndarray
+    sketch: np.ndarray
 
 
 #: What turns a batch of (id, text) into sets, some at a time.
@@ -80,6 +85,14 @@ def class_ids(s: Sets) -> np.ndarray:
     return out
 
 
+def parities(elements: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """64 bits for each set: each element flips one. Two sets' bits differ in no more places than the sets have elements apart."""
+    bits = np.uint64(1) << (mix(elements) >> np.uint64(58))
+    total = np.zeros(len(elements) + 1, np.uint64)
+    np.bitwise_xor.accumulate(bits, out=total[1:])
+    return total[bounds[1:]] ^ total[bounds[:-1]]
+
+
 def prefix_length(n):
     return n - -(-NUM * n // DEN) + 1
 
@@ -88,6 +101,10 @@ def least_overlap(n: Column, m: Column) -> Column:
     return F.floor((NUM * (n + m) + NUM + DEN - 1) / (NUM + DEN))
 
 
+def within_sketch(s: Column, t: Column, n: Column, m: Column) -> Column:
+    return (NUM + DEN) * F.bit_count(s.bitwiseXOR(t)) <= (DEN - NUM) * (n + m)
+
+
 def within_size(n: Column, m: Column) -> Column:
     return (DEN * n >= NUM * m) & (DEN * m >= NUM * n)
 
@@ -201,16 +218,44 @@ def prefixes(s: Sets, heavy: Heavy) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return of[keep], pos[keep], elements[keep]
 
 
-_ENTRY = (("rem", np.uint32), ("cls", np.uint64), ("doc", np.int64), ("line", np.int32), ("n", np.uint32), ("pos", np.uint16))
+_ENTRY = (("rem", np.uint32), ("cls", np.uint64), ("doc", np.int64), ("line", np.int32), ("n", np.uint32), ("pos", np.uint16), ("sketch", np.uint64))
 
+#: In a column of so many classes or fewer each pair is tested by size and sketch at once; the rest of the columns is kept whole.
+SMALL = 64
 
-def columns(p: Plan, heavy: Heavy) -> DataFrame:
-    """Columns that hold two classes or more, a row for each class.
 
-    (elem, cls, n, pos, doc, line) with the first place of the class, and the
-    column's earliest class likewise as pivot, pivot_n, pivot_doc, pivot_line.
-    All texts of a class have the same prefix, so its first place is the first
-    in the corpus.
+def partners(sizes: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which entries have another in their column that size and sketch allow, and the first of these before each (or itself).
+
+    ``sizes`` are those of the columns, whose entries stand together in order of place.
+    """
+    size, begin = np.repeat(sizes, sizes), np.repeat(np.cumsum(sizes) - sizes, sizes)
+    has, first = size > SMALL, np.arange(len(n))
+    first[has] = begin[has]
+    rest = np.flatnonzero(~has)
+    last = begin + size - 1
+    for d in range(1, SMALL):
+        rest = rest[rest + d <= last[rest]]
+        if not len(rest):
+            break
+        j = rest + d
+        a, b = n[rest].astype(np.int64), n[j].astype(np.int64)
+        ok = (DEN * a >= NUM * b) & (DEN * b >= NUM * a) & ((NUM + DEN) * np.bitwise_count(sketch[rest] ^ sketch[j]).astype(np.int64) <= (DEN - NUM) * (a + b))
+        has[rest[ok]] = True
+        has[j[ok]] = True
+        first[j[ok]] = rest[ok]
+    return has, first
+
+
+def columns(p: Plan, heavy: Heavy) -> DataFrame:
+    """Columns that hold two classes or more, a row for each class that may be similar to another there.
+
+    (elem, cls, n, pos, sketch, doc, line) with the first place of the class, and
+    the column's earliest class that may be similar to it likewise as pivot,
+    pivot_n, pivot_doc, pivot_line (the class itself, if none is earlier). All
+    texts of a class have the same prefix, so its first place is the first in
+    the corpus. Two classes that size and sketch allow are in each of their
+    common columns.
     """
     extract, bits, shift = p.extract, p.block_bits, 64 - p.block_bits - 32
     shared = p.docs.sparkSession.sparkContext.broadcast(heavy)  # MOST_HEAVY at most
@@ -221,7 +266,7 @@ def columns(p: Plan, heavy: Heavy) -> DataFrame:
             for s in extract(batch):
                 of, pos, elements = prefixes(s, shared.value)
                 k, sizes = elements >> np.uint64(shift), np.diff(s.bounds)
-                found.append([k, class_ids(s)[of], s.doc[of], s.line[of], sizes[of].astype(np.uint32), np.minimum(pos, 65535).astype(np.uint16)])
+                found.append([k, class_ids(s)[of], s.doc[of], s.line[of], sizes[of].astype(np.uint32), np.minimum(pos, 65535).astype(np.uint16), s.sketch[of]])
             if not found:
                 continue
             k, *rest = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -236,7 +281,7 @@ def columns(p: Plan, heavy: Heavy) -> DataFrame:
 
     def meet(batches):
         for block, parts in _groups(batches, len(_ENTRY)):
-            rem, cls, doc, line, n, pos = (np.concatenate([unplaned(x, kind) for x in xs]) for xs, (_, kind) in zip(parts, _ENTRY, strict=True))
+            rem, cls, doc, line, n, pos, sketch = (np.concatenate([unplaned(x, kind) for x in xs]) for xs, (_, kind) in zip(parts, _ENTRY, strict=True))
             key = np.sort((rem.astype(np.uint64) << np.uint64(32)) | np.arange(len(rem), dtype=np.uint64))
             order = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
             r = (key >> np.uint64(32)).astype(np.uint32)
@@ -252,17 +297,18 @@ def columns(p: Plan, heavy: Heavy) -> DataFrame:
             r = rem[order]
             first = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
             size = np.diff(np.append(first, len(r)))
-            pivot = np.repeat(order[first], size)
-            some = np.repeat(size > 1, size)
-            order, pivot = order[some], pivot[some]
+            order = order[np.repeat(size > 1, size)]
+            has, earliest = partners(size[size > 1], n[order], sketch[order])
+            pivot = order[earliest][has]
+            order = order[has]
             for i in range(0, len(order), 65536):
                 o, q = order[i : i + 65536], pivot[i : i + 65536]
                 elem = np.uint64(block) << np.uint64(32) | rem[o].astype(np.uint64)
-                arrays = [elem.astype(np.int64), cls[o].astype(np.int64), n[o].astype(np.int64), pos[o].astype(np.int32), doc[o], line[o], cls[q].astype(np.int64), n[q].astype(np.int64), doc[q], line[q]]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["elem", "cls", "n", "pos", "doc", "line", "pivot", "pivot_n", "pivot_doc", "pivot_line"])
+                arrays = [elem.astype(np.int64), cls[o].astype(np.int64), n[o].astype(np.int64), pos[o].astype(np.int32), sketch[o].astype(np.int64), doc[o], line[o], cls[q].astype(np.int64), n[q].astype(np.int64), doc[q], line[q]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["elem", "cls", "n", "pos", "sketch", "doc", "line", "pivot", "pivot_n", "pivot_doc", "pivot_line"])
 
-    dealt = p.docs.mapInArrow(deal, "block int, rem binary, cls binary, doc binary, line binary, n binary, pos binary")
-    rows = _by_block(dealt).mapInArrow(meet, "elem long, cls long, n long, pos int, doc long, line int, pivot long, pivot_n long, pivot_doc long, pivot_line int")
+    dealt = p.docs.mapInArrow(deal, "block int, rem binary, cls binary, doc binary, line binary, n binary, pos binary, sketch binary")
+    rows = _by_block(dealt).mapInArrow(meet, "elem long, cls long, n long, pos int, sketch long, doc long, line int, pivot long, pivot_n long, pivot_doc long, pivot_line int")
     return stored(rows, p.folder, "columns")
 
 
@@ -382,8 +428,81 @@ def first_pairs(cols: DataFrame) -> DataFrame:
     return best.select("a", "a_doc", "a_line", F.col("m.pivot").alias("b"), F.col("m.pivot_doc").alias("b_doc"), F.col("m.pivot_line").alias("b_line"))
 
 
+#: Longs of the wide sketch: 512 parities.
+WIDE = 8
+
+
+def wide_sketches(table: DataFrame) -> DataFrame:
+    """(cls, wide) of the classes that have a set in ``table``: parities as in :func:`parities`, but ``WIDE`` longs of them."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for raw in batch.column("set").to_pylist():
+                h = mix(unplaned(raw, np.uint64) ^ np.uint64(0x2545F4914F6CDD1D))
+                odd = np.bincount((h >> np.uint64(55)).astype(np.int64), minlength=64 * WIDE) & 1
+                rows.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(rows, pa.list_(pa.int64()))], names=["cls", "wide"])
+
+    sets = table.filter("set IS NOT NULL").select("cls", "set")
+    return sets.mapInArrow(run, "cls long, wide array<long>").dropDuplicates(["cls"])
+
+
+def within_wide(x: str, y: str) -> Column:
+    """Whether the wide sketches of two aliases allow a link."""
+    apart = F.lit(0)
+    for i in range(WIDE):
+        apart = apart + F.bit_count(F.get(F.col(f"{x}.wide"), F.lit(i)).bitwiseXOR(F.get(F.col(f"{y}.wide"), F.lit(i))))
+    return (NUM + DEN) * apart <= (DEN - NUM) * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+
+
+#: How far a class looks along its column, and how many likely partners it takes from there and in all.
+REACH, TAKEN, BEST = 32, 2, 8
+
+
+def ring_pairs(rows: DataFrame) -> DataFrame:
+    """Likely pairs of different roots, ``BEST`` a class at most: neighbours in columns that are shuffled, each in its own way.
+
+    ``rows`` has elem, cls, n, doc, line, root and wide. Dealt by ranges of
+    (column, hash), so that a large column is no single task's; what stands on
+    two tasks' border is left to :func:`full_pairs`.
+    """
+
+    def run(batches):
+        tail: dict[str, np.ndarray] | None = None
+        for batch in batches:
+            x = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("elem", "cls", "n", "doc", "line", "root")}
+            x["wide"] = np.array(batch.column("wide").to_pylist(), np.int64).reshape(-1, WIDE)
+            if tail is not None:
+                x = {c: np.concatenate([tail[c], x[c]]) for c in x}
+            m, left, out = len(x["elem"]), np.full(len(x["elem"]), TAKEN), []
+            for d in range(1, min(REACH, m - 1) + 1):
+                i = np.flatnonzero((left[:-d] > 0) & (x["elem"][:-d] == x["elem"][d:]) & (x["root"][:-d] != x["root"][d:]))
+                j = i + d
+                total = x["n"][i] + x["n"][j]
+                ok = (DEN * np.minimum(x["n"][i], x["n"][j]) >= NUM * np.maximum(x["n"][i], x["n"][j])) & (
+                    (NUM + DEN) * np.bitwise_count(x["wide"][i] ^ x["wide"][j]).sum(axis=1, dtype=np.int64) <= (DEN - NUM) * total
+                )
+                left[i[ok]] -= 1
+                out.append((i[ok], j[ok]))
+            if out:
+                i, j = (np.concatenate(z) for z in zip(*out, strict=True))
+                later = (x["doc"][i] > x["doc"][j]) | ((x["doc"][i] == x["doc"][j]) & (x["line"][i] >= x["line"][j]))
+                a, b = np.where(later, i, j), np.where(later, j, i)
+                yield pa.RecordBatch.from_arrays([pa.array(x[c][k]) for k in (a, b) for c in ("cls", "doc", "line")], names=list(PAIR))
+            tail = {c: v[-REACH:] for c, v in x.items()}
+
+    key = F.xxhash64("cls", "elem")
+    order = rows.select("elem", "cls", "n", "doc", "line", "root", "wide", key.alias("h")).repartitionByRange("elem", "h").sortWithinPartitions("elem", "h")
+    found = order.mapInArrow(run, "a long, a_doc long, a_line int, b long, b_doc long, b_line int").groupBy(*PAIR).agg(F.count("*").alias("c"))
+    # the most frequent of each of BEST parts of its partners
+    per = found.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(BEST)))
+    best = per.groupBy("a", "a_doc", "a_line", "part").agg(F.max(F.struct("c", "b", "b_doc", "b_line")).alias("m"))
+    return best.select("a", "a_doc", "a_line", F.col("m.b").alias("b"), F.col("m.b_doc").alias("b_doc"), F.col("m.b_line").alias("b_line"))
+
+
 def full_pairs(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
-    """Pairs of ``left`` and ``right`` (both elem, cls, n, pos, doc, line and what ``on`` needs) that the bounds leave.
+    """Pairs of ``left`` and ``right`` (both elem, cls, n, pos, sketch, doc, line and what ``on`` needs) that the bounds leave.
 
     ``on`` says which pairs count, in terms of the aliases x and y. Every common
     prefix column of a pair must be in both tables. What of the pair isn't
@@ -391,7 +510,7 @@ def full_pairs(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
     shorter remainder bounds the overlap.
     """
     x, y = left.alias("x"), right.alias("y")
-    met = x.join(y, (F.col("x.elem") == F.col("y.elem")) & (F.col("x.cls") != F.col("y.cls")) & within_size(F.col("x.n"), F.col("y.n")) & on)
+    met = x.join(y, (F.col("x.elem") == F.col("y.elem")) & (F.col("x.cls") != F.col("y.cls")) & within_size(F.col("x.n"), F.col("y.n")) & within_sketch(F.col("x.sketch"), F.col("y.sketch"), F.col("x.n"), F.col("y.n")) & on)
     ends = [F.col(f"{t}.{c}").alias(name) for t, names in (("x", PAIR[:3]), ("y", PAIR[3:])) for c, name in zip(("cls", "doc", "line"), names, strict=True)]
     pairs = met.groupBy(*ends).agg(F.count("*").alias("c"), F.first("x.n").alias("n"), F.first("y.n").alias("m"), F.max("x.pos").alias("i"), F.max("y.pos").alias("j"))
     reach = F.col("c") + F.least(F.col("n") - 1 - F.col("i"), F.col("m") - 1 - F.col("j"))
