@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VERSION = b"WARC/1.1"
@@ -29,6 +29,9 @@ _VERSIONS = (b"WARC/1.0\r\n", b"WARC/1.1\r\n")
 _MEMBER = b"\x1f\x8b\x08"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
+#: Bytes that are given to the decompressor at a time: what it leaves over is copied.
+STEP = 1 << 13
+
 #: No header block of a record is longer than this.
 HEADER_LIMIT = 1 << 16
 
@@ -106,12 +109,14 @@ def _parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int] | str:
 
 
 def _inflate(data: bytes, at: int) -> tuple[bytes, int] | str:
-    z = zlib.decompressobj(31)
+    z, out, view = zlib.decompressobj(31), [], memoryview(data)
     try:
-        out = z.decompress(memoryview(data)[at:])
+        while not z.eof and at < len(data):
+            out.append(z.decompress(view[at : at + STEP]))
+            at = min(at + STEP, len(data))
     except zlib.error as e:
         return f"gzip: {e}"
-    return (out, len(data) - len(z.unused_data)) if z.eof else "gzip member is cut"
+    return (b"".join(out), at - len(z.unused_data)) if z.eof else "gzip member is cut"
 
 
 def salvage(data: bytes) -> Iterator[Record | Gap]:
@@ -265,8 +270,3 @@ def archive_round_trip(pages: DataFrame, folder: str, key_col: str = "page_id",
     manifest = write_archives(with_revisits(pages, key_col, uri_col, html_col, least_bytes), folder, archive_bytes)
     return read_archives(manifest.repartition(max(1, manifest.count()), "path"), folder)
 
-
-def spark_folder(spark: SparkSession) -> str:
-    from .frames import shared_folder
-
-    return shared_folder(spark)
