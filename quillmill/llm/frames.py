@@ -41,7 +41,7 @@ def shared_folder(spark: SparkSession) -> str:
         if made.isDefined():
             top = made.get()
         else:
-            if not spark.sparkContext.master.startswith("local["):
+            if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             import tempfile
 
@@ -70,6 +70,13 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def finished(df: DataFrame, folder: str) -> DataFrame:
+    """``df``, made from tables below ``folder``, stored beside it; the folder goes."""
+    out = stored(df, f"{folder}-result", "rows")
+    drop_folder(df.sparkSession, folder)
+    return out
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Removes a folder of intermediate tables on whatever file system it is."""
     jvm = spark.sparkContext._jvm

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import setjoin
-from .frames import shared_folder, stored
+from .frames import finished, shared_folder, stored
 from .tokens import LOWER, Texts, chunks, column, word_hashes, words
 
 #: Lines of fewer distinct words are left alone: they repeat by chance.
@@ -83,7 +83,7 @@ def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     linked = stored(setjoin.verified(setjoin.first_pairs(cols), table), folder, "linked")
     # pivots are earlier: a class that has a link to one is settled
     settled = linked.select(F.col("a").alias("cls"))
-    slim = cols.select("elem", "cls", "n", "pos", "sketch", "doc", "line")
+    slim = cols.select("elem", "cls", "n", "pos", "sketch", "sketch2", "doc", "line")
     unsettled = cols.filter("cls != pivot").select(slim.columns).join(settled, "cls", "left_anti").select(slim.columns)
     unsettled = stored(unsettled, folder, "unsettled")
     earlier = slim.join(unsettled.select("elem").distinct(), "elem", "left_semi").select(slim.columns)
@@ -99,7 +99,7 @@ def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     earlier_at = F.when(~is_first, F.col("at")).otherwise(F.col("m.b_at"))
     similarity = F.when(~is_first, 1.0).otherwise(F.col("m.sim"))
     out = rows.select("doc", "line", earlier_at.alias("e"), similarity.alias("similarity")).filter("e IS NOT NULL AND e < struct(doc, line)")
-    return out.select(F.col("doc").alias(id_col), "line", F.col("e.doc").alias(f"earlier_{id_col}"), F.col("e.line").alias("earlier_line"), "similarity")
+    return finished(out.select(F.col("doc").alias(id_col), "line", F.col("e.doc").alias(f"earlier_{id_col}"), F.col("e.line").alias("earlier_line"), "similarity"), folder)
 
 
 def without_later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", least: int = LEAST_WORDS) -> DataFrame:

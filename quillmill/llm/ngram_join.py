@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import setjoin
-from .frames import shared_folder, stored
+from .frames import finished, shared_folder, stored
 from .tokens import chunks, column, shingle_sets
 
 
@@ -20,7 +20,7 @@ def extract(batch: pa.RecordBatch) -> Iterator[setjoin.Sets]:
     for part in chunks(*column(batch, "text")):
         found = list(shingle_sets(part))
         bounds = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
-        yield setjoin.Sets(ids[part.first : part.first + len(found)], np.zeros(len(found), np.int32), bounds, np.concatenate(found), np.zeros(len(found), np.uint64))
+        yield setjoin.Sets(ids[part.first : part.first + len(found)], np.zeros(len(found), np.int32), bounds, np.concatenate(found), np.zeros((len(found), 2), np.uint64))
 
 
 def roots(parents: DataFrame, folder: str) -> DataFrame:
@@ -86,9 +86,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     linked = stored(setjoin.verified(setjoin.first_pairs(cols), table), folder, "linked")
     tree = roots(linked.select(F.col("a").alias("cls"), F.col("b").alias("parent")), f"{folder}/tree")
-    known = open_columns(cols.select("elem", "cls", "n", "pos", "sketch", "doc", "line"), tree, folder, "open1")
+    known = open_columns(cols.select("elem", "cls", "n", "pos", "sketch", "sketch2", "doc", "line"), tree, folder, "open1")
     # the classes of large groups that aren't like the earliest: most find another here, and what a root holds needs no more pairs
-    wide = setjoin.wide_sketches(table.join(known.select("cls").distinct(), "cls", "left_semi"))
+    wide = table.filter("wide IS NOT NULL").select("cls", "wide").dropDuplicates(["cls"])
     known = stored(known.join(wide, "cls"), folder, "open2")
     ring = stored(setjoin.verified(setjoin.ring_pairs(known), table), folder, "ring")
     tree = merged(linked.select("a", "b").unionByName(ring.select("a", "b")).toDF("x", "y"), f"{folder}/forest")
@@ -105,7 +105,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     named = first.join(ends.select(F.col("cls").alias("least"), "root"), "least", "left").select("id", "n_shingles", F.coalesce("root", "least").alias("component_id"))
     # rows without shingles are not in the table
     empty = ids.filter("id IS NOT NULL").filter(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select("id", F.lit(0).cast("long").alias("n_shingles"), F.col("id").alias("component_id"))
-    return named.unionByName(empty).withColumnRenamed("id", id_col)
+    return finished(named.unionByName(empty).withColumnRenamed("id", id_col), folder)
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,11 +6,11 @@ they meet in the rarest ``n - ceil(t n) + 1`` columns of each (the prefix), so
 only these entries are multiplied:
 
 1. ``rarity``: every row's columns, dealt into blocks by their leading bits and
-   packed, are counted; the most frequent ones (a bounded number) become the
-   end of the column order.  The order only steers the work; any is exact.
+   packed, are counted; tables of bounded size give the column order, rare ones
+   first.  The order only steers the work; any is exact.
 2. ``columns``: the prefix entries, dealt into blocks likewise.  A block sorts
    its entries and gives out those of classes that another class of the column
-   may be similar to, by size and by a 64-bit parity sketch.
+   may be similar to, by size, position and a 128-bit parity sketch.
 3. First candidates: each class with the earliest class that it may be similar
    to in most of its columns.  That is one pair a class, however large a group.
 4. What these pairs leave open (the caller says which) is multiplied in full:
@@ -37,7 +37,10 @@ from .frames import stored
 from .tokens import mix
 
 #: Columns at most whose counts go to the workers (12 bytes each), and the least count.
-MOST_HEAVY, LEAST_HEAVY = 1_000_000, 8
+MOST_HEAVY, LEAST_HEAVY = 200_000, 8
+
+#: Leading bits of a hash that the scale of counts goes by: one byte for each value, 16 MB.
+SCALE_BITS = 24
 
 #: Bytes of text a block, about.
 BLOCK_BYTES = 64 << 20
@@ -49,7 +52,7 @@ NUM, DEN = 4, 5
 class Sets(NamedTuple):
     """Consecutive sets: document, line, bounds in ``elements``, and the sorted distinct elements.
 
-    ``sketch`` may hold 64 parities for each set (see :func:`parities`), or zeros.
+    ``sketch`` has two numbers for each set: parities (see :func:`parities`), or zeros.
     """
 
     doc: np.ndarray
@@ -86,11 +89,15 @@ def class_ids(s: Sets) -> np.ndarray:
 
 
 def parities(elements: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """64 bits for each set: each element flips one. Two sets' bits differ in no more places than the sets have elements apart."""
-    bits = np.uint64(1) << (mix(elements) >> np.uint64(58))
-    total = np.zeros(len(elements) + 1, np.uint64)
-    np.bitwise_xor.accumulate(bits, out=total[1:])
-    return total[bounds[1:]] ^ total[bounds[:-1]]
+    """128 bits for each set, as two numbers: each element flips one. Two sets' bits differ in no more places than the sets have elements apart."""
+    h = mix(elements) >> np.uint64(57)
+    bit = np.uint64(1) << (h & np.uint64(63))
+    out = np.empty((len(bounds) - 1, 2), np.uint64)
+    for k in range(2):
+        total = np.zeros(len(elements) + 1, np.uint64)
+        np.bitwise_xor.accumulate(np.where(h >> np.uint64(6) == k, bit, np.uint64(0)), out=total[1:])
+        out[:, k] = total[bounds[1:]] ^ total[bounds[:-1]]
+    return out
 
 
 def prefix_length(n):
@@ -101,8 +108,10 @@ def least_overlap(n: Column, m: Column) -> Column:
     return F.floor((NUM * (n + m) + NUM + DEN - 1) / (NUM + DEN))
 
 
-def within_sketch(s: Column, t: Column, n: Column, m: Column) -> Column:
-    return (NUM + DEN) * F.bit_count(s.bitwiseXOR(t)) <= (DEN - NUM) * (n + m)
+def within_sketch(x: str, y: str) -> Column:
+    """Whether the sketches of two aliases allow a link."""
+    apart = sum(F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in ("sketch", "sketch2"))
+    return (NUM + DEN) * apart <= (DEN - NUM) * (F.col(f"{x}.n") + F.col(f"{y}.n"))
 
 
 def within_size(n: Column, m: Column) -> Column:
@@ -146,23 +155,43 @@ def _groups(batches, fields: int) -> Iterator[tuple[int, list[list[bytes]]]]:
         yield block, parts
 
 
-class Heavy(NamedTuple):
+class Rarity(NamedTuple):
+    """How often columns are met: exactly for the most frequent, and on a scale of 255 steps by leading bits of the hash for all others.
+
+    Both parts are of bounded size. Where many columns share their leading bits
+    the scale says less, and the order is worse, but an order still.
+    """
+
     keys: np.ndarray
     counts: np.ndarray
     shift: int
+    scale: np.ndarray
 
     def of(self, elements: np.ndarray) -> np.ndarray:
-        """How often each element's column is met, 0 unless it is among the most frequent."""
-        if not len(self.keys):
-            return np.zeros(len(elements), np.uint32)
-        k = elements >> np.uint64(self.shift)
-        at = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
-        return np.where(self.keys[at] == k, self.counts[at], np.uint32(0))
+        rank = self.scale[(elements >> np.uint64(64 - SCALE_BITS)).astype(np.int64)].astype(np.uint32)
+        if len(self.keys):
+            k = elements >> np.uint64(self.shift)
+            often = np.flatnonzero(rank >= self.least)
+            at = np.minimum(np.searchsorted(self.keys, k[often]), len(self.keys) - 1)
+            hit = self.keys[at] == k[often]
+            rank[often[hit]] = 256 + self.counts[at[hit]]
+        return rank
 
+    @property
+    def least(self) -> int:
+        """No column in the exact part is lower on the scale."""
+        return int(step(self.counts.min()))
+
+
+def step(n):
+    """Place of a count on the scale: 16 steps an octave, from 0 for one."""
+    return np.minimum(255, np.floor(16 * np.log2(np.maximum(1, n)))).astype(np.uint8)
 
-def rarity(p: Plan) -> Heavy:
-    """The most frequent columns: of equal or larger count than the smallest count that leaves ``MOST_HEAVY`` at most."""
+
+def rarity(p: Plan) -> Rarity:
+    """Counts of all columns; the exact ones are those of equal or larger count than the smallest that leaves ``MOST_HEAVY`` at most."""
     extract, bits, shift = p.extract, p.block_bits, 64 - p.block_bits - 32
+    own = max(0, SCALE_BITS - bits)  # bits of the scale within a block
 
     def count(batches):
         for batch in batches:
@@ -180,54 +209,55 @@ def rarity(p: Plan) -> Heavy:
             first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
             n = np.diff(np.append(first, len(k)))
             some = n >= LEAST_HEAVY
-            if some.any():
-                yield pa.RecordBatch.from_arrays([pa.array((np.uint64(block) << np.uint64(32) | k[first[some]].astype(np.uint64)).astype(np.int64)), pa.array(n[some], pa.int64())], names=["key", "n"])
-
-    counted = _by_block(p.docs.mapInArrow(count, "block int, k binary")).mapInArrow(total, "key long, n long")
-    heavy = stored(counted, p.folder, "heavy")
+            keys = (np.uint64(block) << np.uint64(32) | k[first[some]].astype(np.uint64)).astype(np.int64)
+            scale = step(np.bincount((k.astype(np.uint64) >> np.uint64(32 - own)).astype(np.int64), minlength=1 << own))
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([scale.tobytes()], pa.binary()), pa.array([keys], pa.list_(pa.int64())), pa.array([n[some]], pa.list_(pa.int64()))], names=["block", "scale", "key", "n"])
+
+    counted = _by_block(p.docs.mapInArrow(count, "block int, k binary")).mapInArrow(total, "block int, scale binary, key array<long>, n array<long>")
+    counted = stored(counted, p.folder, "counted")
+    scale = np.zeros(1 << SCALE_BITS, np.uint8)
+    for block, raw in counted.select("block", "scale").toLocalIterator():
+        x = np.frombuffer(raw, np.uint8)
+        at = block * len(x) if bits <= SCALE_BITS else block >> (bits - SCALE_BITS)
+        scale[at : at + len(x)] = np.maximum(scale[at : at + len(x)], x)
+    heavy = counted.select(F.explode(F.arrays_zip("key", "n")).alias("x")).select("x.key", "x.n")
     # the counts are few: a histogram of them, in half octaves, shows where to stop
-    step = F.floor(F.log2("n") * 2).cast("int")
+    half = F.floor(F.log2("n") * 2).cast("int")
     seen, least = 0, LEAST_HEAVY
-    for r in sorted(heavy.groupBy(step.alias("step")).agg(F.count("*").alias("c"), F.min("n").alias("least")).collect(), key=lambda r: -r["step"]):
+    for r in sorted(heavy.groupBy(half.alias("step")).agg(F.count("*").alias("c")).collect(), key=lambda r: -r["step"]):
         seen += r["c"]
         if seen > MOST_HEAVY:
             least = int(np.ceil(2 ** ((r["step"] + 1) / 2)))
             break
     got = heavy.filter(F.col("n") >= least).limit(MOST_HEAVY).toPandas()
     order = np.argsort(got["key"].to_numpy())
-    return Heavy(got["key"].to_numpy()[order].astype(np.uint64), np.minimum(got["n"].to_numpy()[order], 1 << 30).astype(np.uint32), shift)
+    return Rarity(got["key"].to_numpy()[order].astype(np.uint64), np.minimum(got["n"].to_numpy()[order], 1 << 30).astype(np.uint32), shift, scale)
 
 
-def prefixes(s: Sets, heavy: Heavy) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def prefixes(s: Sets, rare: Rarity) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(set, position, element) of the prefix entries: the rarest columns of each set, ties by hash."""
     sizes = np.diff(s.bounds)
     of = np.repeat(np.arange(len(sizes)), sizes)
-    counts = heavy.of(s.elements)
-    elements = s.elements
-    mixed = np.flatnonzero(counts)
-    if len(mixed):
-        touched = np.zeros(len(sizes), bool)
-        touched[of[mixed]] = True
-        at = np.flatnonzero(touched[of])
-        # stable: elements of equal count stay in the order of their hashes
-        order = np.argsort((of[at].astype(np.uint64) << np.uint64(32)) | counts[at].astype(np.uint64), kind="stable")
-        elements = elements.copy()
-        elements[at] = s.elements[at[order]]
+    # stable: elements of equal count stay in the order of their hashes
+    order = np.argsort((of.astype(np.uint64) << np.uint64(32)) | rare.of(s.elements).astype(np.uint64), kind="stable")
+    elements = s.elements[order]
     pos = np.arange(len(elements)) - np.repeat(s.bounds[:-1], sizes)
     keep = pos < prefix_length(sizes)[of]
     return of[keep], pos[keep], elements[keep]
 
 
-_ENTRY = (("rem", np.uint32), ("cls", np.uint64), ("doc", np.int64), ("line", np.int32), ("n", np.uint32), ("pos", np.uint16), ("sketch", np.uint64))
+_ENTRY = (("rem", np.uint32), ("cls", np.uint64), ("doc", np.int64), ("line", np.int32), ("n", np.uint32), ("pos", np.uint16), ("sketch", np.uint64), ("sketch2", np.uint64))
 
 #: In a column of so many classes or fewer each pair is tested by size and sketch at once; the rest of the columns is kept whole.
-SMALL = 64
+SMALL = 512
 
 
-def partners(sizes: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which entries have another in their column that size and sketch allow, and the first of these before each (or itself).
+def partners(sizes: np.ndarray, n: np.ndarray, pos: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which entries have another in their column that size, position and sketch allow, and the first of these before each (or itself).
 
-    ``sizes`` are those of the columns, whose entries stand together in order of place.
+    ``sizes`` are those of the columns, whose entries stand together in order of
+    place. What lies before the column in both sets, it, and what lies behind it
+    in both bound the overlap. Sets that are similar pass in all their columns.
     """
     size, begin = np.repeat(sizes, sizes), np.repeat(np.cumsum(sizes) - sizes, sizes)
     has, first = size > SMALL, np.arange(len(n))
@@ -240,25 +270,28 @@ def partners(sizes: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> tuple[np.n
             break
         j = rest + d
         a, b = n[rest].astype(np.int64), n[j].astype(np.int64)
-        ok = (DEN * a >= NUM * b) & (DEN * b >= NUM * a) & ((NUM + DEN) * np.bitwise_count(sketch[rest] ^ sketch[j]).astype(np.int64) <= (DEN - NUM) * (a + b))
+        apart = np.bitwise_count(sketch[rest] ^ sketch[j]).sum(axis=1, dtype=np.int64)
+        p, q = pos[rest].astype(np.int64), pos[j].astype(np.int64)
+        # positions are cut off at 65535, where nothing follows from them
+        reach = np.where((p < 65535) & (q < 65535), np.minimum(p, q) + 1 + np.minimum(a - 1 - p, b - 1 - q), a + b)
+        ok = (DEN * a >= NUM * b) & (DEN * b >= NUM * a) & ((NUM + DEN) * apart <= (DEN - NUM) * (a + b)) & ((NUM + DEN) * reach >= NUM * (a + b))
         has[rest[ok]] = True
         has[j[ok]] = True
         first[j[ok]] = rest[ok]
     return has, first
 
 
-def columns(p: Plan, heavy: Heavy) -> DataFrame:
+def columns(p: Plan, rare: Rarity) -> DataFrame:
     """Columns that hold two classes or more, a row for each class that may be similar to another there.
 
-    (elem, cls, n, pos, sketch, doc, line) with the first place of the class, and
+    (elem, cls, n, pos, sketch, sketch2, doc, line) with the first place of the class, and
     the column's earliest class that may be similar to it likewise as pivot,
     pivot_n, pivot_doc, pivot_line (the class itself, if none is earlier). All
     texts of a class have the same prefix, so its first place is the first in
-    the corpus. Two classes that size and sketch allow are in each of their
-    common columns.
+    the corpus. Two similar classes are in each of their common columns.
     """
     extract, bits, shift = p.extract, p.block_bits, 64 - p.block_bits - 32
-    shared = p.docs.sparkSession.sparkContext.broadcast(heavy)  # MOST_HEAVY at most
+    shared = p.docs.sparkSession.sparkContext.broadcast(rare)  # 16 MB, and MOST_HEAVY at most
 
     def deal(batches):
         for batch in batches:
@@ -266,7 +299,7 @@ def columns(p: Plan, heavy: Heavy) -> DataFrame:
             for s in extract(batch):
                 of, pos, elements = prefixes(s, shared.value)
                 k, sizes = elements >> np.uint64(shift), np.diff(s.bounds)
-                found.append([k, class_ids(s)[of], s.doc[of], s.line[of], sizes[of].astype(np.uint32), np.minimum(pos, 65535).astype(np.uint16), s.sketch[of]])
+                found.append([k, class_ids(s)[of], s.doc[of], s.line[of], sizes[of].astype(np.uint32), np.minimum(pos, 65535).astype(np.uint16), s.sketch[of, 0], s.sketch[of, 1]])
             if not found:
                 continue
             k, *rest = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -281,7 +314,7 @@ def columns(p: Plan, heavy: Heavy) -> DataFrame:
 
     def meet(batches):
         for block, parts in _groups(batches, len(_ENTRY)):
-            rem, cls, doc, line, n, pos, sketch = (np.concatenate([unplaned(x, kind) for x in xs]) for xs, (_, kind) in zip(parts, _ENTRY, strict=True))
+            rem, cls, doc, line, n, pos, sketch, sketch2 = (np.concatenate([unplaned(x, kind) for x in xs]) for xs, (_, kind) in zip(parts, _ENTRY, strict=True))
             key = np.sort((rem.astype(np.uint64) << np.uint64(32)) | np.arange(len(rem), dtype=np.uint64))
             order = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
             r = (key >> np.uint64(32)).astype(np.uint32)
@@ -298,17 +331,17 @@ def columns(p: Plan, heavy: Heavy) -> DataFrame:
             first = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
             size = np.diff(np.append(first, len(r)))
             order = order[np.repeat(size > 1, size)]
-            has, earliest = partners(size[size > 1], n[order], sketch[order])
+            has, earliest = partners(size[size > 1], n[order], pos[order], np.stack([sketch[order], sketch2[order]], axis=1))
             pivot = order[earliest][has]
             order = order[has]
             for i in range(0, len(order), 65536):
                 o, q = order[i : i + 65536], pivot[i : i + 65536]
                 elem = np.uint64(block) << np.uint64(32) | rem[o].astype(np.uint64)
-                arrays = [elem.astype(np.int64), cls[o].astype(np.int64), n[o].astype(np.int64), pos[o].astype(np.int32), sketch[o].astype(np.int64), doc[o], line[o], cls[q].astype(np.int64), n[q].astype(np.int64), doc[q], line[q]]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["elem", "cls", "n", "pos", "sketch", "doc", "line", "pivot", "pivot_n", "pivot_doc", "pivot_line"])
+                arrays = [elem.astype(np.int64), cls[o].astype(np.int64), n[o].astype(np.int64), pos[o].astype(np.int32), sketch[o].astype(np.int64), sketch2[o].astype(np.int64), doc[o], line[o], cls[q].astype(np.int64), n[q].astype(np.int64), doc[q], line[q]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["elem", "cls", "n", "pos", "sketch", "sketch2", "doc", "line", "pivot", "pivot_n", "pivot_doc", "pivot_line"])
 
-    dealt = p.docs.mapInArrow(deal, "block int, rem binary, cls binary, doc binary, line binary, n binary, pos binary, sketch binary")
-    rows = _by_block(dealt).mapInArrow(meet, "elem long, cls long, n long, pos int, sketch long, doc long, line int, pivot long, pivot_n long, pivot_doc long, pivot_line int")
+    dealt = p.docs.mapInArrow(deal, "block int, rem binary, cls binary, doc binary, line binary, n binary, pos binary, sketch binary, sketch2 binary")
+    rows = _by_block(dealt).mapInArrow(meet, "elem long, cls long, n long, pos int, sketch long, sketch2 long, doc long, line int, pivot long, pivot_n long, pivot_doc long, pivot_line int")
     return stored(rows, p.folder, "columns")
 
 
@@ -368,8 +401,12 @@ def bloom(places: DataFrame, expected: int) -> Bloom:
     return Bloom(words)
 
 
+#: Longs of the wide sketch: 512 parities.
+WIDE = 8
+
+
 def members(p: Plan, cols: DataFrame) -> DataFrame:
-    """(doc, line, cls, n, set) of every row that has a set; ``set`` is there at the first place of a class that may meet another.
+    """(doc, line, cls, n, set, wide) of every row that has a set; ``set`` and its sketch are there at the first place of a class that may meet another.
 
     A few other rows have one too, as Bloom filters let some through.
     """
@@ -382,10 +419,11 @@ def members(p: Plan, cols: DataFrame) -> DataFrame:
                 ids, sizes = class_ids(s), np.diff(s.bounds)
                 hit = shared.value.has(place_keys(ids, s.doc, s.line))
                 some = np.flatnonzero(sizes > 0)
-                sets = [planes(s.elements[s.bounds[i] : s.bounds[i + 1]]) if hit[i] else None for i in some.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(s.doc[some]), pa.array(s.line[some], pa.int32()), pa.array(ids[some].astype(np.int64)), pa.array(sizes[some]), pa.array(sets, pa.binary())], names=["doc", "line", "cls", "n", "set"])
+                own = [s.elements[s.bounds[i] : s.bounds[i + 1]] if hit[i] else None for i in some.tolist()]
+                sets, wide = [None if x is None else planes(x) for x in own], [None if x is None else wide_sketch(x) for x in own]
+                yield pa.RecordBatch.from_arrays([pa.array(s.doc[some]), pa.array(s.line[some], pa.int32()), pa.array(ids[some].astype(np.int64)), pa.array(sizes[some]), pa.array(sets, pa.binary()), pa.array(wide, pa.list_(pa.int64()))], names=["doc", "line", "cls", "n", "set", "wide"])
 
-    return stored(p.docs.mapInArrow(run, "doc long, line int, cls long, n long, set binary"), p.folder, "members")
+    return stored(p.docs.mapInArrow(run, "doc long, line int, cls long, n long, set binary, wide array<long>"), p.folder, "members")
 
 
 #: A pair: two classes, each with its first place, at which its set is found.
@@ -428,24 +466,11 @@ def first_pairs(cols: DataFrame) -> DataFrame:
     return best.select("a", "a_doc", "a_line", F.col("m.pivot").alias("b"), F.col("m.pivot_doc").alias("b_doc"), F.col("m.pivot_line").alias("b_line"))
 
 
-#: Longs of the wide sketch: 512 parities.
-WIDE = 8
-
-
-def wide_sketches(table: DataFrame) -> DataFrame:
-    """(cls, wide) of the classes that have a set in ``table``: parities as in :func:`parities`, but ``WIDE`` longs of them."""
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for raw in batch.column("set").to_pylist():
-                h = mix(unplaned(raw, np.uint64) ^ np.uint64(0x2545F4914F6CDD1D))
-                odd = np.bincount((h >> np.uint64(55)).astype(np.int64), minlength=64 * WIDE) & 1
-                rows.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(rows, pa.list_(pa.int64()))], names=["cls", "wide"])
-
-    sets = table.filter("set IS NOT NULL").select("cls", "set")
-    return sets.mapInArrow(run, "cls long, wide array<long>").dropDuplicates(["cls"])
+def wide_sketch(elements: np.ndarray) -> np.ndarray:
+    """Parities as in :func:`parities`, but ``WIDE`` longs of them."""
+    h = mix(elements ^ np.uint64(0x2545F4914F6CDD1D))
+    odd = np.bincount((h >> np.uint64(55)).astype(np.int64), minlength=64 * WIDE) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def within_wide(x: str, y: str) -> Column:
@@ -502,7 +527,7 @@ def ring_pairs(rows: DataFrame) -> DataFrame:
 
 
 def full_pairs(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
-    """Pairs of ``left`` and ``right`` (both elem, cls, n, pos, sketch, doc, line and what ``on`` needs) that the bounds leave.
+    """Pairs of ``left`` and ``right`` (both elem, cls, n, pos, sketch, sketch2, doc, line and what ``on`` needs) that the bounds leave.
 
     ``on`` says which pairs count, in terms of the aliases x and y. Every common
     prefix column of a pair must be in both tables. What of the pair isn't
@@ -510,7 +535,7 @@ def full_pairs(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
     shorter remainder bounds the overlap.
     """
     x, y = left.alias("x"), right.alias("y")
-    met = x.join(y, (F.col("x.elem") == F.col("y.elem")) & (F.col("x.cls") != F.col("y.cls")) & within_size(F.col("x.n"), F.col("y.n")) & within_sketch(F.col("x.sketch"), F.col("y.sketch"), F.col("x.n"), F.col("y.n")) & on)
+    met = x.join(y, (F.col("x.elem") == F.col("y.elem")) & (F.col("x.cls") != F.col("y.cls")) & within_size(F.col("x.n"), F.col("y.n")) & within_sketch("x", "y") & on)
     ends = [F.col(f"{t}.{c}").alias(name) for t, names in (("x", PAIR[:3]), ("y", PAIR[3:])) for c, name in zip(("cls", "doc", "line"), names, strict=True)]
     pairs = met.groupBy(*ends).agg(F.count("*").alias("c"), F.first("x.n").alias("n"), F.first("y.n").alias("m"), F.max("x.pos").alias("i"), F.max("y.pos").alias("j"))
     reach = F.col("c") + F.least(F.col("n") - 1 - F.col("i"), F.col("m") - 1 - F.col("j"))
