@@ -86,11 +86,16 @@ def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     slim = cols.select("elem", "cls", "n", "pos", "sketch", "sketch2", "doc", "line")
     unsettled = cols.filter("cls != pivot").select(slim.columns).join(settled, "cls", "left_anti").select(slim.columns)
     unsettled = stored(unsettled, folder, "unsettled")
-    earlier = slim.join(unsettled.select("elem").distinct(), "elem", "left_semi").select(slim.columns)
-    more = setjoin.full_pairs(unsettled, earlier, F.struct("y.doc", "y.line") < F.struct("x.doc", "x.line"))
+    wide = table.filter("wide IS NOT NULL").select("cls", "wide").dropDuplicates(["cls"])
+    earlier = stored(slim.join(unsettled.select("elem").distinct(), "elem", "left_semi").join(wide, "cls").select(*slim.columns, "wide"), folder, "earlier")
+    # in a large group of copies that aren't like the earliest, most find an earlier one among likely neighbours
+    likely = setjoin.ring_pairs(earlier.withColumn("root", F.col("cls"))).join(unsettled.select(F.col("cls").alias("a")).distinct(), "a", "left_semi")
+    ring = stored(setjoin.verified(likely, table), folder, "ring")
+    left = earlier.join(unsettled.select("cls").distinct(), "cls", "left_semi").join(ring.select(F.col("a").alias("cls")), "cls", "left_anti").select(earlier.columns)
+    more = setjoin.full_pairs(left, earlier, (F.struct("y.doc", "y.line") < F.struct("x.doc", "x.line")) & setjoin.within_wide("x", "y"))
     more = more.join(linked.select("a", "b"), ["a", "b"], "left_anti")
     late = stored(setjoin.verified(more, table), folder, "late")
-    links = linked.unionByName(late)
+    links = linked.unionByName(ring).unionByName(late)
     best = links.groupBy(F.col("a").alias("cls")).agg(F.min(F.struct(F.struct(F.col("b_doc").alias("doc"), F.col("b_line").alias("line")).alias("b_at"), (F.col("common") / F.col("together")).alias("sim"))).alias("m"))
     first = table.groupBy("cls").agg(F.min(F.struct("doc", "line")).alias("at"))
     known = first.join(best, "cls", "left")
