@@ -20,9 +20,12 @@ from . import setjoin
 from .frames import finished, shared_folder, stored
 from .tokens import LOWER, Texts, chunks, column, word_hashes, words
 
-#: Lines of fewer distinct words are left alone: they repeat by chance.
+#: Lines of fewer distinct words are left alone, unless the caller says otherwise.
 LEAST_WORDS = 5
 
+#: Every line that has a word. The query and the pipeline take this; the join is exact for short lines too.
+EVERY_LINE = 1
+
 _BITS = 48
 
 

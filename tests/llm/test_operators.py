@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillmill.llm import decontaminate, language_id, licenses, line_dedup, mixing, ngram_join, quality_model, quality_rules, secrets, setjoin, tokens, warc
+import corpus_pipeline
+from quillmill.llm import decontaminate, language_id, licenses, line_dedup, mixing, ngram_join, quality_model, quality_rules, queries, secrets, setjoin, tokens, warc
 from quillmill.llm.frames import shared_folder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, cls int, __x string"
@@ -188,6 +189,25 @@ def test_lines_against_brute_force(spark, monkeypatch):
             assert r.similarity == pytest.approx(len(a & b) / len(a | b)) and r.similarity >= 0.8
 
 
+def short_line_corpus():
+    r = random.Random(12)
+    short = ["All rights reserved.", "a", "A a", "a b", "b A", "a b c", "a b c d", "a b c d e", "a b c d f", "one two three four", "Of, edti oner.", " \t", ""]
+    return [*line_corpus(), *("\n".join(r.choice(short) for _ in range(r.randrange(1, 6))) for _ in range(30))]
+
+
+def test_short_lines_go_in_query_and_pipeline(spark, tmp_path):
+    texts = short_line_corpus()
+    docs = frame(spark, texts)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    gone = brute_lines(texts, least=1)
+    assert len(gone) > len(brute_lines(texts))
+    got = queries.op9_line_dedup(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.line) for r in got) == sorted(gone)
+    for r in corpus_pipeline.lines(spark, docs, str(tmp_path)).collect():
+        t = texts[r.doc_id]
+        assert r.text == (t if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (r.doc_id, i) not in gone))
+
+
 def test_texts_without_later_lines(spark):
     texts = line_corpus()
     gone = brute_lines(texts)
