@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import setjoin
@@ -28,6 +28,8 @@ EVERY_LINE = 1
 
 _BITS = 48
 
+_SLIM = ("elem", "cls", "n", "pos", "sketch", "sketch2", "doc", "line")
+
 
 def line_sets(part: Texts, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, line, bounds, elements) of the lines with ``least`` distinct words or more; lines count from 0."""
@@ -72,42 +74,84 @@ def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, line, earlier_id, earlier_line, similarity) of every line that goes, with an earlier line that it is similar to.
 
     Similar: the sets of words (A-Z in lower case) have a Jaccard similarity of
-    0.8 or more. The earlier line may itself go. Lines count from 0 and are cut
-    at ``\\n``. Rows without id or text have no lines here; rows that repeat an id
-    count as one document whose lines are numbered alike; an empty table gives
-    no rows.
+    0.8 or more. The earlier line may itself go, and need not be the earliest:
+    a line is settled by the first link that is found. :func:`linked_lines`
+    finds all links. Lines count from 0 and are cut at ``\\n``. Rows without id
+    or text have no lines here; rows that repeat an id count as one document
+    whose lines are numbered alike; an empty table gives no rows.
     """
-    folder = shared_folder(docs.sparkSession)
-    ids = docs.select(docs[f"`{id_col}`"].cast("long").alias("id"), docs[f"`{text_col}`"].cast("string").alias("text"))
-    p = setjoin.plan(ids, extract(least), folder)
-    cols = setjoin.columns(p, setjoin.rarity(p))
-    table = setjoin.members(p, cols)
+    folder, cols, table = _columns(docs, id_col, text_col, least)
+    slim = cols.select(*_SLIM)
 
     linked = stored(setjoin.verified(setjoin.first_pairs(cols), table), folder, "linked")
     # pivots are earlier: a class that has a link to one is settled
     settled = linked.select(F.col("a").alias("cls"))
-    slim = cols.select("elem", "cls", "n", "pos", "sketch", "sketch2", "doc", "line")
     unsettled = cols.filter("cls != pivot").select(slim.columns).join(settled, "cls", "left_anti").select(slim.columns)
     unsettled = stored(unsettled, folder, "unsettled")
-    wide = table.filter("wide IS NOT NULL").select("cls", "wide").dropDuplicates(["cls"])
-    earlier = stored(slim.join(unsettled.select("elem").distinct(), "elem", "left_semi").join(wide, "cls").select(*slim.columns, "wide"), folder, "earlier")
+    earlier = stored(slim.join(unsettled.select("elem").distinct(), "elem", "left_semi").join(_wide(table), "cls").select(*slim.columns, "wide"), folder, "earlier")
     # in a large group of copies that aren't like the earliest, most find an earlier one among likely neighbours
     likely = setjoin.ring_pairs(earlier.withColumn("root", F.col("cls"))).join(unsettled.select(F.col("cls").alias("a")).distinct(), "a", "left_semi")
     ring = stored(setjoin.verified(likely, table), folder, "ring")
     left = earlier.join(unsettled.select("cls").distinct(), "cls", "left_semi").join(ring.select(F.col("a").alias("cls")), "cls", "left_anti").select(earlier.columns)
-    more = setjoin.full_pairs(left, earlier, (F.struct("y.doc", "y.line") < F.struct("x.doc", "x.line")) & setjoin.within_wide("x", "y"))
+    more = setjoin.full_pairs(left, earlier, _later())
     more = more.join(linked.select("a", "b"), ["a", "b"], "left_anti")
     late = stored(setjoin.verified(more, table), folder, "late")
     links = linked.unionByName(ring).unionByName(late)
+    out = _rows(table, links).select("doc", "line", "e", "similarity")
+    return finished(out.select(F.col("doc").alias(id_col), "line", *_earlier(id_col), "similarity"), folder)
+
+
+def linked_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = EVERY_LINE) -> DataFrame:
+    """The lines of :func:`later_lines`, each with the earliest line that it is similar to, its class and what is linked to it.
+
+    Every pair of different classes is counted that the bounds leave, of settled
+    classes too: no link is lost. ``class_id`` is the same for lines of equal
+    sets of words, ``n_links`` the number of other classes that the class is
+    similar to, earlier and later ones.
+    """
+    folder, cols, table = _columns(docs, id_col, text_col, least)
+    all_columns = stored(cols.select(*_SLIM).join(_wide(table), "cls").select(*_SLIM, "wide"), folder, "all")
+    links = stored(setjoin.verified(setjoin.full_pairs(all_columns, all_columns, _later()), table), folder, "links")
+    ends = links.select(F.col("a").alias("cls")).unionAll(links.select(F.col("b").alias("cls")))
+    degree = ends.groupBy("cls").agg(F.count("*").alias("n_links"))
+    out = _rows(table, links).join(degree, "cls", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+    return finished(out.select(F.col("doc").alias(id_col), "line", *_earlier(id_col), "similarity", F.col("cls").alias("class_id"), "n_links"), folder)
+
+
+def _columns(docs: DataFrame, id_col: str, text_col: str, least: int) -> tuple[str, DataFrame, DataFrame]:
+    """(folder, columns, members) of the lines."""
+    folder = shared_folder(docs.sparkSession)
+    ids = docs.select(docs[f"`{id_col}`"].cast("long").alias("id"), docs[f"`{text_col}`"].cast("string").alias("text"))
+    p = setjoin.plan(ids, extract(least), folder)
+    cols = setjoin.columns(p, setjoin.rarity(p))
+    return folder, cols, setjoin.members(p, cols)
+
+
+def _wide(table: DataFrame) -> DataFrame:
+    """(cls, wide) of the classes that may meet another."""
+    return table.filter("wide IS NOT NULL").select("cls", "wide").dropDuplicates(["cls"])
+
+
+def _later() -> Column:
+    """Of two classes x is the later one, and the wide sketches allow a link."""
+    return (F.struct("y.doc", "y.line") < F.struct("x.doc", "x.line")) & setjoin.within_wide("x", "y")
+
+
+def _earlier(id_col: str) -> tuple[Column, Column]:
+    return F.col("e.doc").alias(f"earlier_{id_col}"), F.col("e.line").alias("earlier_line")
+
+
+def _rows(table: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc, line, cls, e, similarity) of the lines that have an earlier similar one: ``e`` is the first place of the class or of a linked one."""
     best = links.groupBy(F.col("a").alias("cls")).agg(F.min(F.struct(F.struct(F.col("b_doc").alias("doc"), F.col("b_line").alias("line")).alias("b_at"), (F.col("common") / F.col("together")).alias("sim"))).alias("m"))
     first = table.groupBy("cls").agg(F.min(F.struct("doc", "line")).alias("at"))
     known = first.join(best, "cls", "left")
     rows = table.select("doc", "line", "cls").distinct().join(known, "cls")
     is_first = F.struct("doc", "line") == F.col("at")
-    earlier_at = F.when(~is_first, F.col("at")).otherwise(F.col("m.b_at"))
-    similarity = F.when(~is_first, 1.0).otherwise(F.col("m.sim"))
-    out = rows.select("doc", "line", earlier_at.alias("e"), similarity.alias("similarity")).filter("e IS NOT NULL AND e < struct(doc, line)")
-    return finished(out.select(F.col("doc").alias(id_col), "line", F.col("e.doc").alias(f"earlier_{id_col}"), F.col("e.line").alias("earlier_line"), "similarity"), folder)
+    by_link = is_first | (F.col("m.b_at") < F.col("at"))
+    earlier_at = F.when(by_link, F.col("m.b_at")).otherwise(F.col("at"))
+    similarity = F.when(by_link, F.col("m.sim")).otherwise(1.0)
+    return rows.select("doc", "line", "cls", earlier_at.alias("e"), similarity.alias("similarity")).filter("e IS NOT NULL AND e < struct(doc, line)")
 
 
 def without_later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", least: int = LEAST_WORDS) -> DataFrame:

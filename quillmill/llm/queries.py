@@ -76,7 +76,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.later_lines(_table(spark, sf_dir, "documents"), least=line_dedup.EVERY_LINE)
+    return line_dedup.linked_lines(_table(spark, sf_dir, "documents"))
 
 
 #: Target weights of the mix; sources that aren't named weigh 1.

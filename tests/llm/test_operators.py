@@ -208,6 +208,31 @@ def test_short_lines_go_in_query_and_pipeline(spark, tmp_path):
         assert r.text == (t if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (r.doc_id, i) not in gone))
 
 
+def test_the_query_counts_all_links(spark, tmp_path, monkeypatch):
+    group = [" ".join([f"g{k}" for k in range(30)] + [f"own{i}"]) for i in range(40)]  # each like all others
+    path = [" ".join(f"p{k}" for k in range(i, i + 20)) for i in range(30)]  # each like its neighbours
+    texts = [*short_line_corpus(), *group, *path, "\n".join(group[::-7]), "\n".join(path[::-4])]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    places = {}
+    for d, t in enumerate(texts):
+        for i, line in enumerate((t or "").split("\n")):
+            if split(line):
+                places.setdefault(frozenset(split(line)), []).append((d, i))
+    like = {a: [b for b in places if b != a and 5 * len(a & b) >= 4 * len(a | b)] for a in places}
+    want = {}
+    for a, own in places.items():
+        at, b = min((places[b][0], b) for b in (a, *like[a]))
+        want |= {p: (at, len(a & b) / len(a | b), len(like[a])) for p in own if at < p}
+    for small in (64, 2):
+        monkeypatch.setattr(setjoin, "SMALL", small)
+        got = queries.op9_line_dedup(spark, str(tmp_path)).collect()
+        assert {(r.doc_id, r.line): ((r.earlier_doc_id, r.earlier_line), pytest.approx(r.similarity), r.n_links) for r in got} == want
+        assert len(got) == len(want) and max(r.n_links for r in got) >= 39
+        ids = {(r.doc_id, r.line): r.class_id for r in got}
+        assert all(len({ids[p] for p in own if p in ids}) <= 1 for own in places.values())
+        assert len(set(ids.values())) == sum(any(p in ids for p in own) for own in places.values())
+
+
 def test_texts_without_later_lines(spark):
     texts = line_corpus()
     gone = brute_lines(texts)
