@@ -32,8 +32,8 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes that are given to the decompressor at a time: what it leaves over is copied.
 STEP = 1 << 13
 
-#: No header block of a record is longer than this.
-HEADER_LIMIT = 1 << 16
+#: Bytes that are searched for the end of headers at a time; headers may be longer.
+HEADER_STEP = 1 << 16
 
 
 def digest(payload: bytes) -> str:
@@ -79,11 +79,22 @@ class Gap(NamedTuple):
     why: str
 
 
+def _header_end(data: bytes, at: int) -> int:
+    """Where the blank line after the headers at ``at`` is, however long they are; -1 if a version line or the end comes first."""
+    for begin in range(at, len(data), HEADER_STEP):
+        stop = data.find(b"\r\n\r\n", begin, begin + HEADER_STEP + 3)
+        if any(data.find(b"\r\n" + v, begin, stop if stop >= 0 else begin + HEADER_STEP + 11) >= 0 for v in _VERSIONS):
+            return -1
+        if stop >= 0:
+            return stop
+    return -1
+
+
 def _parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int] | str:
     """Headers, payload and end of the record at ``at``; or what is wrong with it."""
     if not data.startswith(_VERSIONS, at):
         return "no version line"
-    stop = data.find(b"\r\n\r\n", at, at + HEADER_LIMIT)
+    stop = _header_end(data, at)
     if stop < 0:
         return "headers don't end"
     headers: dict[str, str] = {}

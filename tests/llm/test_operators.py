@@ -513,6 +513,20 @@ def test_round_trip(spark):
     assert warc.archive_round_trip(pages.limit(0), shared_folder(spark)).count() == 0
 
 
+def test_long_urls(spark):
+    urls = [f"http://h/{k}/" + "u" * n for k, n in enumerate((10, 65_000, 100_000, 100_000, 3_000_000))]
+    pages = spark.createDataFrame([(i, u, "same" if i < 4 else "other") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = warc.archive_round_trip(pages, shared_folder(spark)).collect()
+    assert sorted((r.key, r.uri) for r in got) == [(str(i), u) for i, u in enumerate(urls)]
+    assert not [r for r in got if r.kind == "gap"]
+    bare = [warc.record("response", str(i), u, b"x") for i, u in enumerate(urls)]
+    rest = list(warc.salvage(b"".join(bare)))
+    assert [x.headers["x-row-key"] for x in rest] == list("01234") and all(isinstance(x, warc.Record) for x in rest)
+    # headers that don't end take nothing of the next record
+    cut = list(warc.salvage(bare[0] + bare[2][:90_000] + b"\r\n" + bare[3]))
+    assert [x.headers["x-row-key"] for x in cut if isinstance(x, warc.Record)] == ["0", "3"] and [x.length for x in cut if isinstance(x, warc.Gap)] == [90_002]
+
+
 # 8
 
 
