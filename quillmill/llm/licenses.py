@@ -2,7 +2,8 @@
 
 A text is lower-cased and cut into words; rules are regular expressions over
 the words joined by single spaces, so ``Apache-2.0`` and ``apache 2 0`` are the
-same to them.  A keyword prefilter decides which rules run on a text at all.
+same to them.  A prefilter decides which rules run on a text at all: those of
+whose pattern a text holds a literal that every match must contain.
 Detections that overlap are resolved by priority: a detection whose words lie
 inside those of a better rule's detection is dropped.
 
@@ -14,6 +15,7 @@ from __future__ import annotations
 import re
 from functools import cache
 from itertools import pairwise
+from re import _parser
 from typing import NamedTuple
 
 import numpy as np
@@ -28,57 +30,57 @@ _NORMAL = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61
 # The base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-# Fixed values, one line a family: label; keyword; name as a pattern over words; versions.
+# Fixed values, one line a family: label; name as a pattern over words; versions.
 FAMILIES = """
-agpl; affero; (?:gnu )?affero general public licen[cs]e; 1.0 3.0
-lgpl; lesser; (?:gnu )?(?:lesser|library) general public licen[cs]e; 2.0 2.1 3.0
-gpl; general; (?:gnu )?general public licen[cs]e; 1.0 2.0 3.0
-gfdl; documentation; (?:gnu )?free documentation licen[cs]e; 1.1 1.2 1.3
-apache; apache; apache (?:software )?licen[cs]e; 1.0 1.1 2.0
-mit; mit; (?:the )?mit licen[cs]e;
-x11; x11; x11 licen[cs]e;
-isc; isc; isc licen[cs]e;
-bsd; bsd; (?:(?:new|simplified|revised|modified|original) )?bsd(?: style)? licen[cs]e; 2-clause 3-clause 4-clause
-0bsd; zero; (?:zero clause|bsd zero clause|0 clause) bsd(?: licen[cs]e)?;
-mpl; mozilla; mozilla public licen[cs]e; 1.0 1.1 2.0
-epl; eclipse; eclipse public licen[cs]e; 1.0 2.0
-edl; eclipse; eclipse distribution licen[cs]e; 1.0
-cddl; common; common development and distribution licen[cs]e; 1.0 1.1
-cpl; common; common public licen[cs]e; 1.0
-ipl; ibm; ibm public licen[cs]e; 1.0
-eupl; union; european union public licen[cs]e; 1.0 1.1 1.2
-cecill; cecill; cecill(?: free software)? licen[cs]e; 1.0 2.0 2.1
-artistic; artistic; (?:perl )?artistic licen[cs]e; 1.0 2.0
-psf; python; python software foundation licen[cs]e; 2.0
-zlib; zlib; zlib(?: libpng)? licen[cs]e;
-libpng; libpng; libpng licen[cs]e; 2.0
-boost; boost; boost software licen[cs]e; 1.0
-unlicense; unlicense; (?:the )?unlicense;
-wtfpl; wtfpl; (?:do what the fuck you want to public licen[cs]e|wtfpl);
-openssl; openssl; openssl licen[cs]e;
-php; php; php licen[cs]e; 3.0 3.01
-zend; zend; zend licen[cs]e; 2.0
-ruby; ruby; ruby licen[cs]e;
-w3c; w3c; w3c software (?:notice and )?licen[cs]e;
-unicode; unicode; unicode(?: data files and software)? licen[cs]e; 3.0
-ofl; font; (?:sil )?open font licen[cs]e; 1.0 1.1
-postgresql; postgresql; postgresql licen[cs]e;
-ncsa; ncsa; (?:university of illinois )?ncsa open source licen[cs]e;
-afl; academic; academic free licen[cs]e; 1.1 2.0 2.1 3.0
-osl; open; open software licen[cs]e; 1.0 2.0 2.1 3.0
-ms-pl; microsoft; microsoft public licen[cs]e;
-ms-rl; microsoft; microsoft reciprocal licen[cs]e;
-sspl; server; server side public licen[cs]e; 1.0
-busl; business; business source licen[cs]e; 1.1
-elastic; elastic; elastic licen[cs]e; 2.0
-vim; vim; vim licen[cs]e;
-tcl; tcl; tcl tk licen[cs]e;
-upl; universal; universal permissive licen[cs]e; 1.0
-apsl; apple; apple public source licen[cs]e; 1.0 2.0
-nasa; nasa; nasa open source agreement; 1.3
-odbl; database; open (?:data commons open )?database licen[cs]e; 1.0
-odc-by; commons; open data commons attribution licen[cs]e; 1.0
-pddl; public; public domain dedication and licen[cs]e; 1.0
+agpl; (?:gnu )?affero general public licen[cs]e; 1.0 3.0
+lgpl; (?:gnu )?(?:lesser|library) general public licen[cs]e; 2.0 2.1 3.0
+gpl; (?:gnu )?general public licen[cs]e; 1.0 2.0 3.0
+gfdl; (?:gnu )?free documentation licen[cs]e; 1.1 1.2 1.3
+apache; apache (?:software )?licen[cs]e; 1.0 1.1 2.0
+mit; (?:the )?mit licen[cs]e;
+x11; x11 licen[cs]e;
+isc; isc licen[cs]e;
+bsd; (?:(?:new|simplified|revised|modified|original) )?bsd(?: style)? licen[cs]e; 2-clause 3-clause 4-clause
+0bsd; (?:zero clause|bsd zero clause|0 clause) bsd(?: licen[cs]e)?;
+mpl; mozilla public licen[cs]e; 1.0 1.1 2.0
+epl; eclipse public licen[cs]e; 1.0 2.0
+edl; eclipse distribution licen[cs]e; 1.0
+cddl; common development and distribution licen[cs]e; 1.0 1.1
+cpl; common public licen[cs]e; 1.0
+ipl; ibm public licen[cs]e; 1.0
+eupl; european union public licen[cs]e; 1.0 1.1 1.2
+cecill; cecill(?: free software)? licen[cs]e; 1.0 2.0 2.1
+artistic; (?:perl )?artistic licen[cs]e; 1.0 2.0
+psf; python software foundation licen[cs]e; 2.0
+zlib; zlib(?: libpng)? licen[cs]e;
+libpng; libpng licen[cs]e; 2.0
+boost; boost software licen[cs]e; 1.0
+unlicense; (?:the )?unlicense;
+wtfpl; (?:do what the fuck you want to public licen[cs]e|wtfpl);
+openssl; openssl licen[cs]e;
+php; php licen[cs]e; 3.0 3.01
+zend; zend licen[cs]e; 2.0
+ruby; ruby licen[cs]e;
+w3c; w3c software (?:notice and )?licen[cs]e;
+unicode; unicode(?: data files and software)? licen[cs]e; 3.0
+ofl; (?:sil )?open font licen[cs]e; 1.0 1.1
+postgresql; postgresql licen[cs]e;
+ncsa; (?:university of illinois )?ncsa open source licen[cs]e;
+afl; academic free licen[cs]e; 1.1 2.0 2.1 3.0
+osl; open software licen[cs]e; 1.0 2.0 2.1 3.0
+ms-pl; microsoft public licen[cs]e;
+ms-rl; microsoft reciprocal licen[cs]e;
+sspl; server side public licen[cs]e; 1.0
+busl; business source licen[cs]e; 1.1
+elastic; elastic licen[cs]e; 2.0
+vim; vim licen[cs]e;
+tcl; tcl tk licen[cs]e;
+upl; universal permissive licen[cs]e; 1.0
+apsl; apple public source licen[cs]e; 1.0 2.0
+nasa; nasa open source agreement; 1.3
+odbl; open (?:data commons open )?database licen[cs]e; 1.0
+odc-by; open data commons attribution licen[cs]e; 1.0
+pddl; public domain dedication and licen[cs]e; 1.0
 """.strip().splitlines()
 
 # Parts of the Creative Commons names, and their versions.
@@ -86,36 +88,36 @@ _CC = {"cc-by": "by", "cc-by-sa": "by sa", "cc-by-nd": "by nd", "cc-by-nc": "by
 _CC_LONG = {"by": "attribution", "sa": "share ?alike", "nd": "no ?deriv(?:ative)?s?(?: works)?", "nc": "non ?commercial"}
 _CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
 
-# Sentences that stand in license texts and notices, without a name. Label; keyword; pattern; how sure.
+# Sentences that stand in license texts and notices, without a name. Label; pattern; how sure.
 SENTENCES = """
-mit; hereby; permission is hereby granted free of charge to any person obtaining a copy of this software; 0.95
-mit; substantial; the above copyright notice and this permission notice shall be included in all copies or substantial portions; 0.9
-isc; hereby; permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted; 0.95
-bsd; redistribution; redistribution and use in source and binary forms with or without modification are permitted; 0.9
-bsd-3-clause; endorse; neither the name of (?:\\S+ ){1,12}nor the names of (?:its|their|the) contributors may be used to endorse; 0.9
-bsd-4-clause; advertising; all advertising materials mentioning features or use of this software must display; 0.9
-zlib; origin; the origin of this software must not be misrepresented; 0.9
-gpl; redistribute; (?:you can|may) redistribute it and or modify it under the terms of the gnu (?:\\S+ )?general public licen[cs]e; 0.9
-gpl; warranty; see the gnu general public licen[cs]e for more details; 0.9
-apache; unless; unless required by applicable law or agreed to in writing software distributed under the licen[cs]e; 0.95
-unlicense; unencumbered; this is free and unencumbered software released into the public domain; 0.95
-boost; executable; all derivative works of the software unless such copies or derivative works are solely in the form of machine executable object code; 0.9
-public-domain; public; (?:released|placed|dedicated) (?:in|into|to) the public domain; 0.8
-public-domain; public; (?:is|are) in the public domain; 0.6
-cc0; cc0; cc0(?: 1 0)?(?: universal)?; 0.9
-cc0; waive; waived all copyright and related or neighboring rights; 0.8
-proprietary; proprietary; proprietary and confidential; 0.8
-proprietary; rights; all rights reserved; 0.5
-proprietary; permission; (?:no part of this|may not be) (?:\\S+ ){0,8}(?:reproduced|copied|distributed) (?:\\S+ ){0,12}(?:without|prior) (?:\\S+ ){0,4}permission; 0.6
-copyright; copyright; copyright (?:c )?(?:19|20)\\d\\d; 0.4
-spdx; spdx; spdx license identifier; 0.3
-unknown; licensed; licensed under (?:the )?(?:terms of )?\\S+; 0.2
+mit; permission is hereby granted free of charge to any person obtaining a copy of this software; 0.95
+mit; the above copyright notice and this permission notice shall be included in all copies or substantial portions; 0.9
+isc; permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted; 0.95
+bsd; redistribution and use in source and binary forms with or without modification are permitted; 0.9
+bsd-3-clause; neither the name of (?:\\S+ ){1,12}nor the names of (?:its|their|the) contributors may be used to endorse; 0.9
+bsd-4-clause; all advertising materials mentioning features or use of this software must display; 0.9
+zlib; the origin of this software must not be misrepresented; 0.9
+gpl; (?:you can|may) redistribute it and or modify it under the terms of the gnu (?:\\S+ )?general public licen[cs]e; 0.9
+gpl; see the gnu general public licen[cs]e for more details; 0.9
+apache; unless required by applicable law or agreed to in writing software distributed under the licen[cs]e; 0.95
+unlicense; this is free and unencumbered software released into the public domain; 0.95
+boost; all derivative works of the software unless such copies or derivative works are solely in the form of machine executable object code; 0.9
+public-domain; (?:released|placed|dedicated) (?:in|into|to) the public domain; 0.8
+public-domain; (?:is|are) in the public domain; 0.6
+cc0; cc0(?: 1 0)?(?: universal)?; 0.9
+cc0; waived all copyright and related or neighboring rights; 0.8
+proprietary; proprietary and confidential; 0.8
+proprietary; all rights reserved; 0.5
+proprietary; (?:no part of this|may not be) (?:\\S+ ){0,8}(?:reproduced|copied|distributed) (?:\\S+ ){0,12}(?:without|prior) (?:\\S+ ){0,4}permission; 0.6
+copyright; copyright (?:c )?(?:19|20)\\d\\d; 0.4
+spdx; spdx license identifier; 0.3
+unknown; licensed under (?:the )?(?:terms of )?\\S+; 0.2
 """.strip().splitlines()
 
 
 class Rule(NamedTuple):
     label: str
-    keyword: str
+    needs: tuple[str, ...]  # a text without any of these has no match
     pattern: re.Pattern
     sure: float
 
@@ -127,47 +129,67 @@ def _version(v: str) -> str:
     return rf"(?: version)?(?: v)? ?v?{number}"
 
 
+def needs(pattern: str) -> tuple[str, ...]:
+    """Literals of which every match of the pattern contains one at least: of all such choices, that with the longest shortest literal."""
+
+    def of(seq) -> tuple[str, ...]:
+        choices: list[tuple[str, ...]] = []
+        run = ""
+        for op, arg in seq:
+            if op is _parser.LITERAL:
+                run += chr(arg)
+                continue
+            choices.append((run,))
+            run = ""
+            if op is _parser.SUBPATTERN:
+                choices.append(of(arg[3]))
+            elif op is _parser.BRANCH:
+                choices.append(tuple(x for branch in arg[1] for x in of(branch)))
+            elif op is _parser.MAX_REPEAT and arg[0] > 0:
+                choices.append(of(arg[2]))
+        return max([*choices, (run,)], key=lambda c: min(map(len, c)))
+
+    return of(_parser.parse(pattern))
+
+
 @cache
 def rules() -> tuple[Rule, ...]:
     """The signature rules, best first: the order is their priority."""
-    made: list[tuple[float, str, str, str]] = []
+    made: list[tuple[float, str, str]] = []
     for line in FAMILIES:
-        label, keyword, name, versions = (x.strip() for x in line.split(";"))
+        label, name, versions = (x.strip() for x in line.split(";"))
         licensed = rf"(?:licensed|released|distributed|available|provided) under (?:the )?(?:terms of )?(?:the )?{name}"
         for v in versions.split():
             own = f"{label}-{v}"
             if "clause" in v:
                 count = v[0]
                 word = {"2": "(?:2|two)", "3": "(?:3|three)", "4": "(?:4|four)"}[count]
-                made += [(0.99, own, "clause", rf"{word} clause {label}(?: licen[cs]e)?"), (0.99, own, "clause", rf"{label} {word} clause(?: licen[cs]e)?")]
+                made += [(0.99, own, rf"{word} clause {label}(?: licen[cs]e)?"), (0.99, own, rf"{label} {word} clause(?: licen[cs]e)?")]
             else:
-                made += [(0.98, own, keyword, licensed + _version(v)), (0.96, own, keyword, name + _version(v)), (0.93, own, label, rf"{label.replace('-', ' ')} ?v?{_version(v)}(?: only| or later)?")]
-        made += [(0.9, label, keyword, licensed), (0.85, label, keyword, name)]
-        made.append((0.97, label, "spdx", rf"spdx license identifier {label.replace('-', ' ')}(?: \d+)*(?: only| or later)?"))
+                made += [(0.98, own, licensed + _version(v)), (0.96, own, name + _version(v)), (0.93, own, rf"{label.replace('-', ' ')} ?v?{_version(v)}(?: only| or later)?")]
+        made += [(0.9, label, licensed), (0.85, label, name)]
+        made.append((0.97, label, rf"spdx license identifier {label.replace('-', ' ')}(?: \d+)*(?: only| or later)?"))
     for label, parts in _CC.items():
         long = " ".join(_CC_LONG[p] for p in parts.split())
         for v in _CC_VERSIONS:
-            made += [(0.97, f"{label}-{v}", "cc", rf"cc {parts}{_version(v)}"), (0.97, f"{label}-{v}", "creative", rf"creative commons {long}{_version(v)}"), (0.97, f"{label}-{v}", "creativecommons", rf"creativecommons org licenses {parts} {v.replace('.', ' ')}")]
-        made += [(0.88, label, "cc", rf"cc {parts}"), (0.88, label, "creative", rf"creative commons {long}")]
+            made += [(0.97, f"{label}-{v}", rf"cc {parts}{_version(v)}"), (0.97, f"{label}-{v}", rf"creative commons {long}{_version(v)}"), (0.97, f"{label}-{v}", rf"creativecommons org licenses {parts} {v.replace('.', ' ')}")]
+        made += [(0.88, label, rf"cc {parts}"), (0.88, label, rf"creative commons {long}")]
     for line in SENTENCES:
-        label, keyword, pattern, sure = (x.strip() for x in line.split(";"))
-        made.append((float(sure), label, keyword, pattern))
+        label, pattern, sure = (x.strip() for x in line.split(";"))
+        made.append((float(sure), label, pattern))
     made.sort(key=lambda r: -r[0])
-    return tuple(Rule(label, keyword, re.compile(rf"(?<!\S){pattern}(?!\S)"), sure) for sure, label, keyword, pattern in made)
+    return tuple(Rule(label, needs(f" {pattern}"), re.compile(rf"(?<!\S){pattern}(?!\S)"), sure) for sure, label, pattern in made)
 
 
 @cache
-def _keywords() -> re.Pattern:
-    return re.compile(("(?<!\\S)(?:" + "|".join(sorted({re.escape(r.keyword) for r in rules()}, key=len, reverse=True)) + ")").encode())
+def _needs() -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """All literals of the rules: those with :data:`_COMMON`, and the others."""
+    every = sorted({x for r in rules() for x in r.needs})
+    return tuple(x for x in every if _COMMON in x), tuple(x for x in every if _COMMON not in x)
 
 
-#: Without one of these in a text no rule can match.
-_GATE = (
-    *(b"licence", b"license", b"copyright", b"cc by", b"cc0", b"creative", b"domain", b"redistribut", b"permission", b"rights reserved", b"spdx", b"clause"),
-    *(b"wtfpl", b"unlicense", b"nasa open source", b"proprietary", b"advertising", b"misrepresented", b"waived", b"derivative works", b"unencumbered"),
-)
-#: Nor without one of these words, for rules that take a short name and a version.
-_NAMES = frozenset(w for x in FAMILIES if x.split(";")[3].strip() for w in [x.split(";")[0].strip().split("-")[0].encode()])
+#: Most literals hold this, so a text without it is asked for the others only.
+_COMMON = "licen"
 
 
 def normal(raw: bytes) -> list[bytes]:
@@ -187,12 +209,20 @@ def base_places(joined: bytes) -> list[tuple[int, str]]:
     return sorted(out)
 
 
+_OTHER_BLANK = re.compile(r"[^\S ]")
+
+
 def detect(joined: str) -> list[tuple[str, int, int, float]]:
     """(label, first character, end, how sure) of what the rules find, without detections inside a better one's."""
-    keywords = set(m.group().decode() for m in _keywords().finditer(joined.encode()))
+    # what counts as a blank before a rule's first word counts as one here
+    flat = joined if joined.isascii() else _OTHER_BLANK.sub(" ", joined)
+    common, others = _needs()
+    met = {x for x in (*(common if _COMMON in flat else ()), *others) if x in flat}
+    if not met:
+        return []
     kept: list[tuple[str, int, int, float]] = []
     for rule in rules():
-        if rule.keyword in keywords:
+        if not met.isdisjoint(rule.needs):
             for m in rule.pattern.finditer(joined):
                 i, j = m.span()
                 if not any(s <= i and j <= e for _, s, e, _ in kept):
@@ -213,7 +243,7 @@ def _scan(texts: pa.Array) -> list[list]:
         own = normal(raw) if raw else []
         counts.append(len(own))
         joined = b" ".join([b"", *own, b""]) if own else b""
-        if not own or _NAMES.isdisjoint(own) and not any(k in joined for k in _GATE):
+        if not own:
             bases.append([])
             found.append([])
             continue

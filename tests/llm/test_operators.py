@@ -310,6 +310,61 @@ def test_licenses():
     assert found[0][0] == "lgpl-2.1" and all(not (a is not b and a[1] <= b[1] and b[2] <= a[2]) for a in found for b in found)
 
 
+def samples(pattern, r):
+    """Some text that the pattern describes: a random way through it (what looks ahead is left to chance)."""
+    from re import _parser as p
+
+    def of(seq):
+        out = ""
+        for op, arg in seq:
+            if op is p.LITERAL:
+                out += chr(arg)
+            elif op is p.SUBPATTERN:
+                out += of(arg[3])
+            elif op is p.BRANCH:
+                out += of(r.choice(arg[1]))
+            elif op is p.MAX_REPEAT:
+                out += "".join(of(arg[2]) for _ in range(r.randint(arg[0], min(arg[1], arg[0] + 2))))
+            elif op is p.IN:
+                out += chr(r.choice([x for k, x in arg if k is p.LITERAL])) if any(k is p.LITERAL for k, _ in arg) else r.choice("3") if (p.CATEGORY, p.CATEGORY_DIGIT) in arg else "x"
+            else:
+                assert op in (p.ASSERT, p.ASSERT_NOT, p.AT), op
+        return out
+
+    return of(p.parse(pattern))
+
+
+def test_gated_and_ungated_scans_agree():
+    r = random.Random(9)
+
+    def ungated(joined):
+        kept = []
+        for rule in licenses.rules():
+            for m in rule.pattern.finditer(joined):
+                i, j = m.span()
+                if not any(s <= i and j <= e for _, s, e, _ in kept):
+                    kept.append((rule.label, i, j, rule.sure))
+        return sorted(kept, key=lambda x: (x[1], -x[2], x[0]))
+
+    for rule in licenses.rules():
+        hits = 0
+        for _ in range(12):
+            text = samples(rule.pattern.pattern, r)
+            for joined in (f" {text} ", f" é\u00a0{text} w ", f" w {text} 7 "):
+                hits += bool(rule.pattern.search(joined))
+                assert licenses.detect(joined) == ungated(joined)
+        assert hits
+
+
+def test_licenses_without_other_words(spark):
+    said = {
+        "GPLv3": "gpl-3.0", "LGPLv2": "lgpl-2.0", "AGPLv3": "agpl-3.0", "ODC-By 1.0": "odc-by-1.0", "0-clause BSD": "0bsd", "GNU Library General Public License": "lgpl",
+        "Do What The Fuck You Want To Public License": "wtfpl", "neither the name of X nor the names of its contributors may be used to endorse": "bsd-3-clause",
+    }
+    got = licenses.scan_licenses(frame(spark, [f"x {t} y" for t in said])).orderBy("doc_id").collect()
+    assert [[d.label for d in r.detections] for r in got] == [[x] for x in said.values()]
+
+
 def test_licenses_of_odd_rows(spark):
     got = licenses.scan_licenses(frame(spark, [*ODD, "w " * 40_000 + "MIT license"])).orderBy("doc_id").collect()
     norm = lambda t: len([w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or "")) if w])
