@@ -520,6 +520,24 @@ def test_perplexity_bands_reject_outliers(spark):
     assert left.columns == docs.columns and {x.doc_id for x in left.collect()} == {i for i, k in kept.items() if k}
 
 
+def test_a_model_of_any_size_is_whole(spark, monkeypatch):
+    r = random.Random(14)
+    texts = [*ODD, *(" ".join("".join(r.choice("etaoinéшr") for _ in range(r.randrange(1, 9))) for _ in range(r.randrange(15, 90))) for _ in range(60)), "q" * 200]
+    docs = frame(spark, texts, [("en", "de", None, "ru")[i % 4] for i in range(len(texts))])
+    rows = lambda: sorted(map(repr, quality_rules.judge(docs).collect()))
+    left = lambda: sorted(map(repr, quality_rules.filtered(docs).collect()))
+    want = rows(), left()
+    levels = quality_rules.fit(docs).levels
+    for most in (500, 10):  # some languages are kept, or one at a time
+        monkeypatch.setattr(quality_rules, "MOST_ENTRIES", most)
+        assert (rows(), left()) == want
+    large = quality_rules.fit(docs).levels
+    assert isinstance(large, quality_rules.Stored) and set(large) == set(levels) == {"en", "de", "und", "ru"}
+    for lang in levels:
+        for a, b in zip(levels[lang], large[lang], strict=True):
+            assert all(np.array_equal(x, y) for x, y in zip(a, b, strict=True))
+
+
 # 7
 
 
