@@ -14,6 +14,7 @@ from .errors import WOULD_CHANGE, ConfigError, EngineError
 from .plans import api, dsl, registry, run
 from .plans.compiler import Plan, compile_at_path, compile_script
 from .sources import files, sinks
+from .sources.tables import kept
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -84,17 +85,12 @@ def _refactor(a: argparse.Namespace) -> int:
         check = run.shell(a.bisect)
 
         def verify(ch) -> bool:
-            ch = ch.cache()
-            try:
-                sinks.write_files(ch)
-                ok = check()
-                sinks.write_files(ch, "before")
-                return ok
-            finally:
-                ch.unpersist()
-
-        texts = run.prefixes(load(), plan).cache()
-        texts.count()
+            sinks.write_files(ch)
+            ok = check()
+            sinks.write_files(ch, "before")
+            return ok
+
+        texts = kept(run.prefixes(load(), plan))
         got = run.bisect(texts, plan, verify)
         if got.ok:
             run.apply(load(), plan, "write", a.backup)

@@ -165,11 +165,21 @@ def holes(token: Token) -> Iterator[tuple[int, int]]:
 # The same tokens as one pattern for Java's regular expressions, for column expressions. Loops are possessive: no stack grows with a text.
 def _nest(depth: int) -> str:
     inner = r"[^*/]++|\*(?!/)|/(?!\*)"
-    return rf"/\*(?:{inner}|{_nest(depth - 1)})*+\*/" if depth else rf"/\*(?:{inner})*+\*/"
+    return rf"/\*(?:{inner}|{_nest(depth - 1)})*+(?:\*/|\z)" if depth else rf"/\*(?:{inner})*+(?:\*/|\z)"
+
+
+#: Rust's comments are nested; Java's regular expressions can't count, so theirs end after so many levels.
+NESTED = 32
+_LETTER, _DIGIT = r"[\p{L}\p{Nl}\p{No}_]", r"\p{Nd}(?:[\p{L}\p{N}_.]|(?<=[eE])[+-])*+"
+_REST = r"[\p{L}\p{N}_]*+"
+_C_STYLE = r"//[^\n]*+|/\*(?s:.*?)(?:\*/|\z)"
+_QUOTED = r'''"(?:[^"\\\n]|\\(?s:.))*+"?+|'(?:[^'\\\n]|\\(?s:.))*+'?+'''
+_BLANK = r"[\s\p{Z}\x{85}\x{1c}-\x{1f}]++"
+_ELSE = rf"{_BLANK}|(?s:.)"
 
 
 JAVA_PATTERNS = {
-    "go": r"""//[^\n]*+|/\*(?s:.*?)\*/|`[^`]*+`|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|[\p{L}_][\p{L}\p{Nd}_]*+|\p{Nd}[\p{L}\p{Nd}_.]*+|\s++|(?s:.)""",
-    "java": r'''//[^\n]*+|/\*(?s:.*?)\*/|"""(?s:(?:\\.|(?!""").)*+)"""|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|[\p{L}_$][\p{L}\p{Nd}_$]*+|\p{Nd}[\p{L}\p{Nd}_.]*+|\s++|(?s:.)''',
-    "rust": r"//[^\n]*+|" + _nest(4) + r"""|(?:br|cr|r)(#++)"(?s:.*?)"\1|(?:br|cr|r)"[^"]*+"|[bc]?"(?s:(?:[^"\\]|\\.)*+)"|b?'(?:\\(?:u\{[^}]*+\}|x[0-9a-fA-F]{2}|.)|[^'\\\n])'|'[\p{L}_][\p{L}\p{Nd}_]*+|r#[\p{L}_][\p{L}\p{Nd}_]*+|[\p{L}_][\p{L}\p{Nd}_]*+|\p{Nd}[\p{L}\p{Nd}_.]*+|\s++|(?s:.)""",
+    "go": rf"""{_C_STYLE}|`[^`]*+(?:`|\z)|{_QUOTED}|(?:package(?:{_BLANK}|{_C_STYLE})++)++{_LETTER}{_REST}|{_LETTER}{_REST}|{_DIGIT}|{_ELSE}""",
+    "java": rf'''{_C_STYLE}|"""(?s:\\.|(?!""").)*+(?:"""|\z)|{_QUOTED}|{_LETTER.replace("_]", "_$]")}{_REST.replace("_]", "_$]")}|{_DIGIT}|{_ELSE}''',
+    "rust": rf"""//[^\n]*+|{_nest(NESTED)}|(?:br|cr|b|c|r)?(#++)"(?s:.*?)(?:"\1|\z)|(?:br|cr|r)"[^"]*+(?:"|\z)|[bc]?+"(?s:[^"\\]|\\.)*+(?:"|\z)|b?+'(?:\\(?:u\{{[^}}]*+\}}|x[0-9a-fA-F]{{2}}|(?s:.))|[^'\\\n])'|'{_LETTER}{_REST}|r#{_LETTER}{_REST}|{_LETTER}{_REST}|{_DIGIT}|{_ELSE}""",
 }

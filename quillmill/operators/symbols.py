@@ -38,8 +38,8 @@ def composed(renames: list[tuple[str, str]]) -> dict[str, str]:
 def renamed(lang: str, text: Column, renames: list[tuple[str, str]]) -> Column:
     """``text`` with the renames of a language whose tokens :data:`JAVA_PATTERNS` has, in order.
 
-    The name in Go's package clause is no identifier. Texts without any of the
-    names are passed through unread.
+    The name in Go's package clause is no identifier: both are one token. Texts
+    without any of the names are passed through unread.
     """
     table = composed([(a, b) for a, b in renames if a not in KEYWORDS[lang]])
     if not table:
@@ -47,13 +47,7 @@ def renamed(lang: str, text: Column, renames: list[tuple[str, str]]) -> Column:
     tokens = F.regexp_extract_all(text, F.lit(JAVA_PATTERNS[lang]), F.lit(0))
     swap = F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
 
-    def each(token: Column, i: Column) -> Column:
-        new = F.coalesce(F.element_at(swap, token), token)
-        if lang == "go":
-            return F.when((i >= 2) & (F.get(tokens, i - 2) == "package"), token).otherwise(new)
-        return new
-
-    mapped = F.array_join(F.transform(tokens, each), "")
+    mapped = F.array_join(F.transform(tokens, lambda token: F.coalesce(F.element_at(swap, token), token)), "")
     hit = F.lit(False)
     for name in table:
         hit = hit | F.contains(text, F.lit(name))

@@ -120,9 +120,11 @@ def _any_step(rules: list[Rule], path: Column, text: Column) -> Column:
 def changes(files: DataFrame, plan: Plan, path_col: str = "path", text_col: str = "text") -> DataFrame:
     """(path, before, after, changed) of every file that a rule is for; extra columns of ``files`` are left out.
 
-    A file whose text is null is left out too.
+    Only ``root_idx``, the number of a file's root, is kept if there is one, and
+    stands first. A file whose text is null is left out.
     """
-    picked = files.select(F.col(f"`{path_col}`").alias("path"), F.col(f"`{text_col}`").alias("before"))
+    root = ["root_idx"] if "root_idx" in files.columns and "root_idx" not in (path_col, text_col) else []
+    picked = files.select(*root, F.col(f"`{path_col}`").alias("path"), F.col(f"`{text_col}`").alias("before"))
     picked = picked.filter(plan.relevant(F.col("path")) & F.col("before").isNotNull())
     out = rewritten(picked, plan, "path", "before", "after")
-    return out.select("path", "before", "after", (F.col("before") != F.col("after")).alias("changed"))
+    return out.select(*root, "path", "before", "after", (F.col("before") != F.col("after")).alias("changed"))

@@ -14,18 +14,24 @@ from pyspark.sql.types import StringType
 
 from ..operators.edits import unified_diff
 from ..sources import sinks
+from ..sources.tables import kept
 from .compiler import Plan, changes, rewritten
 
 FORMATS = ("human", "json", "ndjson", "diff")
 MODES = ("write", "dry-run", "check")
 
 
+def _root(df: DataFrame) -> list[str]:
+    """What orders files besides their paths, if the source told."""
+    return [c for c in ("root_idx",) if c in df.columns]
+
+
 def file_events(ch: DataFrame) -> DataFrame:
     """One JSON object a processed file, unchanged ones too; sizes are UTF-8 bytes."""
     event = F.struct(
         F.lit("file").alias("type"), "path", "changed", F.octet_length("before").cast("long").alias("bytes_before"), F.octet_length("after").cast("long").alias("bytes_after")
     )
-    return ch.select("path", F.to_json(event).alias("event"))
+    return ch.select(*_root(ch), "path", F.to_json(event).alias("event"))
 
 
 def summary(ch: DataFrame, *by: str) -> DataFrame:
@@ -52,7 +58,7 @@ def language() -> Column:
 def human_lines(ch: DataFrame, mode: str = "dry-run") -> DataFrame:
     """A line for each changed file."""
     verb = "Wrote" if mode == "write" else "Would change"
-    return ch.filter("changed").select("path", F.concat(F.lit(f"{verb} "), F.col("path")).alias("line"))
+    return ch.filter("changed").select(*_root(ch), "path", F.concat(F.lit(f"{verb} "), F.col("path")).alias("line"))
 
 
 def summary_line(row, elapsed_ms: int = 0) -> str:
@@ -64,19 +70,19 @@ def _diff(path: pa.Array, before: pa.Array, after: pa.Array) -> pa.Array:
     return pa.array([unified_diff(*x) for x in zip(path.to_pylist(), before.to_pylist(), after.to_pylist(), strict=True)], pa.string())
 
 
+def diff_column() -> Column:
+    """The unified diff of ``before`` and ``after``."""
+    return _diff("path", "before", "after")
+
+
 def diffs(ch: DataFrame) -> DataFrame:
-    """(path, diff) of changed files."""
-    return ch.filter("changed").select("path", _diff("path", "before", "after").alias("diff"))
+    """(path, diff) of changed files, with their root if it is known."""
+    return ch.filter("changed").select(*_root(ch), "path", _diff("path", "before", "after").alias("diff"))
 
 
 def in_order(df: DataFrame) -> DataFrame:
     """By root as given, then by path, segment by segment: the one sort that a run can have."""
-    keys = [c for c in ("root_idx",) if c in df.columns]
-    return df.orderBy(*keys, F.split("path", "/"))
-
-
-def would_change(ch: DataFrame) -> bool:
-    return not ch.filter("changed").limit(1).isEmpty()
+    return df.orderBy(*_root(df), F.split("path", "/"))
 
 
 def resolve_mode(fmt: str = "human", write: bool = False, dry_run: bool = False, check: bool = False, terminal: bool = False) -> str:
@@ -101,10 +107,10 @@ def hits(files: DataFrame, plan: Plan, path_col: str = "path", text_col: str = "
 
 def prefixes(files: DataFrame, plan: Plan) -> DataFrame:
     """(path, texts): the text before any rule and after each one, worked out once for all prefixes of the plan."""
-    out = files.filter(plan.relevant(F.col("path"))).select("path", F.col("text").alias("t0"))
+    out = files.filter(plan.relevant(F.col("path"))).select(*_root(files), "path", F.col("text").alias("t0"))
     for i in range(len(plan.rules)):
         out = rewritten(out, plan.single(i), "path", f"t{i}", f"t{i + 1}")
-    return out.select("path", F.array(*(f"t{i}" for i in range(len(plan.rules) + 1))).alias("texts"))
+    return out.select(*_root(files), "path", F.array(*(f"t{i}" for i in range(len(plan.rules) + 1))).alias("texts"))
 
 
 @dataclass(frozen=True)
@@ -138,17 +144,14 @@ def stepwise(load: Callable[[], DataFrame], plan: Plan, verify: Callable[[], boo
     total = 0
     for i in range(len(plan.rules)):
         one = plan.single(i)
-        ch = changes(load(), one).filter("changed").cache()
-        try:
-            n = ch.count()
-            if backup and n:
-                sinks.backup(ch, backup)
-            sinks.write_files(ch)
-            if verify is not None and not verify():
-                sinks.write_files(ch, "before")
-                return Outcome(False, i, plan.rules[i].label, total)
-        finally:
-            ch.unpersist()
+        ch = kept(changes(load(), one).filter("changed"))
+        n = ch.count()
+        if backup and n:
+            sinks.backup(ch, backup)
+        sinks.write_files(ch)
+        if verify is not None and not verify():
+            sinks.write_files(ch, "before")
+            return Outcome(False, i, plan.rules[i].label, total)
         total += n
         if commit is not None and n:
             commit(plan.rules[i].label)
@@ -169,9 +172,9 @@ def git_commit(cwd: str) -> Callable[[str], None]:
 
 
 def apply(files: DataFrame, plan: Plan, mode: str = "dry-run", backup: str | None = None) -> tuple[DataFrame, dict]:
-    """(changes, summary). All changes are worked out and kept before the first file is written."""
+    """(changes, summary). All changes are worked out and kept in a table before the first file is written."""
     began = time.monotonic()
-    ch = changes(files, plan).cache()
+    ch = kept(changes(files, plan)) if mode == "write" else changes(files, plan).cache()
     s = summary(ch).collect()[0].asDict()
     if mode == "write":
         if backup:

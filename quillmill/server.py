@@ -11,9 +11,10 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .errors import EngineError
-from .plans import api, registry, run
+from .plans import api, registry
 from .plans.compiler import changes, compile_script
 from .sources import files, sinks
+from .sources.tables import kept
 
 METHOD_NOT_FOUND, INVALID_PARAMS, PARSE_ERROR = -32601, -32602, -32700
 
@@ -52,29 +53,30 @@ class Refused(Exception):
 
 
 _SCRIPT = {"script": {"type": "string", "description": "Source of the script"}}
-_PATH = {"path": {"type": "string", "description": "File or folder"}}
+_PATHS = {"paths": {"type": "array", "items": {"type": "string"}, "minItems": 1, "description": "Files and folders, in order"}}
 
 
 def _tool(name: str, description: str, properties: dict) -> dict:
-    return {"name": name, "description": description, "inputSchema": {"type": "object", "properties": properties, "required": list(properties)}}
+    return {"name": name, "description": description, "inputSchema": {"type": "object", "properties": properties, "required": list(properties), "additionalProperties": False}}
 
 
 TOOLS = [
     _tool("quillmill.schema", "Languages, modules and actions.", {}),
-    _tool("quillmill.lint_script", "Findings for a script; none for a good one.", _SCRIPT),
-    _tool("quillmill.preview", "What a script would change, with diffs; nothing is written.", _SCRIPT | _PATH),
-    _tool("quillmill.apply", "Runs a script and writes the changes.", _SCRIPT | _PATH),
+    _tool("quillmill.lint_script", "Whether a script is good: {ok, name, rule_count}, or {ok, error, exit_code}.", _SCRIPT),
+    _tool("quillmill.preview", "What a script would change, with diffs; nothing is written.", _SCRIPT | _PATHS),
+    _tool("quillmill.apply", "Runs a script, writes the changes and returns their diffs.", _SCRIPT | _PATHS),
 ]
 
 
-def run_script(spark: SparkSession, script: str, path: str, write: bool, tick: Callable[[int, int | None], None] | None = None) -> list[dict]:
-    """An object for each processed file, in order; ``tick`` hears of every ``TICK`` files, and of the total at the end."""
+def run_script(spark: SparkSession, script: str, paths: list[str], write: bool, tick: Callable[[int, int | None], None] | None = None) -> list[dict]:
+    """An object for each processed file, in order, with a diff if it changed; ``tick`` hears of every ``TICK`` files, and of the total at the end."""
     plan = compile_script(script)
-    ch = changes(files.tree(spark, path, relevant=plan.relevant(F.col("path"))), plan).cache()
-    rows = ch.join(run.diffs(ch), "path", "left") if not write else ch.withColumn("diff", F.lit(None).cast("string"))
+    ch = changes(files.tree(spark, paths, relevant=plan.relevant(F.col("path"))), plan)
+    if write:
+        ch = kept(ch)
     out: list[dict] = []
-    for r in run.in_order(rows.select("path", "changed", F.octet_length("before").alias("b"), F.octet_length("after").alias("a"), "diff")).toLocalIterator():
-        out.append({"path": r["path"], "changed": r["changed"], "bytes_before": r["b"], "bytes_after": r["a"]} | ({"diff": r["diff"]} if r["diff"] is not None else {}))
+    for r in api.reports(ch):
+        out.append(r)
         if tick and len(out) % TICK == 0:
             tick(len(out), None)
     if write:
@@ -105,8 +107,10 @@ class ToolServer:
         known = {t["name"]: t for t in TOOLS}
         if name not in known:
             raise Refused(INVALID_PARAMS, f"unknown tool {name}")
-        if missing := [k for k in known[name]["inputSchema"]["required"] if not isinstance(given.get(k), str)]:
-            raise Refused(INVALID_PARAMS, f"missing {', '.join(missing)}")
+        given = given | ({"paths": [given["path"]]} if isinstance(given.get("path"), str) and "paths" not in given else {})
+        fits = {"string": lambda x: isinstance(x, str), "array": lambda x: isinstance(x, list) and x and all(isinstance(y, str) for y in x)}
+        if missing := [k for k, p in known[name]["inputSchema"]["properties"].items() if not fits[p["type"]](given.get(k))]:
+            raise Refused(INVALID_PARAMS, f"missing or of another type: {', '.join(missing)}")
 
         def tick(done: int, total: int | None) -> None:
             self.send({"jsonrpc": "2.0", "method": "notifications/progress", "params": {"progressToken": token, "progress": done} | ({"total": total} if total is not None else {})})
@@ -115,9 +119,9 @@ class ToolServer:
             if name == "quillmill.schema":
                 got = registry.schema()
             elif name == "quillmill.lint_script":
-                got = {"findings": api.lint_script(given["script"])}
+                got = api.checked(given["script"])
             else:
-                got = {"files": run_script(self.session(), given["script"], given["path"], name == "quillmill.apply", tick if token is not None else None)}
+                got = {"files": run_script(self.session(), given["script"], given["paths"], name == "quillmill.apply", tick if token is not None else None)}
         except EngineError as e:
             return {"content": [{"type": "text", "text": str(e)}], "isError": True, "code": e.exit_code}
         return {"content": [{"type": "text", "text": json.dumps(got)}], "isError": False}
@@ -145,7 +149,7 @@ class LanguageServer:
         if method == "textDocument/completion":
             text, at = self.texts.get(doc.get("uri"), ""), params["position"]
             before = "\n".join([*text.split("\n")[: at["line"]], api.line_prefix(text, at["line"], at["character"])])
-            return [{"label": x, "kind": 14} for x in api.complete(before)]
+            return api.complete(before)
         raise Refused(METHOD_NOT_FOUND, f"unknown method {method}")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError, SourceError
-from .globs import Ignore, selected, takes
+from .globs import Ignore, takes
 
 #: Bytes of text to a record batch.
 BATCH_BYTES = 8 << 20
@@ -176,11 +176,6 @@ def given(spark: SparkSession, path: str, text: str) -> DataFrame:
     return spark.createDataFrame([(0, path, text)], FILES)
 
 
-def scoped(files: DataFrame, include: list[str], exclude: list[str], path_col: str = "path") -> DataFrame:
-    """A table of files cut down by globs, as column expressions."""
-    return files.filter(selected(F.col(f"`{path_col}`"), include, exclude))
-
-
 def packs(base: str = ".", home: str | None = None) -> list[tuple[str, str, str]]:
     """(name, path, source) of scripts in the nearest repository's and the home folder's ``.quillmill/packs``."""
     out = []

@@ -38,15 +38,16 @@ def _writer():
 def write_files(changes: DataFrame, column: str = "after") -> None:
     """Changed files written in place by the executors; the same text again if a task is repeated.
 
-    ``changes`` should be stored or cached: all of it is worked out before the first file is written.
+    ``changes`` must be stored (see :func:`.tables.kept`): what is made from the files can't be made again once they are written.
     """
     changes.filter("changed").select("path", F.col(column).alias("text")).foreachPartition(_writer())
 
 
 def backup(changes: DataFrame, table: str) -> None:
-    """Appends the pre-images of changed files to the table at ``table``; a path's first one stays."""
+    """Appends the pre-images of changed files to the table at ``table``, by absolute path; a path's first one stays."""
     spark = changes.sparkSession
-    new = changes.filter("changed").select("path", F.col("before").alias("text"))
+    path = F.when(F.col("path").startswith("/"), F.col("path")).otherwise(F.concat(F.lit(os.getcwd() + "/"), F.regexp_replace("path", r"^(?:\./)+", "")))
+    new = changes.filter("changed").select(path.alias("path"), F.col("before").alias("text")).dropDuplicates(["path"])
     try:
         new = new.join(spark.read.parquet(table).select("path"), "path", "left_anti")
     except Exception as e:  # noqa: BLE001
@@ -56,7 +57,7 @@ def backup(changes: DataFrame, table: str) -> None:
 
 
 def undo(spark: SparkSession, table: str) -> int:
-    """Writes every pre-image back; returns how many."""
+    """Writes every pre-image back, from whatever folder; returns how many."""
     old = spark.read.parquet(table)
     old.select("path", "text").foreachPartition(_writer())
     return old.count()

@@ -2,7 +2,9 @@
 
 import json
 import os
+import random
 import subprocess
+import time
 
 import duckdb
 import pytest
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillmill import cli
 from quillmill.errors import ConfigError
+from quillmill.operators import symbols
 from quillmill.plans import api, catalog, run
 from quillmill.plans.compiler import changes, compile_script
 from quillmill.sources import files, globs, sinks
@@ -68,6 +71,27 @@ def test_renames_share_a_pass_and_nothing_is_shuffled(spark):
     assert ch.first().after == "newer"
 
 
+PIECES = ["old", "package", "new", " ", "\n", "/*", "*/", "//", '"', "'", "`", "\\", "r", "#", "b", "1", "e", "+", ".", "é", "$", "_", "(", '"""', "a1", "²", "\t"]
+
+
+@pytest.mark.parametrize("lang", ["go", "rust", "java"])
+def test_both_forms_of_a_rename_agree(spark, lang):
+    r = random.Random(lang)
+    texts = ["".join(r.choice(PIECES) for _ in range(r.randrange(1, 14))) for _ in range(3000)]
+    texts += ["package /* c */ old\nvar old", "package // c\n old; old", "package package old old", "x := `old", '"old', "/* old", "/* /* old */ old */ old", "packageold old", "1e+old old"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = {x.i: x.r for x in df.select("i", symbols.renamed(lang, F.col("text"), [("old", "fresh")]).alias("r")).collect()}
+    assert [(t, got[i]) for i, t in enumerate(texts)] == [(t, symbols.rename(lang, t, "old", "fresh")) for t in texts]
+
+
+def test_a_rename_takes_time_in_proportion(spark):
+    text = "package p\n" + "x := Old + 1\n" * 20_000
+    df = spark.createDataFrame([(text,)], "text string")
+    began = time.monotonic()
+    got = df.select(symbols.renamed("go", F.col("text"), [("Old", "New")]).alias("r")).first().r
+    assert got == text.replace("Old", "New") and time.monotonic() - began < 30
+
+
 @pytest.fixture
 def work(tmp_path):
     for name, text in {"a.go": "var old = 1\n", "sub/__init__.py": "old = 1\n", "sub/b.go": "none\n", ".hidden/c.go": "old", "skip/d.go": "old", "skip/keep.go": "old", "é x.go": "old"}.items():
@@ -112,6 +136,39 @@ def test_write_backup_undo(spark, work, tmp_path_factory):
     assert (work / "a.go").read_text() == "var old = 1\n"
 
 
+def test_undo_from_another_folder(spark, work, tmp_path_factory, monkeypatch):
+    table, p = f"{tmp_path_factory.mktemp('b')}/images", plan(RENAME)
+    monkeypatch.chdir(work)
+    run.apply(files.tree(spark, ["./a.go"]), p, "write", table)
+    assert (work / "a.go").read_text() == "var new = 1\n"
+    assert [r.path for r in spark.read.parquet(table).collect()] == [str(work / "a.go")]
+    monkeypatch.chdir(tmp_path_factory.mktemp("elsewhere"))
+    assert sinks.undo(spark, table) == 1
+    assert (work / "a.go").read_text() == "var old = 1\n"
+
+
+def test_changes_outlive_what_they_were_made_from(spark, work):
+    p = plan('match go::symbol "old" { replace "old2" }', 'match go::call "f" { replace_call "wrap($args)" }')
+    (work / "a.go").write_text("var old = f(1)\n")
+    ch, total = run.apply(files.tree(spark, str(work / "a.go")), p, "write")
+    assert total["files_changed"] == 1
+    # as after the loss of everything that was cached
+    spark.catalog.clearCache()
+    assert [(r.before, r.after) for r in ch.collect()] == [("var old = f(1)\n", "var old2 = wrap(1)\n")]
+    sinks.write_files(ch)
+    assert (work / "a.go").read_text() == "var old2 = wrap(1)\n"
+
+
+def test_files_come_root_by_root(spark, work):
+    top = work / "roots"
+    for name in ("zz", "aa"):
+        (top / name).mkdir(parents=True)
+        (top / name / "f.go").write_text("var old = 1\n")
+    ch = changes(files.tree(spark, [str(top / "zz"), str(top / "aa")]), plan(RENAME))
+    for df in (ch, run.diffs(ch), run.file_events(ch), run.human_lines(ch)):
+        assert names(df, top) == ["zz/f.go", "aa/f.go"]
+
+
 def test_stepwise_stops_at_the_rule_that_fails(spark, work):
     p = plan(RENAME, 'match go::symbol "new" { replace "bad" }')
     load = lambda: files.tree(spark, str(work / "a.go"))

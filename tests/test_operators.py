@@ -135,11 +135,14 @@ def test_discovery_and_completion():
         registry.list_rules("cobol")
     assert api.lint_script(script("s", 'match go::import "a" { delete }')) == []
     assert api.lint_script("nonsense")[0]["code"] == 2
-    assert api.complete("") == ["refactor"]
-    assert api.complete('refactor "x" { ') == ["match", "include"]
-    assert "python" in api.complete('refactor "x" { match ')
-    assert api.complete('refactor "x" { match rust::') == ["use", "symbol", "crate", "call"]
-    assert api.complete('refactor "x" { match rust::crate "a" { ') == ["replace", "delete"]
+    labels = lambda before: [x["label"] for x in api.complete(before)]
+    assert labels("") == ["refactor"] and "$0" in api.complete("")[0]["insertText"]
+    assert labels('refactor "x" { ') == ["match", "include"]
+    languages = api.complete('refactor "x" { match ')
+    assert [x["insertText"] for x in languages][:2] == ["go::", "rust::"] and languages[0]["insertTextFormat"] == 1
+    assert labels('refactor "x" { match rust::') == ["use", "symbol", "crate", "call"]
+    actions = api.complete('refactor "x" { match rust::crate "a" { ')
+    assert [x["insertText"] for x in actions] == ['replace "$1"', "delete"] and all(x["kind"] == 14 and x["insertTextFormat"] == 2 and x["detail"] for x in actions)
     assert api.line_prefix("ab\ncd", 1, 1) == "c"
 
 
