@@ -1,19 +1,22 @@
 """Secret scan: three fixed patterns, and a guess-cost estimate of values in credential contexts.
 
 The base patterns are plain regular expressions.  The method goes on from there:
-it takes values that stand after a credential word (``pwd: ...``, ``bearer ...``)
-and finds, by dynamic programming, the cheapest way to guess each one as a
-sequence of words, dates, repeats, keyboard walks and brute-force characters.
-What still costs many guesses is reported as a span of kind ``guess``.
+it takes values that stand after a credential word (``pwd: ...``, ``bearer ...``),
+those of the base spans too, and finds, by dynamic programming, the cheapest way
+to guess each one as a sequence of words, dates, repeats, keyboard walks and
+brute-force characters. Base spans are given with their cost; other values that
+cost many guesses are reported as spans of kind ``guess``, cheap ones are not.
 
 One pass over the rows, no shuffle; texts without a keyword are never decoded.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
-from functools import lru_cache
+from bisect import bisect_left
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,8 +47,25 @@ COMMON = (
     "his how man new now old see two way who boy did its let put say she too use work licence license value string"
 ).split()
 
-_RANK = {w: i + 1 for i, w in enumerate(COMMON)}
-_LONGEST = max(map(len, COMMON))
+
+def ranked_words(path: str) -> tuple[str, ...]:
+    """Lower-case words of three letters or more from a vocabulary file of a BPE tokenizer with word ends, as its ids rank them; read by the driver alone."""
+    with open(path, encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    words = (t.removesuffix("</w>") for t, _ in sorted(vocabulary.items(), key=lambda x: x[1]) if t.endswith("</w>"))
+    return tuple(w for w in words if len(w) >= 3 and w.isalpha() and w.islower())
+
+
+class Words:
+    """Words by rank: :data:`COMMON` first, then others as they are given. Bounded by the vocabulary."""
+
+    def __init__(self, more: Sequence[str] = ()):
+        self.rank = {w: i + 1 for i, w in reversed([*enumerate(dict.fromkeys((*COMMON, *more)))])}
+        self.longest = max(map(len, self.rank))
+        self.costs: dict[str, float] = {}
+
+
+_PLAIN = Words()
 _LEET = str.maketrans("4@310$5!7", "aaeiossit")
 # Rows of a keyboard.
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
@@ -67,15 +87,15 @@ def _near(a: str, b: str) -> bool:
     return p is not None and q is not None and a != b and abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1
 
 
-def _matches(value: str) -> list[tuple[int, int, float]]:
+def _matches(value: str, words: Words = _PLAIN) -> list[tuple[int, int, float]]:
     """(start, end, log10 guesses) of every word, date, repeat, walk and run in ``value``."""
     low, out, n = value.lower(), [], len(value)
     plain = low.translate(_LEET)
     for i in range(n):
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
-            rank = _RANK.get(low[i:j])
+        for j in range(i + 3, min(n, i + words.longest) + 1):
+            rank = words.rank.get(low[i:j])
             extra = 0.0
-            if rank is None and (rank := _RANK.get(plain[i:j])) is not None:
+            if rank is None and (rank := words.rank.get(plain[i:j])) is not None:
                 extra = math.log10(2) * sum(a != b for a, b in zip(low[i:j], plain[i:j], strict=True))
             if rank is not None:
                 upper = sum(map(str.isupper, value[i:j]))
@@ -85,7 +105,7 @@ def _matches(value: str) -> list[tuple[int, int, float]]:
     for m in _REPEAT.finditer(value):
         unit = m[1]
         if len(m[0]) >= 3:
-            once = sum(map(_single, unit)) if len(unit) == 1 or len(unit) == n else log10_guesses(unit)
+            once = sum(map(_single, unit)) if len(unit) == 1 or len(unit) == n else log10_guesses(unit, words)
             out.append((m.start(), m.end(), once + math.log10(len(m[0]) / len(unit))))
     i = 0
     while i < n - 2:  # keyboard walks
@@ -110,40 +130,50 @@ def _matches(value: str) -> list[tuple[int, int, float]]:
     return out
 
 
-@lru_cache(4096)
-def log10_guesses(value: str) -> float:
-    """log10 of the guesses for ``value`` by its cheapest segmentation; 0 for no text.
-
-    Values of over 256 characters are taken 256 at a time and their costs added.
-    """
-    if len(value) > 256:
-        return sum(log10_guesses(value[i : i + 256]) for i in range(0, len(value), 256))
+def log10_guesses(value: str, words: Words = _PLAIN) -> float:
+    """log10 of the guesses for the whole ``value`` by its cheapest segmentation; 0 for no text."""
+    if (known := words.costs.get(value)) is not None:
+        return known
     ending: dict[int, list[tuple[int, float]]] = {}
-    for i, j, cost in _matches(value):
+    for i, j, cost in _matches(value, words):
         ending.setdefault(j, []).append((i, cost))
     best = [0.0] * (len(value) + 1)
     for j in range(1, len(value) + 1):
         best[j] = best[j - 1] + _single(value[j - 1])
         for i, cost in ending.get(j, ()):
             best[j] = min(best[j], best[i] + cost + SEGMENT)
+    if len(words.costs) >= 4096:
+        words.costs.clear()
+    if len(value) <= 64:
+        words.costs[value] = best[-1]
     return best[-1]
 
 
-def find(text: str, least: float = 10.0) -> list[tuple[str, int, int, float | None]]:
+def find(text: str, least: float = 10.0, words: Words = _PLAIN) -> list[tuple[str, int, int, float | None]]:
     """(kind, start, end, log10 guesses) of the secrets in ``text`` by start, then kind.
 
     Offsets are code points, ends exclusive.  A context value becomes a ``guess``
     span when it takes 10**least guesses or more and no base span overlaps it.
+    Base spans stay whatever they cost; that of ``assign`` is its value's.
     """
-    base = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
-    base += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
-    base += [("hex", *m.span()) for m in HEX.finditer(text)]
-    out = [(*b, None) for b in base]
+    out = [("assign", *m.span(), log10_guesses(m[2], words)) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    out += [("access", *m.span(), log10_guesses(m[0], words)) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
+    out += [("hex", *m.span(), log10_guesses(m[0], words)) for m in HEX.finditer(text)]
+    # the base spans as disjoint intervals
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, e in sorted(x[1:3] for x in out):
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
     for m in CONTEXT.finditer(text):
         i = m.start(1)
         j = i + len(m[1].rstrip(".:!?"))
-        if j - i >= 6 and all(e <= i or s >= j for _, s, e in base):
-            cost = log10_guesses(text[i:j])
+        at = bisect_left(starts, j)
+        if j - i >= 6 and (not at or ends[at - 1] <= i):
+            cost = log10_guesses(text[i:j], words)
             if cost >= least:
                 out.append(("guess", i, j, cost))
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
@@ -152,22 +182,25 @@ def find(text: str, least: float = 10.0) -> list[tuple[str, int, int, float | No
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("log10_guesses", pa.float64())]))
 
 
-def _scan(texts: pa.Array, least: float) -> list:
+def _scan(texts: pa.Array, least: float, words: Words) -> list:
     found = []
     for raw in texts.cast(pa.binary()).to_pylist():
         hit = False
         if raw:
             low = raw.lower()
             hit = any(k in low for k in _GATE) or b"AKIA" in raw or _HEX_BYTES.search(raw) is not None
-        found.append([dict(zip(("kind", "start", "end", "log10_guesses"), x, strict=True)) for x in find(raw.decode(errors="replace"), least)] if hit else [])
+        found.append([dict(zip(("kind", "start", "end", "log10_guesses"), x, strict=True)) for x in find(raw.decode(errors="replace"), least, words)] if hit else [])
     return [found]
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 10.0) -> DataFrame:
-    """One row per row of ``docs``: its id and ``spans``, the secrets of its whole text.
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 10.0, words: Sequence[str] = ()) -> DataFrame:
+    """One row per row of ``docs``: its id and ``spans``, the secrets of its whole text with the log10 of their guesses.
+
+    ``words`` are ranked words besides :data:`COMMON`, say of :func:`ranked_words`.
 
     Null and empty texts have an empty list.  Repeated rows and null ids are
     kept as they are; other columns are not read; an empty table gives none.
     """
     fields = "spans array<struct<kind:string,start:bigint,end:bigint,log10_guesses:double>>"
-    return map_texts(docs, {id_col: id_col}, text_col, lambda texts: _scan(texts, least), fields, [pa.field("spans", _SPANS)])
+    shared = docs.sparkSession.sparkContext.broadcast(Words(words))  # as large as the vocabulary that was given
+    return map_texts(docs, {id_col: id_col}, text_col, lambda texts: _scan(texts, least, shared.value), fields, [pa.field("spans", _SPANS)])
