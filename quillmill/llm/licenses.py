@@ -13,6 +13,7 @@ One pass over the rows, no shuffle.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from functools import cache
 from itertools import pairwise
 from re import _parser
@@ -102,6 +103,63 @@ gpl; see the gnu general public licen[cs]e for more details; 0.9
 apache; unless required by applicable law or agreed to in writing software distributed under the licen[cs]e; 0.95
 unlicense; this is free and unencumbered software released into the public domain; 0.95
 boost; all derivative works of the software unless such copies or derivative works are solely in the form of machine executable object code; 0.9
+mit; the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability; 0.8
+mit; in no event shall the authors or copyright holders be liable for any claim damages or other liability; 0.75
+isc; the software is provided as is and the author disclaims all warranties with regard to this software; 0.8
+isc; in no event shall the author be liable for any special direct indirect or consequential damages; 0.7
+bsd; redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer; 0.85
+bsd; redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer; 0.85
+bsd; this software is provided by the (?:\\S+ ){1,8}as is and any express or implied warranties; 0.8
+bsd-3-clause; the names? of (?:\\S+ ){1,12}may not be used to endorse or promote products derived from this software without specific prior written permission; 0.85
+bsd-4-clause; this product includes software developed by; 0.6
+zlib; altered source versions must be plainly marked as such and must not be misrepresented as being the original software; 0.9
+zlib; this software is provided as is without any express or implied warranty; 0.6
+gpl; this program is free software you can redistribute it and or modify it; 0.85
+gpl; this program is distributed in the hope that it will be useful but without any warranty; 0.8
+gpl; you should have received a copy of the gnu general public licen[cs]e along with; 0.9
+gpl-2.0; gnu general public licen[cs]e as published by the free software foundation (?:either )?version 2; 0.97
+gpl-3.0; gnu general public licen[cs]e as published by the free software foundation (?:either )?version 3; 0.97
+gpl; everyone is permitted to copy and distribute verbatim copies of this licen[cs]e document; 0.6
+lgpl; this library is free software you can redistribute it and or modify it; 0.85
+lgpl; you should have received a copy of the gnu (?:lesser|library) general public licen[cs]e along with; 0.92
+agpl; you should have received a copy of the gnu affero general public licen[cs]e along with; 0.92
+agpl; if your software can interact with users remotely through a computer network; 0.85
+gfdl; permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[cs]e; 0.92
+apache-2.0; you may not use this file except in compliance with the licen[cs]e; 0.7
+apache-2.0; you may obtain a copy of the licen[cs]e at http www apache org licenses license 2 0; 0.97
+apache; this product includes software developed (?:by|at) the apache software foundation; 0.8
+mpl-2.0; this source code form is subject to the terms of the mozilla public licen[cs]e v 2 0; 0.98
+mpl-1.1; the contents of this file are subject to the mozilla public licen[cs]e version 1 1; 0.98
+epl; this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e; 0.93
+cddl; the contents of this file are subject to the terms of the common development and distribution licen[cs]e; 0.93
+artistic; this package is free software you can redistribute it and or modify it under the terms of the artistic licen[cs]e; 0.93
+perl; under the same terms as perl itself; 0.85
+python; under the same terms as python itself; 0.7
+boost-1.0; permission is hereby granted free of charge to any person or organization obtaining a copy of the software; 0.95
+ncsa; neither the names of (?:\\S+ ){1,16}nor the names of its contributors may be used to endorse or promote products derived from this software without; 0.8
+openssl; this product includes software developed by the openssl project; 0.9
+postgresql; permission to use copy modify and distribute this software and its documentation for any purpose without fee; 0.85
+ofl; this font software is licensed under the sil open font licen[cs]e; 0.97
+ofl; the font software may be sold as part of a larger software package but no copy; 0.8
+unicode; permission is hereby granted free of charge to any person obtaining a copy of the unicode data files; 0.95
+wtfpl; everyone is permitted to copy and distribute verbatim or modified copies of this licen[cs]e document; 0.85
+beerware; as long as you retain this notice you can do whatever you want with this stuff; 0.9
+json; the software shall be used for good not evil; 0.9
+cc-by; you are free to (?:share|copy) (?:\\S+ ){0,20}attribution; 0.5
+cc-by-sa; text (?:is )?available under (?:the )?creative commons attribution sharealike licen[cs]e; 0.95
+cc-by-nc; for non ?commercial purposes only; 0.4
+cc0; to the extent possible under law (?:\\S+ ){1,12}(?:has|have) waived all copyright; 0.95
+cc0; no rights reserved; 0.6
+commons-clause; commons clause licen[cs]e condition; 0.95
+proprietary; unauthorized (?:copying|use|reproduction|distribution) of this (?:file|software|document|material); 0.8
+proprietary; this (?:software|document|file) (?:contains|is) (?:\\S+ ){0,6}trade secrets?; 0.7
+proprietary; for internal use only; 0.5
+proprietary; reproduction in whole or in part (?:\\S+ ){0,4}(?:is )?prohibited; 0.6
+evaluation; for evaluation (?:purposes|use) only; 0.6
+eula; end user licen[cs]e agreement; 0.7
+eula; by installing (?:\\S+ ){1,8}you agree to; 0.5
+public-domain; no copyright is claimed; 0.6
+public-domain; work of the (?:us|united states) government; 0.6
 public-domain; (?:released|placed|dedicated) (?:in|into|to) the public domain; 0.8
 public-domain; (?:is|are) in the public domain; 0.6
 cc0; cc0(?: 1 0)?(?: universal)?; 0.9
@@ -168,7 +226,9 @@ def rules() -> tuple[Rule, ...]:
             else:
                 made += [(0.98, own, licensed + _version(v)), (0.96, own, name + _version(v)), (0.93, own, rf"{label.replace('-', ' ')} ?v?{_version(v)}(?: only| or later)?")]
         made += [(0.9, label, licensed), (0.85, label, name)]
-        made.append((0.97, label, rf"spdx license identifier {label.replace('-', ' ')}(?: \d+)*(?: only| or later)?"))
+        spdx = rf"spdx licen[cs]e identifier {label.replace('-', ' ')}"
+        made += [(0.995, f"{label}-{v}", f"{spdx} {v.replace('-', ' ')}" if "clause" in v else f"{spdx}{_version(v)}(?: only| or later)?") for v in versions.split()]
+        made.append((0.97, label, rf"{spdx}(?: \d+)*(?: only| or later)?"))
     for label, parts in _CC.items():
         long = " ".join(_CC_LONG[p] for p in parts.split())
         for v in _CC_VERSIONS:
@@ -202,13 +262,33 @@ def base_places(joined: bytes) -> list[tuple[int, str]]:
     out = []
     for phrase, label in BASE.items():
         needle = f" {phrase} ".encode()
-        at = joined.find(needle)
+        at, seen, word = joined.find(needle), 0, 0
         while at >= 0:
-            out.append((joined.count(b" ", 0, at), label))
-            at = joined.find(needle, at + 1)
+            word += joined.count(b" ", seen, at)
+            out.append((word, label))
+            seen, at = at, joined.find(needle, at + 1)
     return sorted(out)
 
 
+class Cover:
+    """Intervals, without those inside others: both ends ascend."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def add(self, i: int, j: int) -> bool:
+        """Adds an interval, unless it lies inside one that is there."""
+        at = bisect_right(self.starts, i)
+        if at and self.ends[at - 1] >= j:
+            return False
+        # those that lie inside the new one have no say any more
+        begin, end = bisect_left(self.starts, i), bisect_right(self.ends, j)
+        self.starts[begin : max(begin, end)] = [i]
+        self.ends[begin : max(begin, end)] = [j]
+        return True
+
+
 _OTHER_BLANK = re.compile(r"[^\S ]")
 
 
@@ -221,12 +301,12 @@ def detect(joined: str) -> list[tuple[str, int, int, float]]:
     if not met:
         return []
     kept: list[tuple[str, int, int, float]] = []
+    cover = Cover()
     for rule in rules():
         if not met.isdisjoint(rule.needs):
             for m in rule.pattern.finditer(joined):
-                i, j = m.span()
-                if not any(s <= i and j <= e for _, s, e, _ in kept):
-                    kept.append((rule.label, i, j, rule.sure))
+                if cover.add(*m.span()):
+                    kept.append((rule.label, *m.span(), rule.sure))
     return sorted(kept, key=lambda x: (x[1], -x[2], x[0]))
 
 
