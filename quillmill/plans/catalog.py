@@ -7,7 +7,10 @@ SQL makes the expected texts and never looks at the rules.
 
 from __future__ import annotations
 
+import os
 import re
+import tempfile
+from itertools import product
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,9 +19,9 @@ from pyspark.sql import functions as F
 from ..functions.template import render_column
 from ..sources.globs import selected
 from . import run
-from .compiler import changes, compile_script
+from .compiler import changes, compile_at_path, compile_script
 from .dsl import explain, parse
-from .registry import capabilities, default_registry
+from .registry import capabilities, list_languages, list_rules
 
 
 class Case(NamedTuple):
@@ -267,6 +270,72 @@ _DIFF_SQL = f"""SELECT path, concat('--- a/', path, chr(10), '+++ b/', path, chr
     '-var x', CAST(p_partkey AS VARCHAR), ' = a(b(1)) + b', chr(10), '+import "new"', chr(10), '+var x', CAST(p_partkey AS VARCHAR), ' = d(d(1)) + c', chr(10)) AS diff
     FROM (SELECT p_partkey, {_sql(_CHAIN.path, "p_partkey")} AS path FROM part WHERE p_partkey % 2 = 0) t"""
 
+def human(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run.human_lines(changes(_mixed_files(spark, sf_dir), _mixed_plan()))
+
+
+def total_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = run.summary(changes(_mixed_files(spark, sf_dir), _mixed_plan())).collect()[0]
+    return spark.createDataFrame([(run.summary_line(row),)], "line string")
+
+
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(i, x["name"]) for i, x in enumerate(list_languages()["languages"])], "idx int, name string")
+
+
+def rules_of_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(lang, m["name"], ",".join(a["name"] for a in m["actions"])) for lang in ("go", "rust", "java", "python", "js") for m in list_rules(lang)["modules"]]
+    return spark.createDataFrame(rows, "lang string, module string, actions string")
+
+
+_FLAGS = ((False, True),) * 4
+
+
+def exec_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(f, *flags, run.resolve_mode(f, *flags)) for f in run.FORMATS for flags in product(*_FLAGS)]
+    return spark.createDataFrame(rows, "format string, write boolean, dry_run boolean, check boolean, terminal boolean, mode string")
+
+
+def include_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of a script that includes others, which lie in a folder of the driver."""
+    with tempfile.TemporaryDirectory() as top:
+        os.mkdir(f"{top}/sub")
+        for name, text in (
+            ("top", 'refactor "top" { // first\n include "sub/mid" match go::symbol "x" { replace "y" } include "sub/leaf" }'),
+            ("sub/mid", 'refactor "mid" { match rust::crate "a" { delete } include "leaf" }'),
+            ("sub/leaf", 'refactor "leaf" {\n  match python::import "z" { ensure } // last\n}'),
+        ):
+            with open(f"{top}/{name}", "w") as f:
+                f.write(text)
+        plan = compile_at_path(f"{top}/top")
+    return spark.createDataFrame([(plan.name, str(plan), i, r.label) for i, r in enumerate(plan.rules)], "name string, shown string, idx int, rule string")
+
+
+_MODES = " ".join(
+    f"WHEN {cond} THEN '{mode}'"
+    for cond, mode in (('"check"', "check"), ('"write"', "write"), ("dry_run", "dry-run"), ("format = 'human' AND terminal", "write"))
+)
+_BOOLS = "(VALUES (false), (true))"
+# What each language's modules can do.
+_ABILITIES = """
+go import replace delete ensure
+go symbol replace
+go struct_tag replace
+go call replace_call
+rust use replace delete ensure
+rust symbol replace
+rust crate replace delete
+rust call replace_call
+java import replace delete ensure
+java package replace
+java symbol replace
+python import replace delete ensure
+python symbol replace
+js import replace delete
+js symbol replace
+"""
+_ABILITIES = [x.split() for x in _ABILITIES.strip().splitlines()]
+
 QUERIES = {f"q_{c.name}": _one(c) for c in CASES} | {
     "q_mixed_language_script": flagship,
     "q_multi_rule_chain": multi_rule_chain,
@@ -282,6 +351,12 @@ QUERIES = {f"q_{c.name}": _one(c) for c in CASES} | {
     "q_explain": explained,
     "q_bisect_culprit": bisect_culprit,
     "q_unified_diff": unified_diffs,
+    "q_human_lines": human,
+    "q_summary_line": total_line,
+    "q_list_languages": languages,
+    "q_list_rules": rules_of_languages,
+    "q_exec_modes": exec_modes,
+    "q_include_expansion": include_expansion,
 }
 
 ORACLES = {f"q_{c.name}": _expected(_texts(c)) for c in CASES} | {
@@ -295,7 +370,24 @@ ORACLES = {f"q_{c.name}": _expected(_texts(c)) for c in CASES} | {
     "q_relevance": f"SELECT path, regexp_matches(path, '[^/][.]go$') AS go, path = 'Cargo.toml' OR ends_with(path, '/Cargo.toml') AS cargo, regexp_matches(path, '[^/][.](js|mjs|cjs|jsx|ts|tsx)$') AS js FROM ({_PATHS_SQL}) p",
     "q_globs": f"SELECT path FROM ({_PATHS_SQL}) p WHERE (ends_with(path, '.go') OR starts_with(path, 'crates/')) AND NOT starts_with(path, 'vendor/')",
     "q_template_render": "SELECT p_partkey, concat(p_name, '<', p_type, '|', p_brand, '||', p_brand, ', ', p_type, '|$|$x|', p_brand, ', ', p_type, 'X>') AS rendered FROM part",
-    "q_capabilities": "SELECT * FROM (VALUES " + ", ".join(f"('{x[0]}', '{x[2]}', '{x[4]}')" for x in default_registry().capabilities()) + ") v(lang, module, action)",
+    "q_capabilities": "SELECT * FROM (VALUES " + ", ".join(f"('{lang}', '{module}', '{a}')" for lang, module, *actions in _ABILITIES for a in actions) + ") v(lang, module, action)",
+    "q_explain": """SELECT 'mixed' AS name, CAST(idx AS INTEGER) AS idx, kind, item FROM (VALUES
+        (0, 'match', '{"action": {"replace": "Fresh"}, "kind": "match", "match": "Old", "namespace": "go::symbol"}'),
+        (1, 'match', '{"action": {"replace": "new"}, "kind": "match", "match": "old::path", "namespace": "rust::use"}'),
+        (2, 'match', '{"action": {"replace": "serde2"}, "kind": "match", "match": "serde", "namespace": "rust::crate"}'),
+        (3, 'match', '{"action": {"replace": "new.home"}, "kind": "match", "match": "old.pkg", "namespace": "java::package"}'),
+        (4, 'match', '{"action": "ensure", "kind": "match", "match": "sys", "namespace": "python::import"}'),
+        (5, 'match', '{"action": {"replace": "new-lib"}, "kind": "match", "match": "old-lib", "namespace": "js::import"}'),
+        (6, 'include', '{"kind": "include", "path": "more"}')) v(idx, kind, item)""",
+    "q_human_lines": f"SELECT path, concat('Would change ', path) AS line FROM ({_mixed_sql()}) s WHERE b <> a",
+    "q_summary_line": f"SELECT concat('Done: ', count(*), ' file(s) seen, ', sum(CASE WHEN b <> a THEN 1 ELSE 0 END), ' changed, ', sum(strlen(b)), ' → ', sum(strlen(a)), ' bytes in 0 ms') AS line FROM ({_mixed_sql()}) s",
+    "q_list_languages": "SELECT CAST(idx AS INTEGER) AS idx, name FROM (VALUES (0, 'go'), (1, 'rust'), (2, 'java'), (3, 'python'), (4, 'js')) v(idx, name)",
+    "q_list_rules": "SELECT * FROM (VALUES " + ", ".join(f"('{lang}', '{module}', '{','.join(actions)}')" for lang, module, *actions in _ABILITIES) + ") v(lang, module, actions)",
+    "q_exec_modes": f"""SELECT *, CASE {_MODES} ELSE 'dry-run' END AS mode FROM (VALUES ('human'), ('json'), ('ndjson'), ('diff')) f(format),
+        {_BOOLS} w("write"), {_BOOLS} d(dry_run), {_BOOLS} c("check"), {_BOOLS} t(terminal)""",
+    "q_include_expansion": """SELECT 'top' AS name,
+        'Refactoring ''top'': [rust::crate "a" -> delete, python::import "z" -> ensure, go::symbol "x" -> "y", python::import "z" -> ensure]' AS shown, CAST(idx AS INTEGER) AS idx, rule
+        FROM (VALUES (0, 'rust::crate "a" -> delete'), (1, 'python::import "z" -> ensure'), (2, 'go::symbol "x" -> "y"'), (3, 'python::import "z" -> ensure')) v(idx, rule)""",
     "q_bisect_culprit": """SELECT false AS ok, CAST(1 AS INTEGER) AS culprit, 'go::symbol "b" -> "bad"' AS label""",
     "q_unified_diff": _DIFF_SQL,
 }
