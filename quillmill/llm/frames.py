@@ -54,17 +54,19 @@ def shared_folder(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
+def stored(df: DataFrame, folder: str, name: str, row_group: int | None = None) -> DataFrame:
     """``df`` written once below ``folder`` and read again: later uses neither recompute it nor depend on executors.
 
-    What was shuffled for it is freed at once.
+    What was shuffled for it is freed at once. ``row_group`` bounds the bytes of
+    rows that are read at a time, where rows are large.
     """
     spark = df.sparkSession
     path = f"{folder}/{name}"
     before = spark.conf.get(_CLEANUP, None)
     try:
         spark.conf.set(_CLEANUP, "true")
-        df.write.mode("overwrite").parquet(path)
+        writer = df.write.mode("overwrite")
+        (writer.option("parquet.block.size", row_group) if row_group else writer).parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -69,33 +69,34 @@ def open_columns(cols: DataFrame, tree: DataFrame, folder: str, name: str) -> Da
     return stored(known.join(some, "elem", "left_semi"), folder, name)
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = setjoin.SMALL, flush: int = setjoin.FLUSH) -> DataFrame:
     """(id, n_shingles, component_id) of every row with an id: the smallest id that links reach.
 
     Two documents link when their shingle sets' intersection has at least 80 %
     of the size of their union; equal sets always do. Null and empty texts have
     no shingles and are their own component. Rows that repeat an id are rows of
     their own, each in the component of its text; an empty table gives none.
+    ``small`` and ``flush`` steer work and memory, see :mod:`.setjoin`.
     """
     spark = docs.sparkSession
     folder = shared_folder(spark)
     ids = docs.select(docs[f"`{id_col}`"].cast("long").alias("id"), docs[f"`{text_col}`"].cast("string").alias("text"))
     p = setjoin.plan(ids, extract, folder)
-    cols = setjoin.columns(p, setjoin.rarity(p))
+    cols = setjoin.columns(p, setjoin.rarity(setjoin.counted(p)), small, flush)
     table = setjoin.members(p, cols)
 
-    linked = stored(setjoin.verified(setjoin.first_pairs(cols), table), folder, "linked")
+    linked = stored(setjoin.verified(setjoin.first_pairs(cols), table, folder, "linked"), folder, "linked")
     tree = roots(linked.select(F.col("a").alias("cls"), F.col("b").alias("parent")), f"{folder}/tree")
     known = open_columns(cols.select("elem", "cls", "n", "pos", "sketch", "sketch2", "doc", "line"), tree, folder, "open1")
     # the classes of large groups that aren't like the earliest: most find another here, and what a root holds needs no more pairs
     wide = table.filter("wide IS NOT NULL").select("cls", "wide").dropDuplicates(["cls"])
     known = stored(known.join(wide, "cls"), folder, "open2")
-    ring = stored(setjoin.verified(setjoin.ring_pairs(known), table), folder, "ring")
+    ring = stored(setjoin.verified(setjoin.ring_pairs(known), table, folder, "ring"), folder, "ring")
     tree = merged(linked.select("a", "b").unionByName(ring.select("a", "b")).toDF("x", "y"), f"{folder}/forest")
     known = open_columns(known.drop("root"), tree, folder, "open3")
     order = F.struct("x.doc", "x.cls") < F.struct("y.doc", "y.cls")
     more = setjoin.full_pairs(known, known, (F.col("x.root") != F.col("y.root")) & order & setjoin.within_wide("x", "y"))
-    late = stored(setjoin.verified(more, table), folder, "late")
+    late = stored(setjoin.verified(more, table, folder, "late"), folder, "late")
 
     # classes by their smallest document, so that the least node of a component is its id
     links = linked.unionByName(ring).unionByName(late).select("a_doc", "b_doc").toDF("x", "y")

@@ -5,9 +5,9 @@ Rows with equal sets are one class.  Two rows can only reach the similarity if
 they meet in the rarest ``n - ceil(t n) + 1`` columns of each (the prefix), so
 only these entries are multiplied:
 
-1. ``rarity``: every row's columns, dealt into blocks by their leading bits and
-   packed, are counted; tables of bounded size give the column order, rare ones
-   first.  The order only steers the work; any is exact.
+1. ``rarity``: each task adds up how often columns are met, by their leading
+   bits; a table of bounded size, from the sums over all tasks, gives the column
+   order, rare ones first.  The order only steers the work; any is exact.
 2. ``columns``: the prefix entries, dealt into blocks likewise.  A block sorts
    its entries and gives out those of classes that another class of the column
    may be similar to, by size, position and a 128-bit parity sketch.
@@ -36,12 +36,12 @@ from pyspark.sql import functions as F
 from .frames import stored
 from .tokens import mix
 
-#: Columns at most whose counts go to the workers (12 bytes each), and the least count.
-MOST_HEAVY, LEAST_HEAVY = 200_000, 8
-
-#: Leading bits of a hash that the scale of counts goes by: one byte for each value, 16 MB.
+#: Leading bits of a hash that columns are counted by: the order takes one byte for each value, 16 MB.
 SCALE_BITS = 24
 
+#: Blocks that the counts are added up in, as a power of two.
+COUNT_BITS = 8
+
 #: Bytes of text a block, about.
 BLOCK_BYTES = 64 << 20
 
@@ -71,7 +71,7 @@ def planes(x: np.ndarray) -> bytes:
     return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
 
 
-def unplaned(raw: bytes, kind) -> np.ndarray:
+def unplaned(raw, kind) -> np.ndarray:
     size = np.dtype(kind).itemsize
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
 
@@ -101,7 +101,7 @@ def parities(elements: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def prefix_length(n):
-    return n - -(-NUM * n // DEN) + 1
+    return np.where(n > 0, n - -(-NUM * n // DEN) + 1, 0)
 
 
 def least_overlap(n: Column, m: Column) -> Column:
@@ -120,7 +120,7 @@ def within_size(n: Column, m: Column) -> Column:
 
 class Plan(NamedTuple):
     docs: DataFrame  # (id bigint, text string)
-    extract: Extract
+    extract: Extract | None
     folder: str
     block_bits: int
 
@@ -129,7 +129,7 @@ class Plan(NamedTuple):
         return 1 << self.block_bits
 
 
-def plan(docs: DataFrame, extract: Extract, folder: str) -> Plan:
+def plan(docs: DataFrame, extract: Extract | None, folder: str) -> Plan:
     """``docs`` has the columns id and text; rows without either are left out."""
     docs = docs.filter("id IS NOT NULL AND text IS NOT NULL")
     total = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
@@ -156,132 +156,146 @@ def _groups(batches, fields: int) -> Iterator[tuple[int, list[list[bytes]]]]:
 
 
 class Rarity(NamedTuple):
-    """How often columns are met: exactly for the most frequent, and on a scale of 255 steps by leading bits of the hash for all others.
+    """The order of columns: one byte for each value of the hashes' leading bits, from the number of times that they were met.
 
-    Both parts are of bounded size. Where many columns share their leading bits
-    the scale says less, and the order is worse, but an order still.
+    Of bounded size. Where many columns share their leading bits it says less,
+    and the order is worse, but an order still.
     """
 
-    keys: np.ndarray
-    counts: np.ndarray
-    shift: int
     scale: np.ndarray
 
     def of(self, elements: np.ndarray) -> np.ndarray:
-        rank = self.scale[(elements >> np.uint64(64 - SCALE_BITS)).astype(np.int64)].astype(np.uint32)
-        if len(self.keys):
-            k = elements >> np.uint64(self.shift)
-            often = np.flatnonzero(rank >= self.least)
-            at = np.minimum(np.searchsorted(self.keys, k[often]), len(self.keys) - 1)
-            hit = self.keys[at] == k[often]
-            rank[often[hit]] = 256 + self.counts[at[hit]]
-        return rank
-
-    @property
-    def least(self) -> int:
-        """No column in the exact part is lower on the scale."""
-        return int(step(self.counts.min()))
+        return self.scale[(elements >> np.uint64(64 - SCALE_BITS)).astype(np.int64)]
 
 
 def step(n):
-    """Place of a count on the scale: 16 steps an octave, from 0 for one."""
-    return np.minimum(255, np.floor(16 * np.log2(np.maximum(1, n)))).astype(np.uint8)
+    """Place of a count on the scale: 8 steps an octave, from 0 for one."""
+    return np.minimum(255, np.floor(8 * np.log2(np.maximum(1, n)))).astype(np.uint8)
 
 
-def rarity(p: Plan) -> Rarity:
-    """Counts of all columns; the exact ones are those of equal or larger count than the smallest that leaves ``MOST_HEAVY`` at most."""
-    extract, bits, shift = p.extract, p.block_bits, 64 - p.block_bits - 32
-    own = max(0, SCALE_BITS - bits)  # bits of the scale within a block
+class Counts:
+    """What a task has met, by leading bits: 64 MB, whatever it reads."""
 
-    def count(batches):
-        for batch in batches:
-            found = [s.elements >> np.uint64(shift) for s in extract(batch)]
-            if found:
-                k = np.sort(np.concatenate(found))
-                at = np.searchsorted(k, np.arange(0, (1 << bits) + 1, dtype=np.uint64) << np.uint64(32))
-                full = np.flatnonzero(np.diff(at))
-                low = k.astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([planes(low[at[b] : at[b + 1]]) for b in full], pa.binary())], names=["block", "k"])
+    fields = "block int, place binary, n binary"
+
+    def __init__(self):
+        self.n = np.zeros(1 << SCALE_BITS, np.uint32)
+
+    def add(self, elements: np.ndarray) -> None:
+        np.add.at(self.n, (elements >> np.uint64(64 - SCALE_BITS)).astype(np.int64), np.uint32(1))
+
+    def rows(self) -> tuple[list[int], list[bytes], list[bytes]]:
+        """Blocks that aren't empty, with the places and counts in them."""
+        out: tuple[list[int], list[bytes], list[bytes]] = ([], [], [])
+        for block, part in enumerate(self.n.reshape(1 << COUNT_BITS, -1)):
+            at = np.flatnonzero(part)
+            if len(at):
+                for x, y in zip(out, (block, planes(at.astype(np.uint16)), planes(part[at])), strict=True):
+                    x.append(y)
+        return out
+
+
+def rarity(counted: DataFrame) -> Rarity:
+    """The order from all tasks' rows (block, place, n) of :class:`Counts`."""
+    width = 1 << (SCALE_BITS - COUNT_BITS)
 
     def total(batches):
-        for block, (parts,) in _groups(batches, 1):
-            k = np.sort(np.concatenate([unplaned(x, np.uint32) for x in parts]))
-            first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-            n = np.diff(np.append(first, len(k)))
-            some = n >= LEAST_HEAVY
-            keys = (np.uint64(block) << np.uint64(32) | k[first[some]].astype(np.uint64)).astype(np.int64)
-            scale = step(np.bincount((k.astype(np.uint64) >> np.uint64(32 - own)).astype(np.int64), minlength=1 << own))
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([scale.tobytes()], pa.binary()), pa.array([keys], pa.list_(pa.int64())), pa.array([n[some]], pa.list_(pa.int64()))], names=["block", "scale", "key", "n"])
-
-    counted = _by_block(p.docs.mapInArrow(count, "block int, k binary")).mapInArrow(total, "block int, scale binary, key array<long>, n array<long>")
-    counted = stored(counted, p.folder, "counted")
+        for block, (places, counts) in _groups(batches, 2):
+            n = np.zeros(width, np.int64)
+            for at, x in zip(places, counts, strict=True):
+                n[unplaned(at, np.uint16)] += unplaned(x, np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([step(n).tobytes()], pa.binary())], names=["block", "scale"])
+
     scale = np.zeros(1 << SCALE_BITS, np.uint8)
-    for block, raw in counted.select("block", "scale").toLocalIterator():
-        x = np.frombuffer(raw, np.uint8)
-        at = block * len(x) if bits <= SCALE_BITS else block >> (bits - SCALE_BITS)
-        scale[at : at + len(x)] = np.maximum(scale[at : at + len(x)], x)
-    heavy = counted.select(F.explode(F.arrays_zip("key", "n")).alias("x")).select("x.key", "x.n")
-    # the counts are few: a histogram of them, in half octaves, shows where to stop
-    half = F.floor(F.log2("n") * 2).cast("int")
-    seen, least = 0, LEAST_HEAVY
-    for r in sorted(heavy.groupBy(half.alias("step")).agg(F.count("*").alias("c")).collect(), key=lambda r: -r["step"]):
-        seen += r["c"]
-        if seen > MOST_HEAVY:
-            least = int(np.ceil(2 ** ((r["step"] + 1) / 2)))
-            break
-    got = heavy.filter(F.col("n") >= least).limit(MOST_HEAVY).toPandas()
-    order = np.argsort(got["key"].to_numpy())
-    return Rarity(got["key"].to_numpy()[order].astype(np.uint64), np.minimum(got["n"].to_numpy()[order], 1 << 30).astype(np.uint32), shift, scale)
+    for block, raw in _by_block(counted).mapInArrow(total, "block int, scale binary").collect():  # 16 MB at most
+        scale[block * width : (block + 1) * width] = np.frombuffer(raw, np.uint8)
+    return Rarity(scale)
+
+
+def counted(p: Plan) -> DataFrame:
+    """Rows of :class:`Counts`, a task's each, of all columns of all rows."""
+    extract = p.extract
+
+    def count(batches):
+        met = Counts()
+        for batch in batches:
+            for s in extract(batch):
+                met.add(s.elements)
+        blocks, places, n = met.rows()
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(places, pa.binary()), pa.array(n, pa.binary())], names=["block", "place", "n"])
+
+    return p.docs.mapInArrow(count, Counts.fields)
+
+
+def sorted_order(k: np.ndarray, bits: int) -> np.ndarray:
+    """What sorts numbers of so many bits: by one plain sort, if their indices fit beside them."""
+    own = len(k).bit_length()
+    if bits + own > 64:
+        return np.argsort(k, kind="stable")
+    return (np.sort(k << np.uint64(own) | np.arange(len(k), dtype=np.uint64)) & np.uint64((1 << own) - 1)).astype(np.int64)
+
+
+def ranked(s: Sets, rare: Rarity) -> np.ndarray:
+    """What brings each set's elements into order: rare ones first, ties by hash."""
+    sizes = np.diff(s.bounds)
+    of = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+    rank = rare.of(s.elements).astype(np.uint64)
+    if len(sizes) < 1 << 24 and len(of) < 1 << 32:
+        # one number holds set, rank and index: a plain sort does
+        return (np.sort(of << np.uint64(40) | rank << np.uint64(32) | np.arange(len(of), dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return np.lexsort((rank, of))
 
 
 def prefixes(s: Sets, rare: Rarity) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(set, position, element) of the prefix entries: the rarest columns of each set, ties by hash."""
+    """(set, position, index of the element) of the prefix entries: the rarest columns of each set."""
     sizes = np.diff(s.bounds)
-    of = np.repeat(np.arange(len(sizes)), sizes)
-    # stable: elements of equal count stay in the order of their hashes
-    order = np.argsort((of.astype(np.uint64) << np.uint64(32)) | rare.of(s.elements).astype(np.uint64), kind="stable")
-    elements = s.elements[order]
-    pos = np.arange(len(elements)) - np.repeat(s.bounds[:-1], sizes)
-    keep = pos < prefix_length(sizes)[of]
-    return of[keep], pos[keep], elements[keep]
+    length = prefix_length(sizes)
+    of = np.repeat(np.arange(len(sizes)), length)
+    pos = np.arange(len(of)) - np.repeat(np.cumsum(length) - length, length)
+    return of, pos, ranked(s, rare)[s.bounds[of] + pos]
 
 
 _ENTRY = (("rem", np.uint32), ("cls", np.uint64), ("doc", np.int64), ("line", np.int32), ("n", np.uint32), ("pos", np.uint16), ("sketch", np.uint64), ("sketch2", np.uint64))
 
+#: Entries that a task holds before it gives them out in blocks (about 50 bytes each).
+FLUSH = 500_000
+
 #: In a column of so many classes or fewer each pair is tested by size and sketch at once; the rest of the columns is kept whole.
 SMALL = 512
 
 
-def partners(sizes: np.ndarray, n: np.ndarray, pos: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def partners(sizes: np.ndarray, n: np.ndarray, pos: np.ndarray, apart: Callable[[np.ndarray, np.ndarray], np.ndarray], small: int = SMALL) -> tuple[np.ndarray, np.ndarray]:
     """Which entries have another in their column that size, position and sketch allow, and the first of these before each (or itself).
 
     ``sizes`` are those of the columns, whose entries stand together in order of
     place. What lies before the column in both sets, it, and what lies behind it
-    in both bound the overlap. Sets that are similar pass in all their columns.
+    in both bound the overlap. ``apart`` gives the least number of elements that
+    two sets of entries differ in, as far as sketches tell. Sets that are similar
+    pass in all their columns.
     """
     size, begin = np.repeat(sizes, sizes), np.repeat(np.cumsum(sizes) - sizes, sizes)
-    has, first = size > SMALL, np.arange(len(n))
+    has, first = size > small, np.arange(len(n))
     first[has] = begin[has]
     rest = np.flatnonzero(~has)
     last = begin + size - 1
-    for d in range(1, SMALL):
+    for d in range(1, small):
         rest = rest[rest + d <= last[rest]]
         if not len(rest):
             break
         j = rest + d
         a, b = n[rest].astype(np.int64), n[j].astype(np.int64)
-        apart = np.bitwise_count(sketch[rest] ^ sketch[j]).sum(axis=1, dtype=np.int64)
         p, q = pos[rest].astype(np.int64), pos[j].astype(np.int64)
         # positions are cut off at 65535, where nothing follows from them
         reach = np.where((p < 65535) & (q < 65535), np.minimum(p, q) + 1 + np.minimum(a - 1 - p, b - 1 - q), a + b)
-        ok = (DEN * a >= NUM * b) & (DEN * b >= NUM * a) & ((NUM + DEN) * apart <= (DEN - NUM) * (a + b)) & ((NUM + DEN) * reach >= NUM * (a + b))
+        ok = (DEN * a >= NUM * b) & (DEN * b >= NUM * a) & ((NUM + DEN) * reach >= NUM * (a + b))
+        ok[ok] = (NUM + DEN) * apart(rest[ok], j[ok]) <= (DEN - NUM) * (a + b)[ok]
         has[rest[ok]] = True
         has[j[ok]] = True
         first[j[ok]] = rest[ok]
     return has, first
 
 
-def columns(p: Plan, rare: Rarity) -> DataFrame:
+def columns(p: Plan, rare: Rarity, small: int = SMALL, flush: int = FLUSH) -> DataFrame:
     """Columns that hold two classes or more, a row for each class that may be similar to another there.
 
     (elem, cls, n, pos, sketch, sketch2, doc, line) with the first place of the class, and
@@ -291,26 +305,32 @@ def columns(p: Plan, rare: Rarity) -> DataFrame:
     the corpus. Two similar classes are in each of their common columns.
     """
     extract, bits, shift = p.extract, p.block_bits, 64 - p.block_bits - 32
-    shared = p.docs.sparkSession.sparkContext.broadcast(rare)  # 16 MB, and MOST_HEAVY at most
+    shared = p.docs.sparkSession.sparkContext.broadcast(rare)  # 16 MB
+
+    def packed(found):
+        k, *rest = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = sorted_order(k, bits + 32)
+        k = k[order]
+        at = np.searchsorted(k, np.arange(0, (1 << bits) + 1, dtype=np.uint64) << np.uint64(32))
+        full = np.flatnonzero(np.diff(at))
+        cols = [k.astype(np.uint32), *(x[order] for x in rest)]
+        arrays = [pa.array([planes(np.ascontiguousarray(c[at[b] : at[b + 1]])) for b in full], pa.binary()) for c in cols]
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *arrays], names=["block", *(x for x, _ in _ENTRY)])
 
     def deal(batches):
+        found: list[list[np.ndarray]] = []
+        held = 0
         for batch in batches:
-            found: list[list[np.ndarray]] = []
             for s in extract(batch):
-                of, pos, elements = prefixes(s, shared.value)
-                k, sizes = elements >> np.uint64(shift), np.diff(s.bounds)
-                found.append([k, class_ids(s)[of], s.doc[of], s.line[of], sizes[of].astype(np.uint32), np.minimum(pos, 65535).astype(np.uint16), s.sketch[of, 0], s.sketch[of, 1]])
-            if not found:
-                continue
-            k, *rest = (np.concatenate(x) for x in zip(*found, strict=True))
-            # sorted by column, with the index below: rows of one sort
-            order = np.argsort(k, kind="stable") if len(k) else np.zeros(0, int)
-            k = k[order]
-            at = np.searchsorted(k, np.arange(0, (1 << bits) + 1, dtype=np.uint64) << np.uint64(32))
-            full = np.flatnonzero(np.diff(at))
-            cols = [k.astype(np.uint32), *(x[order] for x in rest)]
-            arrays = [pa.array([planes(np.ascontiguousarray(c[at[b] : at[b + 1]])) for b in full], pa.binary()) for c in cols]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *arrays], names=["block", *(x for x, _ in _ENTRY)])
+                of, pos, at = prefixes(s, shared.value)
+                sizes = np.diff(s.bounds)
+                found.append([s.elements[at] >> np.uint64(shift), class_ids(s)[of], s.doc[of], s.line[of], sizes[of].astype(np.uint32), np.minimum(pos, 65535).astype(np.uint16), s.sketch[of, 0], s.sketch[of, 1]])
+                held += len(at)
+                if held >= flush:
+                    yield packed(found)
+                    found, held = [], 0
+        if held:
+            yield packed(found)
 
     def meet(batches):
         for block, parts in _groups(batches, len(_ENTRY)):
@@ -331,7 +351,8 @@ def columns(p: Plan, rare: Rarity) -> DataFrame:
             first = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
             size = np.diff(np.append(first, len(r)))
             order = order[np.repeat(size > 1, size)]
-            has, earliest = partners(size[size > 1], n[order], pos[order], np.stack([sketch[order], sketch2[order]], axis=1))
+            parity = np.stack([sketch[order], sketch2[order]], axis=1)
+            has, earliest = partners(size[size > 1], n[order], pos[order], lambda i, j, s=parity: np.bitwise_count(s[i] ^ s[j]).sum(axis=1, dtype=np.int64), small)
             pivot = order[earliest][has]
             order = order[has]
             for i in range(0, len(order), 65536):
@@ -369,16 +390,20 @@ def place_keys(cls: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarray
         return mix(cls.astype(np.uint64)) ^ mix(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.uint64))
 
 
-def bloom(places: DataFrame, expected: int) -> Bloom:
-    """A filter of the rows (cls, doc, line), 16 MB at most; built in parts by the tasks and merged by slices."""
-    bits = 1 << int(np.clip(np.ceil(np.log2(max(1, 16 * expected))), 16, 27))
+def bloom(rows: DataFrame, expected: int, key: Callable[..., np.ndarray] = place_keys) -> Bloom:
+    """A filter of the ``key`` of the rows' columns, 32 MB at most; built in parts by the tasks and merged by slices.
+
+    With over 2**24 rows it lets more through, and at last everything: those
+    who use it must be right, if slower, with all rows.
+    """
+    bits = 1 << int(np.clip(np.ceil(np.log2(max(1, 16 * expected))), 16, 28))
     slices = 1 << int(np.clip(np.log2(bits) - 16, 0, 8))
     width = bits // 64 // slices
 
     def part(batches):
         words = np.zeros(bits // 64, np.uint64)
         for batch in batches:
-            x = np.unique(place_keys(*(c.to_numpy(zero_copy_only=False) for c in batch.columns)))
+            x = np.unique(key(*(c.to_numpy(zero_copy_only=False) for c in batch.columns)))
             for k in range(3):
                 h = Bloom.hash(x, k, bits)
                 np.bitwise_or.at(words, h >> np.uint64(6), np.uint64(1) << (h & np.uint64(63)))
@@ -394,9 +419,9 @@ def bloom(places: DataFrame, expected: int) -> Bloom:
                 own[i] = own[i] | x if i in own else x
         yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array([x.tobytes() for x in own.values()], pa.binary())], names=["slice", "bits"])
 
-    rows = places.mapInArrow(part, "slice int, bits binary").repartition("slice").mapInArrow(merge, "slice int, bits binary").collect()
+    parts = rows.mapInArrow(part, "slice int, bits binary").repartition("slice").mapInArrow(merge, "slice int, bits binary").collect()
     words = np.zeros(bits // 64, np.uint64)
-    for i, raw in rows:
+    for i, raw in parts:
         words[i * width : (i + 1) * width] = np.frombuffer(raw, np.uint64)
     return Bloom(words)
 
@@ -430,18 +455,23 @@ def members(p: Plan, cols: DataFrame) -> DataFrame:
 PAIR = ("a", "a_doc", "a_line", "b", "b_doc", "b_line")
 
 
-def verified(pairs: DataFrame, table: DataFrame) -> DataFrame:
+#: Keys of sets at most that are sent to all tasks (20 MB).
+MOST_KEYS = 1_000_000
+
+
+def verified(pairs: DataFrame, table: DataFrame, folder: str, name: str) -> DataFrame:
     """The pairs whose sets reach the similarity, with the sizes of intersection and union as ``common`` and ``together``.
 
-    ``table`` is that of :func:`members`. A class in very many pairs is a hot
-    key of the second join, which adaptive execution splits.
+    ``table`` is that of :func:`members`; intermediate tables are stored below
+    ``folder``. A class in very many pairs is a hot key of the second join,
+    which adaptive execution splits.
     """
 
     def run(batches):
         for batch in batches:
             keep, common, together = [], [], []
-            for i, (x, y) in enumerate(zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)):
-                u, v = unplaned(x, np.uint64), unplaned(y, np.uint64)
+            for i, (x, y) in enumerate(zip(batch.column("sa"), batch.column("sb"), strict=True)):
+                u, v = unplaned(x.as_buffer(), np.uint64), unplaned(y.as_buffer(), np.uint64)
                 both = np.sort(np.concatenate([u, v]))
                 k = int((both[1:] == both[:-1]).sum())
                 if DEN * k >= NUM * (len(both) - k):
@@ -451,8 +481,13 @@ def verified(pairs: DataFrame, table: DataFrame) -> DataFrame:
             kept = batch.select(PAIR).take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(common, pa.int64()), pa.array(together, pa.int64())], names=[*PAIR, "common", "together"])
 
+    pairs = stored(pairs, folder, f"{name}_pairs")
+    key = lambda x: pairs.select(F.col(x).alias("cls"), F.col(f"{x}_doc").alias("doc"), F.col(f"{x}_line").alias("line"))
+    some = stored(key("a").unionByName(key("b")).distinct(), folder, f"{name}_needed")
+    # only sets that are in a pair go on: keys of 20 bytes are sent to all tasks up to a bound, and joined by a shuffle beyond it
+    few = F.broadcast(some) if some.count() <= MOST_KEYS else some
     # rows that repeat a place have the same set there
-    sets = table.filter("set IS NOT NULL").select("cls", "doc", "line", "set").dropDuplicates(["cls", "doc", "line"])
+    sets = table.filter("set IS NOT NULL").select("cls", "doc", "line", "set").join(few, ["cls", "doc", "line"], "left_semi").dropDuplicates(["cls", "doc", "line"])
     side = lambda x: sets.select(F.col("cls").alias(x), F.col("doc").alias(f"{x}_doc"), F.col("line").alias(f"{x}_line"), F.col("set").alias(f"s{x}"))
     both = pairs.join(side("a"), ["a", "a_doc", "a_line"]).join(side("b"), ["b", "b_doc", "b_line"])
     return both.select(*PAIR, "sa", "sb").mapInArrow(run, "a long, a_doc long, a_line int, b long, b_doc long, b_line int, common long, together long")

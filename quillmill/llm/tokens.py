@@ -1,14 +1,14 @@
 """Vectorised tokenising of Arrow string columns.
 
 Texts stay UTF-8 bytes from the scan to the result: a batch's value buffer is
-read as one ``uint8`` array, word boundaries are found with a 256-entry table,
-and every word of the batch gets a 64-bit hash from one cumulative polynomial
-pass.  Nothing here loops over words in Python.
+read as one ``uint8`` array, word boundaries are found by comparing bytes, and
+every word of the batch gets a 64-bit hash from the 8 bytes at a time that it
+consists of.  Nothing here loops over words in Python.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -18,33 +18,22 @@ import pyarrow as pa
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
-#: Lower-cases A-Z and leaves every other byte alone.
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[0x41:0x5B] += 32
+def lower(data: np.ndarray) -> np.ndarray:
+    """A-Z in lower case; every other byte as it is."""
+    return data | (((data - np.uint8(0x41)) < np.uint8(26)).view(np.uint8) << np.uint8(5))
 
-#: Bytes of text that are worked on at a time.
-CHUNK = 1 << 20
-
-_R = 0x9E3779B97F4A7C15 | 1
-_R_INV = pow(_R, -1, 1 << 64)
 
-
-def _powers(base: int, n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        out = np.full(n, base, np.uint64)
-        out[0] = 1
-        return np.cumprod(out, dtype=np.uint64)
+def _solid(data: np.ndarray, blank: np.ndarray) -> np.ndarray:
+    if blank is BLANK:
+        return ~((data == 0x20) | ((data - np.uint8(0x09)) < np.uint8(5)))
+    return ~blank[data]
 
 
-class _Tables:
-    up = np.ones(1, np.uint64)
-    down = np.ones(1, np.uint64)
+#: Bytes of text that are worked on at a time.
+CHUNK = 1 << 20
 
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            cls.up, cls.down = _powers(_R, n), _powers(_R_INV, n)
-        return cls.up, cls.down
+#: For a word's last piece: the lowest k bytes.
+_PIECE = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -102,36 +91,30 @@ def words(texts: Texts, blank: np.ndarray = BLANK) -> Words:
     n = len(data)
     if not n:
         return Words(*(np.zeros(0, np.int64) for _ in range(2)), np.zeros(len(offsets), np.int64))
-    solid = ~blank[data]
-    edge = np.ones(n + 1, bool)
-    edge[1:n] = ~solid[:-1]
-    edge[offsets] = True
-    starts = np.flatnonzero(solid & edge[:-1])
-    stop = np.empty(n, bool)
-    stop[:-1] = ~solid[1:]
-    stop[-1] = True
-    inner = offsets[(offsets > 0) & (offsets <= n)] - 1
-    stop[inner] = True
-    ends = np.flatnonzero(solid & stop) + 1
+    solid = np.zeros(n + 2, bool)
+    solid[1:-1] = _solid(data, blank)
+    starts = np.flatnonzero(solid[1:-1] > solid[:-2])
+    ends = np.flatnonzero(solid[1:-1] > solid[2:]) + 1
+    inner = np.unique(offsets[(offsets > 0) & (offsets < n)])
+    inner = inner[solid[inner] & solid[inner + 1]]
+    if len(inner):  # a run that crosses from one text to the next is two
+        starts, ends = (np.sort(np.concatenate([x, inner])) for x in (starts, ends))
     return Words(starts, ends, np.searchsorted(starts, offsets))
 
 
 def word_hashes(data: np.ndarray, w: Words) -> np.ndarray:
     """A 64-bit hash of each word's bytes."""
-    out = np.empty(len(w.starts), np.uint64)
-    i = 0
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), (len(data) + 1,), (1,))  # the 8 bytes at each place
+    size = w.ends - w.starts
     with np.errstate(over="ignore"):
-        while i < len(out):
-            base = w.starts[i]
-            j = max(i + 1, int(np.searchsorted(w.ends, base + CHUNK, "right")))
-            part = data[base : w.ends[j - 1]]
-            up, down = _Tables.of(max(len(part) + 1, CHUNK + 1))
-            total = np.empty(len(part) + 1, np.uint64)
-            total[0] = 0
-            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=total[1:])
-            s, e = w.starts[i:j] - base, w.ends[i:j] - base
-            out[i:j] = (total[e] - total[s]) * down[s]
-            i = j
+        out = (eight[w.starts] & _PIECE[np.minimum(size, 8)]) * _odd(0) ^ size.astype(np.uint64) * _odd(1)
+        left, done = np.flatnonzero(size > 8), 8
+        while len(left):
+            more = size[left] - done
+            out[left] = (mix(out[left]) + (eight[w.starts[left] + done] & _PIECE[np.minimum(more, 8)])) * _odd(0)
+            left, done = left[more > 8], done + 8
     return mix(out)
 
 
@@ -166,7 +149,7 @@ def shingle_sets(texts: Texts, width: int = 5, blank: np.ndarray = BLANK) -> Ite
     A text of fewer words has one shingle, the whole sequence; a text without
     words has none.
     """
-    data = LOWER[texts.data]
+    data = lower(texts.data)
     w = words(Texts(data, texts.offsets, 0), blank)
     hashes = word_hashes(data, w)
     shingles = windows(hashes, width)
@@ -181,16 +164,3 @@ def shingle_sets(texts: Texts, width: int = 5, blank: np.ndarray = BLANK) -> Ite
             yield np.array([whole(hashes[a:b])], np.uint64)
         else:
             yield np.zeros(0, np.uint64)
-
-
-def arrow_map(fn: Callable[[pa.RecordBatch], dict | None], schema: pa.Schema):
-    """A ``mapInArrow`` function from one that turns a batch into columns."""
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
-                if out is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) if not isinstance(out[f.name], pa.Array) else out[f.name] for f in schema], schema=schema)
-
-    return run
