@@ -136,11 +136,17 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
 
 def whole(hashes: np.ndarray) -> np.uint64:
     """Hash of a sequence shorter than a shingle; its length counts."""
+    return runs(hashes, len(hashes))[0]
+
+
+def runs(hashes: np.ndarray, n: int) -> np.ndarray:
+    """:func:`whole` of every run of ``n`` consecutive words (across texts too)."""
+    m = max(0, len(hashes) - n + 1)
     with np.errstate(over="ignore"):
-        total = np.uint64(len(hashes)) * np.uint64(0x8EBC6AF09C88C6E3)
-        for k, h in enumerate(hashes):
-            total += h * _odd(k + 64)
-    return mix(np.array([total], np.uint64))[0]
+        total = np.full(m, np.uint64(n) * np.uint64(0x8EBC6AF09C88C6E3))
+        for k in range(n):
+            total += hashes[k : k + m] * _odd(k + 64)
+    return mix(total)
 
 
 def shingle_sets(texts: Texts, width: int = 5, blank: np.ndarray = BLANK) -> Iterator[np.ndarray]:
