@@ -17,8 +17,12 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+#: A public tokenizer's vocabulary with word ends; its words serve the guess costs.
+VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan_secrets(_table(spark, sf_dir, "documents"))
+    found = secrets.scan_secrets(_table(spark, sf_dir, "documents"), words=secrets.ranked_words(VOCABULARY))
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["kind"] != "guess")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -27,6 +31,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         *map(count, ("assign", "access", "hex", "guess")),
         F.sha2(said(base).cast("binary"), 256).alias("base_sha256"),
         said(F.col("spans")).alias("spans"),
+        F.round(F.array_max("spans.log10_guesses"), 3).alias("log10_guesses"),
     )
 
 
@@ -76,7 +81,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.linked_lines(_table(spark, sf_dir, "documents"))
+    return line_dedup.later_lines(_table(spark, sf_dir, "documents"))
 
 
 #: Target weights of the mix; sources that aren't named weigh 1.
@@ -130,4 +135,49 @@ ORACLES = {
                CASE WHEN p.page_id = last.last_id THEN NULL ELSE last.last_id END AS refers_to
         FROM p JOIN last USING (sha)
     """,
+    "op9_line_dedup": """
+        WITH a AS (
+            SELECT doc_id, string_split(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10)) AS xs
+            FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+        b AS (SELECT doc_id, unnest(xs) AS x, (generate_subscripts(xs, 1) - 1)::INT AS line FROM a),
+        s AS (SELECT DISTINCT doc_id, line, list_sort(list_distinct(regexp_extract_all(x, '[^ \\x09-\\x0D]+'))) AS ws FROM b),
+        g AS (SELECT ws, len(ws) AS n, min({'d': doc_id, 'l': line}) AS place FROM s WHERE len(ws) > 0 GROUP BY ws),
+        c AS (SELECT row_number() OVER (ORDER BY place) AS cid, * FROM g),
+        t AS (SELECT cid, n, unnest(ws) AS w FROM c),
+        f AS (SELECT w, count(*) AS df FROM t GROUP BY w),
+        r AS (SELECT cid, n, w, row_number() OVER (PARTITION BY cid ORDER BY df, w) AS pos FROM t JOIN f USING (w)),
+        p AS (SELECT cid, n, w FROM r WHERE pos <= n - (4 * n + 4) // 5 + 1),
+        pairs AS (SELECT DISTINCT p.cid AS x, q.cid AS y FROM p JOIN p AS q ON p.w = q.w AND p.cid <> q.cid AND 5 * p.n >= 4 * q.n AND 5 * q.n >= 4 * p.n),
+        k AS (SELECT x, y, len(list_intersect(cx.ws, cy.ws)) AS common, cx.n + cy.n AS total, cy.place AS other
+              FROM pairs JOIN c AS cx ON cx.cid = x JOIN c AS cy ON cy.cid = y),
+        m AS (SELECT x AS cid, count(*) AS n_links, min({'e': other, 's': common / (total - common)}) AS best FROM k WHERE 5 * common >= 4 * (total - common) GROUP BY x),
+        o AS (SELECT s.doc_id, s.line, c.place, coalesce(m.n_links, 0) AS n_links, best,
+                     coalesce(best.e < c.place, false) AS linked FROM s JOIN c USING (ws) LEFT JOIN m USING (cid)),
+        z AS (SELECT *, CASE WHEN linked THEN best.e ELSE place END AS e FROM o)
+        SELECT doc_id, line, e.d AS earlier_doc_id, e.l AS earlier_line, CASE WHEN linked THEN best.s ELSE 1.0::DOUBLE END AS similarity,
+               place.d AS class_doc_id, place.l AS class_line, n_links::BIGINT AS n_links
+        FROM z WHERE e < {'d': doc_id, 'l': line}
+    """,
+    "op10_mixing": """
+        WITH RECURSIVE n AS (
+            SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY source ORDER BY md5(concat('17:', doc_id))) - 1 AS number FROM documents),
+        s AS (SELECT source, CASE source WHEN 'src0' THEN 4 WHEN 'src1' THEN 3 WHEN 'src2' THEN 2 WHEN 'src3' THEN 2 ELSE 1 END AS weight,
+                     (max(number) // 16 + 1 + weight - 1) // weight AS turns FROM n GROUP BY source),
+        q AS (SELECT *, row_number() OVER (PARTITION BY weight ORDER BY turns DESC, source) - 1 AS rank FROM s),
+        ph AS (SELECT until, coalesce(lag(until) OVER (ORDER BY until), 0) AS since, (SELECT sum(weight) FROM s WHERE turns >= until) AS length
+               FROM (SELECT DISTINCT turns AS until FROM s)),
+        j AS (SELECT until, length, weight, k, rank, k * length // weight AS release, ((k + 1) * length + weight - 1) // weight AS due
+              FROM ph JOIN q ON q.turns >= ph.until, unnest(range(0, weight)) AS u(k)),
+        l AS (SELECT until, list({'w': weight, 'k': k, 'r': rank, 'release': release} ORDER BY due, weight DESC, k, rank) AS jobs FROM j GROUP BY until),
+        sim AS (
+            SELECT until, -1 AS slot, jobs, jobs[1] AS pick FROM l
+            UNION ALL
+            SELECT until, slot, list_filter(jobs, lambda x: x <> pick), pick FROM (
+                SELECT until, slot + 1 AS slot, jobs, list_filter(jobs, lambda x: x.release <= slot + 1)[1] AS pick FROM sim WHERE len(jobs) > 0)),
+        st AS (SELECT *, coalesce(sum((until - since) * length) OVER (ORDER BY until ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM ph)
+        SELECT n.doc_id, n.source, n.n_chars, (st.start + (n.number // 16 // q.weight - st.since) * st.length + sim.slot)::BIGINT AS mix_slot, (n.number % 16)::INT AS mix_place
+        FROM n JOIN q USING (source)
+        JOIN st ON n.number // 16 // q.weight >= st.since AND n.number // 16 // q.weight < st.until
+        JOIN sim ON sim.until = st.until AND sim.slot >= 0 AND sim.pick.w = q.weight AND sim.pick.r = q.rank AND sim.pick.k = (n.number // 16) % q.weight
+    """,
 }
