@@ -130,6 +130,21 @@ def _inflate(data: bytes, at: int) -> tuple[bytes, int] | str:
     return (b"".join(out), at - len(z.unused_data)) if z.eof else "gzip member is cut"
 
 
+class Next:
+    """Where a pattern is met next: each stretch of ``data`` is searched once, as long as what is asked for moves on."""
+
+    def __init__(self, data: bytes, patterns: tuple[bytes, ...]):
+        self.data, self.at = data, dict.fromkeys(patterns, -1)
+
+    def after(self, at: int) -> int:
+        """The first place beyond ``at``; the end if there is none."""
+        for x, known in self.at.items():
+            if known <= at:
+                found = self.data.find(x, at + 1)
+                self.at[x] = found if found >= 0 else len(self.data)
+        return min(self.at.values())
+
+
 def salvage(data: bytes) -> Iterator[Record | Gap]:
     """The valid records of an archive in order, and the gaps that hold none.
 
@@ -137,6 +152,7 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
     without any valid record gives a single gap. Every byte is in a record or a gap.
     """
     at, bad, why = 0, -1, ""
+    start = Next(data, (_MEMBER, *_VERSIONS))
     while at < len(data):
         found: list[Record] = []
         wrong, end = "", at
@@ -146,16 +162,13 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
                 wrong = got
             else:
                 inner, end = got
-                pos = 0
+                pos, later = 0, Next(inner, _VERSIONS)
                 while pos < len(inner):
                     one = _parse(inner, pos)
                     if isinstance(one, str):
                         # what the member still holds may have later records
-                        nxt = min((p for p in (inner.find(v, pos + 1) for v in _VERSIONS) if p >= 0), default=-1)
                         wrong = wrong or one
-                        if nxt < 0:
-                            break
-                        pos = nxt
+                        pos = later.after(pos)
                     else:
                         found.append(Record(one[0], one[1], at))
                         pos = one[2]
@@ -176,7 +189,7 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
             continue
         if bad < 0:
             bad, why = at, wrong
-        at = min((p for p in (data.find(x, at + 1) for x in (_MEMBER, *_VERSIONS)) if p >= 0), default=len(data))
+        at = start.after(at)
     if bad >= 0:
         yield Gap(bad, len(data) - bad, why)
 
@@ -206,7 +219,7 @@ def write_archives(rows: DataFrame, folder: str, archive_bytes: int = 16 << 20)
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size], pa.int64()), pa.array([count], pa.int64())], names=["path", "bytes", "records"])
 
         for batch in batches:
-            for x in batch.to_pylist():
+            for x in (dict(zip(batch.schema.names, (c[i].as_py() for c in batch.columns), strict=True)) for i in range(batch.num_rows)):
                 if sink is None:
                     name = f"warc/{uuid.uuid4().hex}.warc.gz"
                     sink, size, count = fs.open_output_stream(f"{top}/{name}", compression=None), 0, 0
