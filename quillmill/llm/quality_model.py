@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .frames import map_texts
 from .tokens import BLANK, Texts, chunks, column, mix, windows, word_hashes, words
@@ -28,6 +29,9 @@ NGRAMS = (3, 4, 5)
 #: Labelled rows of each class that training takes at most: those whose ids have the smallest hashes.
 SAMPLE_PER_CLASS = 1500
 
+#: Bytes of their texts at most, which the driver trains on: whole texts in the order of those hashes, as long as they fit.
+SAMPLE_BYTES = 64 << 20
+
 
 def held_out(id_col: Column) -> Column:
     """Whether crc32 of the id as text is 0 modulo 5; false for a null id."""
@@ -132,8 +136,8 @@ def train(texts: list[bytes], labels: list[int], buckets: int = 1 << 18, dim: in
     return Model((emb @ (out[1] - out[0]) + (bias[1] - bias[0])).astype(np.float32), float(np.log(p / (1 - p))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = SAMPLE_PER_CLASS, **options) -> Model:
-    """Trains on rows of ``docs`` with a label and not held out, ``per_class`` of each label at most.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = SAMPLE_PER_CLASS, most_bytes: int = SAMPLE_BYTES, **options) -> Model:
+    """Trains on rows of ``docs`` with a label and not held out, ``per_class`` of each label and ``most_bytes`` of text at most.
 
     Only id, text and label are read. Rows without text or label don't count; an
     id with two labels has the smaller one.
@@ -146,7 +150,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         picked = one if picked is None else picked.unionByName(one)
     # 2 * per_class rows of two numbers
     texts = docs.select(docs[f"`{id_col}`"].alias("__id"), docs[f"`{text_col}`"].cast("string").alias("__t")).join(F.broadcast(picked), "__id").filter(F.col("__t").isNotNull())
-    got = sorted(((r["__id"], r["__y"], r["__t"]) for r in texts.collect()), key=lambda r: (r[0], r[2]))
+    # of 2 * per_class rows or so the first that fit; one task adds up as many numbers
+    texts = texts.withColumn("__n", F.octet_length("__t").cast("long")).withColumn("__h", F.xxhash64("__id", "__t"))
+    total = F.sum("__n").over(Window.orderBy("__h", "__id", "__y").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    fits = texts.select("__id", "__y", "__n", "__h").withColumn("__total", total).filter(F.col("__total") <= most_bytes).agg(F.max("__h")).collect()[0][0]
+    texts = texts.filter(F.col("__h") <= fits) if fits is not None else texts.limit(0)
+    got = sorted(((r["__id"], r["__y"], r["__t"]) for r in texts.select("__id", "__y", "__t").collect()), key=lambda r: (r[0], r[2]))
     return train([t.encode() for _, _, t in got], [y for _, y, _ in got], **options)
 
 
