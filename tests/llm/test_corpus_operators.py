@@ -509,6 +509,45 @@ def test_quality_model_learns_and_is_told_nothing_else(spark):
     assert np.array_equal(model.table, quality_model.fit(docs, flipped, per_class=60, buckets=1 << 14).table)
 
 
+def test_scores_by_their_definition():
+    texts, labels = [" ".join(words(12, i, 40)).encode() for i in range(30)], [i % 3 > 0 for i in range(30)]
+    model = quality_model.train(texts, [int(y) for y in labels], buckets=1 << 10, epochs=2)
+    for raw in [*texts[:5], "é x".encode(), b"a", b"one two"]:
+        data = np.frombuffer(raw, np.uint8)
+        ids = np.concatenate([f[0] for f in quality_model.features(tokens.Texts(data, np.array([0, len(data)]), 0), 1 << 10)])
+        logit = float(np.mean(model.table[ids])) if len(ids) else model.prior
+        assert model.scores(data, np.array([0, len(data)]))[0] == pytest.approx(1 / (1 + np.exp(-logit)), abs=1e-5)
+
+
+def test_held_out_quality_and_languages(spark):
+    """On the driver's table: nothing held out is learned from, and nearly all of it is right."""
+    sf = "/root/testdata/sf0.01"
+    marks = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").filter("quality IS NOT NULL").collect()}
+    got = [(r.score, marks[r.doc_id]) for r in queries.op4_quality_classifier(spark, sf).filter("held_out").collect() if r.doc_id in marks]
+    good, bad = [s for s, y in got if y == 1], [s for s, y in got if y == 0]
+    auc = np.mean([(g > b) + (g == b) / 2 for g in good for b in bad])
+    assert len(good) > 10 and len(bad) > 3 and auc >= 0.95
+    langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").filter("lang IS NOT NULL").select("doc_id", "lang").collect()}
+    said = [(r.lang_pred, langs[r.doc_id]) for r in queries.op5_language_id(spark, sf).filter("held_out").collect() if r.doc_id in langs and r.lang_pred != "und"]
+    assert len(said) > 100 and np.mean([a == b for a, b in said]) >= 0.97
+
+
+def test_training_texts_are_bounded_by_bytes(spark):
+    docs = frame(spark, [f"word{i} " * (10 if i % 2 else 200) for i in range(60)])
+    marks = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    taken = []
+    train, quality_model.train = quality_model.train, lambda texts, labels, **o: taken.append((texts, labels))
+    try:
+        quality_model.fit(docs, marks)
+        quality_model.fit(docs, marks, most_bytes=20_000)
+        quality_model.fit(docs, marks, most_bytes=1)
+    finally:
+        quality_model.train = train
+    (every, _), (some, labels), (none, _) = taken
+    assert 40 < len(every) < 60 and 0 < len(some) < len(every) and sum(map(len, some)) <= 20_000 and none == []
+    assert all(t in every for t in some) and len(labels) == len(some)
+
+
 def test_quality_scores_of_odd_rows(spark):
     marks = spark.createDataFrame([(1, 1), (2, None), (None, 0)], "doc_id long, quality int")
     model = quality_model.fit(frame(spark, ODD), marks)
@@ -532,6 +571,21 @@ def test_languages(spark):
     profiles = language_id.fit(learn)
     got = {x.doc_id: (x.lang_pred, x.score) for x in language_id.predict(docs, profiles).collect()}
     assert all(got[i][0] == langs[i] and 0 <= got[i][1] <= 1 for i in range(150))
+    # prototypes and cosines by their definition, trigram by trigram
+    letters = language_id.Space().at[2]
+
+    def bundle(text):
+        c = [0 if x == " " else int(language_id.Letters.table()[ord(x)]) for x in re.sub(r"[^a-zäöüßéèêàùûçœ]+", " ", text.lower())]
+        return sum((np.roll(letters[x], 2) * np.roll(letters[y], 1) * letters[z] for x, y, z in zip(c, c[1:], c[2:])), np.zeros(language_id.DIM))
+
+    held = [i for i in range(150) if zlib.crc32(str(i).encode()) % 5 == 0]
+    sums = {lang: sum(bundle(t) for i, t in enumerate(texts) if langs[i] == lang and i not in held) for lang in LANGS}
+    for k, lang in enumerate(profiles.langs):
+        assert np.allclose(profiles.prototypes[k], sums[lang] / np.linalg.norm(sums[lang]), atol=1e-5)
+    for i in held:
+        v = bundle(texts[i])
+        cosines = {lang: float(v @ s / np.linalg.norm(v) / np.linalg.norm(s)) for lang, s in sums.items()}
+        assert got[i][0] == max(cosines, key=cosines.get) and got[i][1] == pytest.approx(max(cosines.values()), abs=1e-4)
     # the bundle by its definition: rotate, multiply, add
     space = language_id.Space()
     part = tokens.Texts(np.frombuffer(b"Ab, c", np.uint8), np.array([0, 5]), 0)
@@ -681,6 +735,17 @@ def test_salvage_finds_what_follows_damage():
     assert any(isinstance(x, warc.Gap) for x in inner)
 
 
+def test_salvage_of_many_false_starts_takes_time_in_proportion():
+    import time
+
+    one = warc.member(warc.record("response", "a", "u", b"x" * 50))
+    data = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03\xff\xff" * 50_000 + one + b"WARC/1.1\r\n" * 20_000 + one
+    began = time.monotonic()
+    got = list(warc.salvage(data))
+    assert [type(x).__name__ for x in got] == ["Gap", "Record", "Gap", "Record"] and sum(x.length for x in got if isinstance(x, warc.Gap)) + 2 * len(one) == len(data)
+    assert time.monotonic() - began < 120
+
+
 def test_round_trip(spark):
     html = [None, "", "<p>é</p>", "<p>é</p>", "x" * 3_000_000, "WARC/1.1\r\n\r\n", "same", "same", "same"]
     rows = [(i, None if i % 2 else f"http://h/{i}\n", h, "clash") for i, h in enumerate(html)] + [(8, "u", "same", None), (None, "n", "same", None)]
@@ -871,3 +936,60 @@ def test_mix_of_odd_tables(spark):
     assert sorted((r.mix_slot, r.mix_place) for r in rows) == [(0, 0), (0, 1), (1, 0), (1, 1), (2, 0)]
     with pytest.raises(ValueError):
         mixing.mixed(same, {"a": 0})
+
+
+# the pipeline
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Each stage, on all that the one before it kept, against plain Python."""
+    r, vocabulary = random.Random(30), words(600, 31, 5000)
+    line = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    items = [" ".join(words(n, 400 + n, 5000)) for n in (6, 18, 40)] + ["short item here"]
+    common = [line(9), "All rights reserved.", line(30)]
+    texts = []
+    for i in range(90):
+        rows = [line(r.randrange(4, 25)) for _ in range(r.randrange(2, 7))]
+        if i % 4 == 0:
+            rows.insert(r.randrange(len(rows)), r.choice(common))
+        if i % 9 == 0:
+            rows.append(f"{line(5)} {r.choice(items)} {line(4)}")
+        texts.append("\n".join(rows))
+    for i in range(30):  # near copies, as one line each so that the line stage leaves some of them to the next one
+        w = split(texts[i])
+        w[r.randrange(len(w))] = f"edit{i}"
+        texts.append("\n".join(" ".join(w[k : k + 3] + [f"x{i}"] * (k % 2)) for k in range(0, len(w), 3)))
+    texts += [None, "", "too short", "again " * 80, texts[3], texts[3]]
+    docs = frame(spark, texts, [("en", "de", None)[i % 3] for i in range(len(texts))], [("src0", "src1", "x")[i % 3] for i in range(len(texts))]).select("doc_id", "text", "lang", "source", "n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    sf, now = str(tmp_path), spark.read.parquet(f"{tmp_path}/documents.parquet")
+    read = lambda df: {x.doc_id: x.text for x in df.collect()}
+    (_, quality), (_, lines), (_, near), (_, bench), (_, mix) = corpus_pipeline.STAGES
+
+    left = read(now := quality(spark, now, sf).cache())
+    judged = {x.doc_id: x.kept for x in queries.op6_quality_rules(spark, sf).collect()}
+    assert left == {i: t for i, t in enumerate(texts) if judged[i]}
+    failed = {i for i, t in enumerate(texts) for n in [brute_counts(t)] if n[0] < 20 or 100 * n[4] > 30 * n[0]}
+    assert len(failed) >= 4 and not failed & left.keys() and len(left) > 80
+
+    ids = sorted(left)
+    gone = {(ids[k], i) for k, i in brute_lines([left[i] for i in ids])}
+    want = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in left.items()}
+    assert len(gone) > 10
+    left = read(now := lines(spark, now, sf).cache())
+    assert left == want
+
+    ids = sorted(left)
+    want = {ids[i]: left[ids[i]] for i, _, c in brute_components([left[i] for i in ids]) if i == c}
+    left = read(now := near(spark, now, sf).cache())
+    assert left == want
+
+    ids = sorted(left)
+    found = {ids[d] for d, _ in brute_contaminated([left[i] for i in ids], items)}
+    want = {d: t for d, t in left.items() if d not in found}
+    left = read(now := bench(spark, now, sf).cache())
+    assert left == want and found
+    rows = mix(spark, now, sf).collect()
+    assert {x.doc_id: x.text for x in rows} == left and len({(x.mix_slot, x.mix_place) for x in rows}) == len(rows)
+    assert sorted(map(repr, corpus_pipeline.run(spark, sf).collect())) == sorted(map(repr, rows))
