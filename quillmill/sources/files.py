@@ -1,16 +1,20 @@
 """Sources of ``files(path, text)``: trees, single files, git scopes, standard input and tables.
 
-Names are found on the driver, tested on the driver or as column expressions,
-and only then are files read, on the executors: what a script has no rule for
-is never opened.
+Names are found on the driver, those of a large tree on the executors, and tested
+as column expressions; only then are files read, on the executors: what a script
+has no rule for is never opened.
 """
 
 from __future__ import annotations
 
 import os
+import pickle
 import subprocess
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,8 +48,18 @@ def _git_root(path: str) -> str | None:
         path = parent
 
 
-def discover(root: str, options: WalkOptions) -> Iterator[str]:
-    """Regular files below ``root`` that the options leave, sorted by path. Ignored folders are not entered."""
+class Folder(NamedTuple):
+    """A folder that is to be listed: its absolute path, its name as shown, its path below the root, and what holds there."""
+
+    root: int
+    path: str
+    shown: str
+    rel: str
+    ignore: Ignore
+    seen: frozenset[str]  # folders above it, where links are followed
+
+
+def _top(i: int, root: str, options: WalkOptions) -> Folder:
     top = os.path.abspath(root)
     ignore = Ignore()
     if options.respect_ignore:
@@ -58,27 +72,72 @@ def discover(root: str, options: WalkOptions) -> Iterator[str]:
                 chain.append(at)
             for folder in reversed(chain):
                 ignore = ignore.plus(folder, ".gitignore").plus(folder, ".ignore")
-    yield from _below(top, root, "", ignore, options, {os.path.realpath(top)})
+    return Folder(i, top, root, "", ignore, frozenset({os.path.realpath(top)}))
 
 
-def _below(folder: str, shown: str, rel: str, ignore: Ignore, options: WalkOptions, seen: set[str]) -> Iterator[str]:
+def _listed(f: Folder, options: WalkOptions) -> Iterator[str | Folder]:
+    """What a folder holds that the options leave, by name: files as shown, and folders. Ignored ones are not entered."""
+    ignore = f.ignore
     if options.respect_ignore:
-        ignore = ignore.plus(folder, ".gitignore").plus(folder, ".ignore")
+        ignore = ignore.plus(f.path, ".gitignore").plus(f.path, ".ignore")
     try:
-        entries = sorted(os.scandir(folder), key=lambda e: e.name)
+        entries = sorted(os.scandir(f.path), key=lambda e: e.name)
     except OSError as e:
-        raise SourceError(f"{folder}: {e}") from e
+        raise SourceError(f"{f.path}: {e}") from e
     for e in entries:
-        at = f"{rel}/{e.name}" if rel else e.name
+        at = f"{f.rel}/{e.name}" if f.rel else e.name
         is_dir = e.is_dir(follow_symlinks=options.follow_symlinks)
         if options.respect_ignore and (e.name.startswith(".") or ignore.has(e.path, is_dir)):
             continue
         if is_dir:
             real = os.path.realpath(e.path)
-            if real not in seen:
-                yield from _below(e.path, os.path.join(shown, e.name), at, ignore, options, seen | {real})
+            if real not in f.seen:
+                yield Folder(f.root, e.path, os.path.join(f.shown, e.name), at, ignore, f.seen | {real})
         elif e.is_file(follow_symlinks=options.follow_symlinks) and takes(at, options.include, options.exclude):
-            yield os.path.join(shown, e.name)
+            yield os.path.join(f.shown, e.name)
+
+
+def _below(f: Folder, options: WalkOptions) -> Iterator[str]:
+    for x in _listed(f, options):
+        if isinstance(x, Folder):
+            yield from _below(x, options)
+        else:
+            yield x
+
+
+def discover(root: str, options: WalkOptions) -> Iterator[str]:
+    """Regular files below ``root`` that the options leave, folder by folder in the order of names."""
+    yield from _below(_top(0, root, options), options)
+
+
+#: Folders that the driver finds before the executors list what is below them.
+SPREAD = 256
+
+
+def _names(spark: SparkSession, files: list[tuple[int, str]], folders: list[Folder], options: WalkOptions) -> DataFrame:
+    """(root_idx, path) of the files and of all files below the folders. A large tree is listed by the executors, but for its uppermost levels."""
+    open_, rows = deque(folders), list(files)
+    while open_ and len(open_) < SPREAD:
+        f = open_.popleft()
+        for x in _listed(f, options):
+            if isinstance(x, Folder):
+                open_.append(x)
+            else:
+                rows.append((f.root, x))
+    out = spark.createDataFrame(rows, "root_idx int, path string")
+    if not open_:
+        return out
+
+    def run(batches):
+        for batch in batches:
+            for raw in batch.column(0):
+                f = pickle.loads(raw.as_py())
+                names = _below(f, options)
+                while some := list(islice(names, 4096)):
+                    yield pa.RecordBatch.from_arrays([pa.array([f.root] * len(some), pa.int32()), pa.array(some)], names=["root_idx", "path"])
+
+    rest = spark.createDataFrame([(pickle.dumps(f),) for f in open_], "folder binary").repartition(len(open_))
+    return out.unionByName(rest.mapInArrow(run, "root_idx int, path string"))
 
 
 def read_paths(spark: SparkSession, paths: DataFrame, on_error: str = "raise", jobs: int | None = None) -> DataFrame:
@@ -126,15 +185,16 @@ def tree(spark: SparkSession, roots: str | list[str], options: WalkOptions | Non
     """
     options = options or WalkOptions()
     rows: list[tuple[int, str]] = []
+    folders: list[Folder] = []
     for i, root in enumerate([roots] if isinstance(roots, str) else roots):
         if os.path.isfile(root):
             if takes(os.path.basename(root), options.include, options.exclude) or takes(root.lstrip("./"), options.include, options.exclude):
                 rows.append((i, root))
         elif os.path.isdir(root):
-            rows += [(i, p) for p in discover(root, options)]
+            folders.append(_top(i, root, options))
         else:
             raise ConfigError(f"no such path: {root}")
-    paths = spark.createDataFrame(rows, "root_idx int, path string")
+    paths = _names(spark, rows, folders, options)
     if relevant is not None:
         paths = paths.filter(relevant)
     return read_paths(spark, paths, on_error, options.jobs)

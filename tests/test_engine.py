@@ -159,6 +159,21 @@ def test_changes_outlive_what_they_were_made_from(spark, work):
     assert (work / "a.go").read_text() == "var old2 = wrap(1)\n"
 
 
+def test_a_large_tree_is_listed_by_the_executors(spark, work, monkeypatch):
+    top = str(work)
+    for i in range(12):
+        (work / f"pkg{i}" / "deep" / "er").mkdir(parents=True)
+        for at in ("", "deep/", "deep/er/"):
+            (work / f"pkg{i}" / f"{at}f.go").write_text("old")
+    (work / "pkg3" / ".gitignore").write_text("er/\n")
+    for options in (files.WalkOptions(), files.WalkOptions(include=["*.go"], exclude=["pkg1/"]), files.WalkOptions(respect_ignore=False)):
+        want = names(files.tree(spark, top, options), top)
+        monkeypatch.setattr(files, "SPREAD", 3)
+        assert names(files.tree(spark, top, options), top) == want
+        monkeypatch.setattr(files, "SPREAD", 256)
+    assert len(want) > 40
+
+
 def test_files_come_root_by_root(spark, work):
     top = work / "roots"
     for name in ("zz", "aa"):
