@@ -115,6 +115,161 @@ CASES = (
     _case("js_symbol_replace", ("nation", "n_nationkey", "tsx"), 'match js::symbol "old" { replace "fresh" }', (JS_BODY, _swap(JS_BODY, ("${old +", "${fresh +"), ("obj.old = { old }", "obj.fresh = { fresh }")))),
 )
 
+#: Further texts of the cases above: what stands alone comes out as it is.
+_MORE: dict[str, tuple] = {
+    "go_import_replace": (
+        ('package a\nimport "old/pkg"\n', 'package a\nimport "new/pkg"\n'),
+        ('package a\nimport . "old/pkg"\n', 'package a\nimport . "new/pkg"\n'),
+        ('package a\nimport _ "old/pkg" // why\n', 'package a\nimport _ "new/pkg" // why\n'),
+        ('package a\nimport ("a"; "old/pkg")\n', 'package a\nimport ("a"; "new/pkg")\n'),
+        ('package a\n// import "old/pkg"\nvar s = "old/pkg"\n',),
+        ('package a\nimport "old/pkg/sub"\nimport "older/pkg"\n',),
+        ('package a\r\nimport "old/pkg"\r\n', 'package a\r\nimport "new/pkg"\r\n'),
+    ),
+    "go_import_delete": (
+        ('package a\nimport (\n\t"a"\n\t"old/pkg"\n\t"b"\n)\n', 'package a\nimport (\n\t"a"\n\t"b"\n)\n'),
+        ('package a\nimport "old/pkg/sub"\n',),
+        ('package a\nvar s = "old/pkg"\n',),
+        ('package a\nimport _ "old/pkg"\nvar x{n} = 1\n', 'package a\nvar x{n} = 1\n'),
+        ('package a\n/* import "old/pkg" */\n',),
+        ('package a\nimport "a"\nimport y "old/pkg"\nimport "b"\n', 'package a\nimport "a"\nimport "b"\n'),
+    ),
+    "go_import_ensure": (
+        ('package a\nimport (\n\t"fmt"\n\t"log"\n)\n',),
+        ('package a\nimport l "log"\n',),
+        ('package a\n// import "log"\n', 'package a\n\nimport "log"\n// import "log"\n'),
+        ('package a{n}\n', 'package a{n}\n\nimport "log"\n'),
+    ),
+    "go_symbol_replace": (
+        ('package a\nvar Old = Old.Old[Old]\n', 'package a\nvar Fresh = Fresh.Fresh[Fresh]\n'),
+        ('package a\n// Old\nvar s, r = "Old", \'O\'\n',),
+        ('package a\nvar Older, old, MyOld = 1, 2, 3\n',),
+        ('package /* c */ Old\nvar Old{n} = Old\n', 'package /* c */ Old\nvar Old{n} = Fresh\n'),
+        ('package a\n/* Old\nOld */ var x Old\n', 'package a\n/* Old\nOld */ var x Fresh\n'),
+        ('package a\nvar s = `\nOld` + Old\n', 'package a\nvar s = `\nOld` + Fresh\n'),
+        ('package a\r\nfunc Old() {}\r\n', 'package a\r\nfunc Fresh() {}\r\n'),
+        ('',),
+    ),
+    "go_struct_tag_replace": (
+        ('type T struct {\n\tA int `xml:"a" json:"old"`\n}\n', 'type T struct {\n\tA int `xml:"a" json:"new"`\n}\n'),
+        ('type T struct {\n\tA int `json:"older"`\n\tB int `json:"old,omitempty"`\n}\n',),
+        ('func f() {\n\ts := `json:"old"`\n}\n',),
+        ('type T struct {\n\tA struct {\n\t\tB int `json:"old"`\n\t}\n\tC{n} int `json:"c"`\n}\n', 'type T struct {\n\tA struct {\n\t\tB int `json:"new"`\n\t}\n\tC{n} int `json:"c"`\n}\n'),
+        ('// `json:"old"`\ntype T struct{}\n',),
+    ),
+    "rust_use_replace": (
+        ('use old::path as p;\n', 'use new as p;\n'),
+        ('use old::path::{a, b};\n', 'use new::{a, b};\n'),
+        ('use old::paths;\nuse older::path;\n',),
+        ('// use old::path;\nlet s = "use old::path;";\n',),
+        ('pub(crate) use old::path::x{n};\n', 'pub(crate) use new::x{n};\n'),
+        ('mod m { use old::path; }\n', 'mod m { use new; }\n'),
+        ('use old::path::*;\n', 'use new::*;\n'),
+    ),
+    "rust_use_delete": (
+        ('use a::b;\nuse old::path;\nuse c::d;\n', 'use a::b;\nuse c::d;\n'),
+        ('use old::paths;\n',),
+        ('// use old::path;\n',),
+        ('use old::path::{\n    a,\n    b,\n};\nfn f{n}() {}\n', 'fn f{n}() {}\n'),
+    ),
+    "rust_use_ensure": (
+        ('fn f() {}\n', 'use std::fmt;\nfn f() {}\n'),
+        ('use std::fmt;\n',),
+        ('use std::io;\nfn f() {}\n', 'use std::fmt;\nuse std::io;\nfn f() {}\n'),
+        ('//! Doc {n}.\n\nfn f() {}\n', '//! Doc {n}.\nuse std::fmt;\n\nfn f() {}\n'),
+    ),
+    "rust_symbol_replace": (
+        ('fn old(old: Old) -> old::T { old.old() }\n', 'fn fresh(fresh: Old) -> fresh::T { fresh.fresh() }\n'),
+        ('// old\nlet s = "old"; let c = b"old";\n',),
+        ('let r = r"old"; let q = r##"old"#old"##;\n',),
+        ("fn f<'old>(x: &'old u8) {}\n",),
+        ('let older = my_old + old_{n};\n',),
+        ('/* /* old */ old */ old!();\n', '/* /* old */ old */ fresh!();\n'),
+    ),
+    "rust_crate_replace": (
+        ('[dependencies]\nserde = "1"\n', '[dependencies]\nserde2 = "1"\n'),
+        ('[dependencies]\nserde = { version = "1", features = ["derive"] }\n', '[dependencies]\nserde2 = { version = "1", features = ["derive"] }\n'),
+        ('[build-dependencies]\nserde = "{n}"\n', '[build-dependencies]\nserde2 = "{n}"\n'),
+        ('[package]\nserde = "1"\n',),
+        ('[dependencies]\nserde_json = "1"\n# serde = "1"\n',),
+    ),
+    "rust_crate_delete": (
+        ('[dependencies]\na = "1"\nserde = "1"\nb = "{n}"\n', '[dependencies]\na = "1"\nb = "{n}"\n'),
+        ('[package]\nname = "serde"\n',),
+        ('[dependencies]\nserde_json = "1"\n',),
+    ),
+    "java_import_replace": (
+        ('import old.pkg.Util;\n', 'import new.pkg.Util;\n'),
+        ('// import old.pkg.Util;\nclass A{n} {}\n',),
+        ('import old.pkg.Utils;\nimport old.pkg.util;\n',),
+        ('class A { String s = "import old.pkg.Util;"; }\n',),
+    ),
+    "java_import_delete": (
+        ('import old.pkg;\nclass A{n} {}\n', 'class A{n} {}\n'),
+        ('import old.pkgs.*;\n',),
+        ('// import old.pkg.*;\n',),
+    ),
+    "java_import_ensure": (
+        ('import java.util.List;\nclass A{n} {}\n',),
+        ('package p;\nclass A{n} {}\n', 'package p;\n\nimport java.util.List;\nclass A{n} {}\n'),
+    ),
+    "java_package_replace": (
+        ('package old.pkg;\nclass A{n} {}\n', 'package new.home;\nclass A{n} {}\n'),
+        ('// package old.pkg;\nclass A {}\n',),
+        ('package old;\n',),
+        ('/* c */ package old.pkg; // d\n', '/* c */ package new.home; // d\n'),
+    ),
+    "java_symbol_replace": (
+        ('Util u = new Util<Util>();\n', 'Tool u = new Tool<Tool>();\n'),
+        ('// Util\nString s = "Util"; char c = \'U\';\n',),
+        ('Utility x = MyUtil.util{n}(Util_);\n',),
+        ('String t = """\n Util "Util" """ + Util;\n', 'String t = """\n Util "Util" """ + Tool;\n'),
+    ),
+    "python_import_replace": (
+        ('import old.mod\n', 'import new\n'),
+        ('import old.mod.sub as s\n', 'import new.sub as s\n'),
+        ('from old.mod import (a,\n    b)\n', 'from new import (a,\n    b)\n'),
+        ('from .old.mod import a\n',),
+        ('x = "import old.mod"\n# import old.mod\n',),
+        ('def f{n}():\n    from old.mod import a\n', 'def f{n}():\n    from new import a\n'),
+    ),
+    "python_import_delete": (
+        ('import a\nimport old\nimport b\n', 'import a\nimport b\n'),
+        ('from older import x\n',),
+        ('x = "import old"\n',),
+        ('from old.x import (\n    a,\n)\ny = {n}\n', 'y = {n}\n'),
+    ),
+    "python_import_ensure": (
+        ('import sys\n',),
+        ('"""Doc {n}."""\nx = 1\n', '"""Doc {n}."""\nimport sys\nx = 1\n'),
+        ('x = {n}\n', 'import sys\nx = {n}\n'),
+    ),
+    "python_symbol_replace": (
+        ('old = old.old(old=old)[old]\n', 'fresh = fresh.fresh(fresh=fresh)[fresh]\n'),
+        ('# old\ns = "old" + \'old\' + """old"""\n',),
+        ('older = my_old + old_{n}\n',),
+        ('s = f"{old} old {old + {n}}"\n', 's = f"{fresh} old {fresh + {n}}"\n'),
+        ('s = rb"old"; t = r\'old\'\n',),
+    ),
+    "js_import_replace": (
+        ("import 'old-lib';\n", "import 'new-lib';\n"),
+        ("export * from 'old-lib';\n", "export * from 'new-lib';\n"),
+        ("// import 'old-lib';\nlet s = 'old-lib';\n",),
+        ("import a from 'old-libs';\n",),
+    ),
+    "js_import_delete": (
+        ("import a{n} from 'old-lib';\nlet x = 1;\n", 'let x = 1;\n'),
+        ("let s = 'old-lib';\n",),
+    ),
+    "js_symbol_replace": (
+        ('let old = old.old(old);\n', 'let fresh = fresh.fresh(fresh);\n'),
+        ('// old\nlet s = "old", r = /old/;\n',),
+        ('let older = old{n} + $old;\n',),
+        ('let t = `${old}${`${old} old`}`;\n', 'let t = `${fresh}${`${fresh} old`}`;\n'),
+    ),
+}
+CASES = tuple(c._replace(variants=(*c.variants, *((v[0], v[-1]) for v in _MORE.get(c.name, ())))) for c in CASES)
+
 
 def script(name: str, *rules: str) -> str:
     return f'refactor "{name}" {{ {" ".join(rules)} }}'
