@@ -50,8 +50,8 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/quillmill-{uuid.uuid4().hex}"
 
 
-#: With this setting on, a query's shuffle files go when it ends, not when the driver next collects its garbage.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is stored: a query's shuffle files go when it ends, not when the driver next collects its garbage, and Python gets few texts at a time.
+_WHILE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def stored(df: DataFrame, folder: str, name: str, row_group: int | None = None) -> DataFrame:
@@ -62,13 +62,15 @@ def stored(df: DataFrame, folder: str, name: str, row_group: int | None = None)
     """
     spark = df.sparkSession
     path = f"{folder}/{name}"
-    before = spark.conf.get(_CLEANUP, None)
+    before = {k: spark.conf.get(k, None) for k in _WHILE}
     try:
-        spark.conf.set(_CLEANUP, "true")
+        for k, v in _WHILE.items():
+            spark.conf.set(k, v)
         writer = df.write.mode("overwrite")
         (writer.option("parquet.block.size", row_group) if row_group else writer).parquet(path)
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -34,14 +34,14 @@ from .tokens import Texts, chunks, column, lower, mix, word_hashes, words
 #: Words are told apart by so many bits of their hashes.
 _BITS = 48
 
-#: Bytes of the stored sets that a task reads at a time, about.
-_ROW_GROUP = 16 << 20
+#: Bytes of text whose lines are packed into a row, and of the stored sets that a task reads at a time, about: the JVM keeps large arrays badly.
+_ROW, _ROW_GROUP = 1 << 18, 4 << 20
 
 
 class Sizes(NamedTuple):
     """What is worked on at a time. None of these changes a result."""
 
-    held: int = 1_000_000  # elements
+    held: int = 400_000  # elements
     pairs: int = 100_000
     few: int = 50_000  # entries with their sets that are given out
     small: int = setjoin.SMALL  # classes of a word: up to here each pair is tested in the first round
@@ -117,7 +117,7 @@ def packed_lines(docs: DataFrame, least: int) -> DataFrame:
         met = setjoin.Counts()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for part in chunks(*column(batch, "text")):
+            for part in chunks(*column(batch, "text"), _ROW):
                 of, line, bounds, elements = line_sets(part, least)
                 if len(of):
                     met.add(elements)
@@ -425,11 +425,11 @@ def counted_links(lines: DataFrame, met: DataFrame, rare: Rarity, bits: int, siz
             for i, j in _candidates(size, n[order], pos[order], side[order], sketch[order], sizes.pairs):
                 i, j = order[i], order[j]
                 before = np.flatnonzero((pos[i] > 0) & (pos[j] > 0))
-                seen = _common(elements, (bounds[i[before]], pos[i[before]]), (bounds[j[before]], pos[j[before]]), 4 * sizes.held) > 0
+                seen = _common(elements, (bounds[i[before]], pos[i[before]]), (bounds[j[before]], pos[j[before]]), 2 * sizes.held) > 0
                 fresh = np.ones(len(i), bool)
                 fresh[before[seen]] = False
                 i, j = i[fresh], j[fresh]
-                common = _common(elements, (bounds[i], n[i]), (bounds[j], n[j]), 4 * sizes.held)
+                common = _common(elements, (bounds[i], n[i]), (bounds[j], n[j]), 2 * sizes.held)
                 ok = DEN * common >= NUM * (n[i] + n[j] - common)
                 i, j, common = i[ok], j[ok], common[ok]
                 if not len(i):

@@ -258,7 +258,7 @@ def prefixes(s: Sets, rare: Rarity) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 _ENTRY = (("rem", np.uint32), ("cls", np.uint64), ("doc", np.int64), ("line", np.int32), ("n", np.uint32), ("pos", np.uint16), ("sketch", np.uint64), ("sketch2", np.uint64))
 
 #: Entries that a task holds before it gives them out in blocks (about 50 bytes each).
-FLUSH = 500_000
+FLUSH = 200_000
 
 #: In a column of so many classes or fewer each pair is tested by size and sketch at once; the rest of the columns is kept whole.
 SMALL = 512
