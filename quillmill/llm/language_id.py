@@ -9,14 +9,18 @@ prototype has the largest cosine with it.
 
 from __future__ import annotations
 
+import pickle
+import uuid
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import map_texts
+from .frames import map_texts, shared_folder, stored
 from .tokens import Texts, chunks, column
 
 #: Vectors have so many numbers.
@@ -25,7 +29,7 @@ DIM = 512
 CLASSES = 128
 #: Trigram vectors that a worker keeps at most; beyond, it begins anew.
 KEPT = 24_000
-#: More languages than this are refused: prototypes go to every worker.
+#: Languages whose prototypes go to every worker (2 KB each); more of them lie in files, so many to a file.
 MOST_LANGUAGES = 5_000
 
 
@@ -112,43 +116,97 @@ def space(dim: int, seed: int) -> Space:
 
 
 class Profiles(NamedTuple):
+    """Prototypes by language: in ``langs`` and ``prototypes``, or, where there are very many, in files of ``MOST_LANGUAGES`` or so each."""
+
     langs: list[str]
-    prototypes: np.ndarray  # unit length, a row a language
+    prototypes: np.ndarray  # unit length, a row a language, in order of their names
     dim: int
     seed: int
+    folder: str = ""
+    files: tuple[str, ...] = ()
+
+    def blocks(self) -> Iterator[tuple[list[str], np.ndarray]]:
+        """Some languages at a time; a file is read anew whenever it is its turn."""
+        if self.langs:
+            yield self.langs, self.prototypes
+        if self.files:
+            fs, top = pa.fs.FileSystem.from_uri(self.folder)
+            for name in self.files:
+                with fs.open_input_stream(f"{top}/{name}", compression=None) as f:
+                    yield pickle.loads(f.read())
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
         said, scores = [], np.zeros(len(offsets) - 1)
         own = space(self.dim, self.seed)
         letters = Letters.table()
         for part in chunks(data, offsets):
-            grams, bounds = trigrams(part) if len(part.data) else (np.zeros(0, np.int32), np.zeros(len(part.offsets), np.int64))
-            for k in range(len(part.offsets) - 1):
-                v = own.bundle(grams[bounds[k] : bounds[k + 1]])
-                norm = float(np.linalg.norm(v))
-                if norm and self.langs:
-                    cosines = self.prototypes @ v / norm
-                    best = int(cosines.argmax())
-                    said.append(self.langs[best])
-                    scores[part.first + k] = min(1.0, max(0.0, float(cosines[best])))
+            n = len(part.offsets) - 1
+            grams, bounds = trigrams(part) if len(part.data) else (np.zeros(0, np.int32), np.zeros(n + 1, np.int64))
+            vectors = np.array([own.bundle(grams[bounds[k] : bounds[k + 1]]) for k in range(n)]).reshape(n, self.dim)
+            norms = np.linalg.norm(vectors, axis=1)
+            best, names = np.full(n, -np.inf), [""] * n
+            for langs, prototypes in self.blocks():
+                for i in range(0, n, 256):
+                    cosines = vectors[i : i + 256] @ prototypes.T
+                    at = cosines.argmax(axis=1)
+                    for k, (j, x) in enumerate(zip(at.tolist(), cosines[np.arange(len(at)), at].tolist(), strict=True), i):
+                        if (-x, langs[j]) < (-best[k], names[k]):
+                            best[k], names[k] = x, langs[j]
+            for k in range(n):
+                if norms[k] and names[k]:
+                    said.append(names[k])
+                    scores[part.first + k] = min(1.0, max(0.0, float(best[k] / norms[k])))
                 else:  # too short for a trigram: any letter at all?
                     raw = part.data[part.offsets[k] : part.offsets[k + 1]].tobytes().decode("utf-8", "replace")
-                    some = any(letters[ord(c)] for c in raw)
-                    said.append(self.langs[0] if some and self.langs else "und")
+                    said.append(names[k] if names[k] and any(letters[ord(c)] for c in raw) else "und")
         return said, scores
 
 
+def _unit(sums: dict[str, np.ndarray], dim: int) -> tuple[list[str], np.ndarray]:
+    """Languages in order and their prototypes; one without a trigram has none."""
+    langs = sorted(x for x, v in sums.items() if v.any())
+    return langs, np.array([sums[x] / np.linalg.norm(sums[x]) for x in langs]) if langs else np.zeros((0, dim))
+
+
+def _stored(total: DataFrame, folder: str, parts: int, dim: int) -> tuple[str, ...]:
+    """Names of files of prototypes below ``folder``, one a task; a table, committed by Spark, says which count."""
+
+    def run(batches):
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for lang, i, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sums.setdefault(lang, np.zeros(dim))[i] = v
+        langs, prototypes = _unit(sums, dim)
+        if langs:
+            fs, top = pa.fs.FileSystem.from_uri(folder)
+            fs.create_dir(f"{top}/profiles", recursive=True)
+            name = f"profiles/{uuid.uuid4().hex}"
+            with fs.open_output_stream(f"{top}/{name}", compression=None) as f:
+                pickle.dump((langs, prototypes), f, protocol=5)
+            yield pa.RecordBatch.from_arrays([pa.array([name])], names=["file"])
+
+    made = stored(total.repartition(parts, "lang").mapInArrow(run, "file string"), folder, "files")
+    return tuple(sorted(r["file"] for r in made.collect()))
+
+
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dim: int = DIM, seed: int = 11) -> Profiles:
     """Prototypes from every row of ``docs`` with a language; the caller leaves held-out rows out.
 
     Each task bundles its own texts by language; a sum over (language, place)
-    adds the tasks up, so the driver gets ``dim`` numbers a language.
+    adds the tasks up, so the driver gets ``dim`` numbers a language. Over
+    ``MOST_LANGUAGES`` languages are kept in files instead, and give the same.
     """
     rows = docs.select(docs[f"`{lang_col}`"].cast("string").alias("lang"), docs[f"`{text_col}`"].cast("string").alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
 
     def run(batches):
         own = space(dim, seed)
         sums: dict[str, np.ndarray] = {}
+
+        def given():
+            while sums:
+                lang, v = sums.popitem()
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * dim), pa.array(np.arange(dim), pa.int32()), pa.array(v)], names=["lang", "i", "v"])
+
         for batch in batches:
             langs = np.array(batch.column(0).to_pylist(), object)
             for part in chunks(*column(batch, "text")):
@@ -158,18 +216,19 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dim: in
                     mine = [grams[bounds[k] : bounds[k + 1]] for k in np.flatnonzero(of == lang)]
                     v = own.bundle(np.concatenate(mine))
                     sums[lang] = sums[lang] + v if lang in sums else v
-        for lang, v in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * dim), pa.array(np.arange(dim), pa.int32()), pa.array(v)], names=["lang", "i", "v"])
+            if len(sums) > MOST_LANGUAGES:
+                yield from given()
+        yield from given()
 
     total = rows.mapInArrow(run, "lang string, i int, v double").groupBy("lang", "i").agg(F.sum("v").alias("v"))
+    known = rows.select("lang").distinct()
+    if known.limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        folder = shared_folder(docs.sparkSession)
+        return Profiles([], np.zeros((0, dim)), dim, seed, folder, _stored(total, folder, -(-known.count() // MOST_LANGUAGES), dim))
     by: dict[str, np.ndarray] = {}
-    for lang, i, v in total.limit(MOST_LANGUAGES * dim + 1).collect():
+    for lang, i, v in total.collect():  # dim numbers for each of MOST_LANGUAGES at most
         by.setdefault(lang, np.zeros(dim))[i] = v
-    if len(by) > MOST_LANGUAGES:
-        raise ValueError(f"over {MOST_LANGUAGES} languages in {lang_col}")
-    langs = sorted(x for x, v in by.items() if v.any())
-    protos = np.array([by[x] / np.linalg.norm(by[x]) for x in langs]) if langs else np.zeros((0, dim))
-    return Profiles(langs, protos, dim, seed)
+    return Profiles(*_unit(by, dim), dim, seed)
 
 
 def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
