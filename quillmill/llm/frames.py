@@ -71,9 +71,16 @@ def stored(df: DataFrame, folder: str, name: str, row_group: int | None = None)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    _with_session(spark, folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _with_session(spark: SparkSession, folder: str) -> None:
+    """The folder goes when the session's JVM ends, if it is still there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def finished(df: DataFrame, folder: str) -> DataFrame:
     """``df``, made from tables below ``folder``, stored beside it; the folder goes."""
     out = stored(df, f"{folder}-result", "rows")

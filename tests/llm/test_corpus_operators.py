@@ -595,6 +595,18 @@ def test_languages(spark):
     assert np.array_equal(space.bundle(language_id.trigrams(part)[0]), want)
 
 
+def test_any_number_of_languages(spark, monkeypatch):
+    r = random.Random(17)
+    langs = [f"l{i % 23}" for i in range(120)]
+    texts = [" ".join("".join(r.choice("abcdefghij"[i % 7 :]) for _ in range(5)) for _ in range(12)) for i in range(120)]
+    docs = frame(spark, [*texts, *ODD], [*langs, *["l3"] * len(ODD)])
+    rows = lambda p: [(x.doc_id, x.lang_pred, round(x.score, 6)) for x in language_id.predict(docs, p).orderBy("doc_id").collect()]
+    want = rows(language_id.fit(docs))
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 4)
+    many = language_id.fit(docs)
+    assert len(many.files) > 1 and not many.langs and rows(many) == want
+
+
 def test_languages_of_odd_rows(spark):
     profiles = language_id.fit(frame(spark, ["abc def", None], ["en", "de"]))
     rows = {r.doc_id: r for r in language_id.predict(frame(spark, [*ODD, "12 34 !!"]), profiles).collect()}
