@@ -14,6 +14,9 @@ an earlier line (by document, then line number) is similar to it.
    pair is counted in the first word that both sets' order has in common, so
    nowhere twice, and only sums by class leave the task: no pair is ever stored.
    A word of very many classes is dealt into tiles, pairs of parts of them.
+4. Lines of over ``SHORT`` words have too many entries for that: theirs meet
+   without sets, and the pairs that size and a 512-bit sketch leave are verified
+   on sets that are fetched once.
 """
 
 from __future__ import annotations
@@ -39,13 +42,14 @@ _ROW, _ROW_GROUP = 1 << 18, 4 << 20
 
 
 class Sizes(NamedTuple):
-    """What is worked on at a time. None of these changes a result."""
+    """What is worked on at a time, and how. None of these changes a result."""
 
     held: int = 400_000  # elements
     pairs: int = 100_000
     few: int = 50_000  # entries with their sets that are given out
     small: int = setjoin.SMALL  # classes of a word: up to here each pair is tested in the first round
     tile: int = 8192  # classes of a word that meet in one task; more are dealt into tiles
+    short: int = 256  # words of a line whose set goes along with each of its entries, a fifth of so many
 
 
 #: Words at most that are dealt into tiles; where there would be more, tiles are larger.
@@ -378,7 +382,8 @@ def needed_lines(lines: DataFrame, met: DataFrame, sizes: Sizes) -> DataFrame:
 def counted_links(lines: DataFrame, met: DataFrame, rare: Rarity, bits: int, sizes: Sizes) -> DataFrame:
     """(cls, doc, line, n_links, e_doc, e_line, common, together): parts of each linked class's number of links, and its earliest partner in that part.
 
-    ``lines`` are those of :func:`needed_lines`.
+    ``lines`` are those of :func:`needed_lines`. Pairs of lines of ``sizes.short``
+    words at most.
     """
     spark, shift = lines.sparkSession, 64 - bits - 32
     entries = met.filter(F.col("kind") == ENTRY).select("elem", "cls")
@@ -388,6 +393,7 @@ def counted_links(lines: DataFrame, met: DataFrame, rare: Rarity, bits: int, siz
     def deal(batches):
         rare, needed, tiles = shared.value
         for s in _read(batches, sizes.held):
+            s = _picked(s, np.flatnonzero(np.diff(s.bounds) <= sizes.short))
             cls, size = setjoin.class_ids(s), np.diff(s.bounds)
             s = s._replace(elements=s.elements[setjoin.ranked(s, rare)])
             of, pos = _ranges(np.zeros(len(size), np.int64), setjoin.prefix_length(size))
@@ -449,6 +455,30 @@ def counted_links(lines: DataFrame, met: DataFrame, rare: Rarity, bits: int, siz
     return setjoin._by_block(dealt).mapInArrow(meet, "cls long, doc long, line int, n_links long, e_doc long, e_line int, common long, together long")
 
 
+def long_links(lines: DataFrame, met: DataFrame, folder: str, sizes: Sizes) -> DataFrame:
+    """The same of pairs with a longer line, in rows of one partner each."""
+    least = setjoin.NUM * sizes.short // DEN  # the other line of such a pair has more words
+
+    def run(batches):
+        for s in _read(batches, sizes.held):
+            s = _picked(s, np.flatnonzero(np.diff(s.bounds) >= least))
+            own = [s.elements[a:b] for a, b in zip(s.bounds[:-1], s.bounds[1:], strict=True)]
+            for i in range(0, len(own), 256):
+                part = slice(i, i + 256)
+                arrays = [pa.array(x[part]) for x in (setjoin.class_ids(s).view(np.int64), s.doc, s.line, np.diff(s.bounds))]
+                sets, wide = [setjoin.planes(x) for x in own[part]], [setjoin.wide_sketch(x) for x in own[part]]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(sets, pa.binary()), pa.array(wide, pa.list_(pa.int64()))], names=["cls", "doc", "line", "n", "set", "wide"])
+
+    table = stored(lines.mapInArrow(run, "cls long, doc long, line int, n long, set binary, wide array<long>"), folder, "long", _ROW_GROUP)
+    entries = met.filter((F.col("kind") == ENTRY) & (F.col("n") >= least)).select("elem", "cls", "n", "doc", "line")
+    entries = entries.join(table.select("cls", "wide").dropDuplicates(["cls"]), "cls").withColumns({c: F.lit(0).cast("long") for c in ("pos", "sketch", "sketch2")})
+    entries = stored(entries, folder, "long_entries")
+    on = (F.struct("y.doc", "y.line") < F.struct("x.doc", "x.line")) & (F.greatest("x.n", "y.n") > sizes.short) & setjoin.within_wide("x", "y")
+    pairs = stored(setjoin.verified(setjoin.full_pairs(entries, entries, on), table, folder, "long"), folder, "long_links")
+    sides = [pairs.select(*(F.col(f"{x}{c}").alias(k) for c, k in (("", "cls"), ("_doc", "doc"), ("_line", "line"))), F.lit(1).cast("long").alias("n_links"), F.col(f"{y}_doc").alias("e_doc"), F.col(f"{y}_line").alias("e_line"), "common", "together") for x, y in ("ab", "ba")]
+    return sides[0].unionByName(sides[1])
+
+
 def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 1, sizes: Sizes = Sizes()) -> DataFrame:
     """Every line that goes, with the earliest line that it is similar to, its class, and the number of classes that are linked to it.
 
@@ -470,7 +500,7 @@ def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = stored(meetings(lines, rare, p.block_bits, sizes), folder, "met")
     needed = stored(needed_lines(lines, met, sizes), folder, "needed", _ROW_GROUP)
     drop_folder(docs.sparkSession, f"{folder}/lines")  # as large as the texts
-    links = stored(counted_links(needed, met, rare, p.block_bits, sizes), folder, "links")
+    links = stored(counted_links(needed, met, rare, p.block_bits, sizes), folder, "links").unionByName(long_links(needed, met, folder, sizes))
 
     place, partner = F.struct("doc", "line"), F.struct(F.col("e_doc").alias("doc"), F.col("e_line").alias("line"))
     linked = links.groupBy("cls", "doc", "line").agg(F.sum("n_links").alias("n_links"), F.min(F.struct(partner.alias("e"), (F.col("common") / F.col("together")).alias("similarity"))).alias("m"))

@@ -211,12 +211,29 @@ def test_lines_name_the_earliest_and_count_all_links(spark):
     for a, own in places.items():
         at, b = min((places[b][0], b) for b in (a, *like[a]))
         want |= {p: (at, len(a & b) / len(a | b), own[0], len(like[a])) for p in own if at < p}
-    for own in ({}, {"small": 2}, {"tile": 4}, {"held": 50, "pairs": 10, "few": 7}, {"tile": 3, "small": 3, "held": 200}):
+    for own in ({}, {"small": 2}, {"tile": 4}, {"held": 50, "pairs": 10, "few": 7}, {"tile": 3, "small": 3, "held": 200}, {"short": 0}, {"short": 24}, {"short": 120, "tile": 4}):
         got = line_dedup.later_lines(frame(spark, texts).repartition(5), sizes=line_dedup.Sizes(**own)).collect()
         assert {(r.doc_id, r.line): ((r.earlier_doc_id, r.earlier_line), pytest.approx(r.similarity), (r.class_doc_id, r.class_line), r.n_links) for r in got} == want
         assert len(got) == len(want) and max(r.n_links for r in got) >= 39
 
 
+def test_very_long_lines(spark):
+    r = random.Random(40)
+    base = words(9000, 41, 10**6)
+    texts = [" ".join(base), " ".join(["other", *base[5:]]), " ".join(base[:8000]), " ".join(base[:6000]), " ".join(r.sample(base, 9000)), " ".join(words(9000, 42, 10**6))]
+    got = {(x.doc_id, x.line): (x.earlier_doc_id, x.n_links) for x in line_dedup.later_lines(frame(spark, texts)).collect()}
+    sets = [set(split(t)) for t in texts]
+    like = lambda a, b: sets[a] != sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    first = {frozenset(x): i for i, x in reversed([*enumerate(sets)])}
+    want = {}
+    for i in range(len(texts)):
+        near = [j for j in first.values() if like(i, j)]
+        at = min([*near, first[frozenset(sets[i])]])
+        if at < i:
+            want[i, 0] = (at, len(near))
+    assert got == want and len(want) == 3
+
+
 def test_lines_of_repeated_ids(spark):
     texts = ["a b c\nd e f", "a b c"]
     docs = frame(spark, texts).unionByName(frame(spark, texts))
