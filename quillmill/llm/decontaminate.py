@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import drop_folder, shared_folder, stored
+from .frames import bounded_batches, drop_folder, shared_folder, stored
 from .tokens import Texts, chunks, column, lower, mix, runs, whole, windows, word_hashes, words
 
 WIDTH = 5
@@ -215,6 +215,7 @@ def _blocks(items: DataFrame, id_col: str, text_col: str) -> tuple[int, Callable
 
 def _mapped(docs: DataFrame, carry: dict[str, str], text_col: str, one: Benchmark) -> DataFrame:
     """``carry`` (output name: column) of each row and ``__found``, the items in its text."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(one)
     rows = docs.select(*(docs[f"`{c}`"].alias(k) for k, c in carry.items()), docs[f"`{text_col}`"].cast("string").alias("__text"))
     kind = pa.list_(pa.struct([("item", pa.string()), ("similarity", pa.float64()), ("first_word", pa.int64()), ("n_words", pa.int64())]))

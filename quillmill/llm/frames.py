@@ -16,6 +16,7 @@ def map_texts(df: DataFrame, keys: dict[str, str], text_col: str, fn: Callable[[
     and returns one array or list per field of ``out``; ``fields`` is the same
     as DDL. Rows stay rows: repeats and null keys are kept, no rows give none.
     """
+    bounded_batches(df.sparkSession)
     n = len(keys)
     picked = df.select(*(df[f"`{c}`"].alias(k) for k, c in keys.items()), df[f"`{text_col}`"].cast("string").alias("__text"))
 
@@ -35,6 +36,7 @@ def shared_folder(spark: SparkSession) -> str:
     Where the setting is empty (a local session in a test) it is set to a
     temporary folder once.
     """
+    bounded_batches(spark)
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -50,8 +52,18 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/quillmill-{uuid.uuid4().hex}"
 
 
-#: While a table is stored: a query's shuffle files go when it ends, not when the driver next collects its garbage, and Python gets few texts at a time.
-_WHILE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+#: While a table is stored: a query's shuffle files go when it ends, not when the driver next collects its garbage.
+_WHILE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+#: Bytes of rows that Python gets at a time, where the session has Spark's own default of 64 MB: that much is held several times over.
+BATCH_BYTES = 4 << 20
+_BATCH, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches are bounded by bytes, unless it set a bound of its own."""
+    if spark.conf.get(_BATCH, _DEFAULT) == _DEFAULT:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
 def stored(df: DataFrame, folder: str, name: str, row_group: int | None = None) -> DataFrame:
