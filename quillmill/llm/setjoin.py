@@ -137,22 +137,23 @@ def plan(docs: DataFrame, extract: Extract | None, folder: str) -> Plan:
 
 
 def _by_block(rows: DataFrame) -> DataFrame:
-    return rows.repartition("block").sortWithinPartitions("block")
+    """Rows of a block come to one task, in any order."""
+    return rows.repartition("block")
 
 
 def _groups(batches, fields: int) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """(block, parts of each field) of the sorted rows."""
-    block, parts = None, [[] for _ in range(fields)]
+    """(block, parts of each field): a task's blocks are gathered as the bytes that they came as, and given out one by one.
+
+    They were not sorted before: that would keep large pages in the JVM for a few rows.
+    """
+    blocks: dict[int, list[list[bytes]]] = {}
     for batch in batches:
         for x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if x[0] != block:
-                if block is not None:
-                    yield block, parts
-                block, parts = x[0], [[] for _ in range(fields)]
+            parts = blocks.setdefault(x[0], [[] for _ in range(fields)])
             for p, v in zip(parts, x[1:], strict=True):
                 p.append(v)
-    if block is not None:
-        yield block, parts
+    while blocks:
+        yield blocks.popitem()
 
 
 class Rarity(NamedTuple):
