@@ -37,6 +37,10 @@ BUCKET_ROWS = 50_000
 MOST_RUNS = 200_000
 
 
+#: Phases up to which a row's is found by comparisons alone, so that whole rows needn't wait for Python.
+FEW_PHASES = 64
+
+
 class Run(NamedTuple):
     """Slots in a row for one round of sources of one weight: ``first`` slot, and the ranks that they are for."""
 
@@ -161,7 +165,8 @@ def mixed(
     table = [(i, p.since, p.start, p.length, *r) for i, p in enumerate(plan) for r in p.runs]
     runs = spark.createDataFrame(table, "phase int, since long, start long, length long, weight long, round long, rank0 long, many long, first long")
     runs = F.broadcast(runs) if len(table) <= MOST_RUNS else runs
-    out = placed.withColumn("phase", phase_of("turn")).join(runs, ["phase", "weight", "round"])
+    few = sum(((F.col("turn") >= p.until).cast("int") for p in plan), F.lit(0))
+    out = placed.withColumn("phase", few if len(plan) <= FEW_PHASES else phase_of("turn")).join(runs, ["phase", "weight", "round"])
     out = out.filter((F.col("rank") >= F.col("rank0")) & (F.col("rank") < F.col("rank0") + F.col("many")))
     slot = F.col("start") + (F.col("turn") - F.col("since")) * F.col("length") + F.col("first") + F.col("rank") - F.col("rank0")
     return out.select(*names, slot.cast("long").alias(slot_col), (F.col("number") % block_docs).cast("int").alias(place_col))

@@ -911,6 +911,7 @@ def test_schedule_deviates_by_less_than_a_block(left):
 @pytest.mark.parametrize("few", [10**6, 0])
 def test_mix_against_a_simulation(spark, monkeypatch, few):
     monkeypatch.setattr(mixing, "MOST_RUNS", few)
+    monkeypatch.setattr(mixing, "FEW_PHASES", few)
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 7)
     sizes = {"a": 50, "b": 17, "c": 4, None: 9, "s": 1, "t": 9, "u": 30}
     sources = [s for s, n in sizes.items() for _ in range(n)]
