@@ -9,11 +9,14 @@ an earlier line (by document, then line number) is similar to it.
 1. ``lines``: the texts are read once. Sets are kept packed, and words counted.
 2. ``met``: of equal sets each task gives out the first place only.  Prefix
    entries meet in blocks by word; what comes out are the entries that another
-   one may be similar to by size, position and a parity sketch, and the copies.
+   one may be similar to by size, position and a parity sketch, this being the
+   first word that they have in common, and the copies.
 3. ``links``: these entries come together once more, now with whole sets.  A
    pair is counted in the first word that both sets' order has in common, so
    nowhere twice, and only sums by class leave the task: no pair is ever stored.
    A word of very many classes is dealt into tiles, pairs of parts of them.
+   Both steps go in parts by word, one after the other, so that only a part
+   of what is shuffled is on disk at a time.
 4. Lines of over ``SHORT`` words have too many entries for that: theirs meet
    without sets, and the pairs that size and a 512-bit sketch leave are verified
    on sets that are fetched once.
@@ -21,11 +24,14 @@ an earlier line (by document, then line number) is similar to it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,9 +53,12 @@ class Sizes(NamedTuple):
     held: int = 400_000  # elements
     pairs: int = 100_000
     few: int = 50_000  # entries with their sets that are given out
-    small: int = setjoin.SMALL  # classes of a word: up to here each pair is tested in the first round
+    small: int = 8192  # classes of a word: up to here each pair is tested in the first round
     tile: int = 8192  # classes of a word that meet in one task; more are dealt into tiles
     short: int = 256  # words of a line whose set goes along with each of its entries, a fifth of so many
+    parts: int = 2  # of the first round
+    share: float = 0.25  # of the texts' bytes: what goes along with entries is dealt in parts of so many bytes, about
+    least: int = 32 << 20  # bytes, but no less than these
 
 
 #: Words at most that are dealt into tiles; where there would be more, tiles are larger.
@@ -166,6 +175,51 @@ def _fresh(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Pairs that are tested at a time.
+_TESTED = 1 << 18
+
+
+def _windows(column: np.ndarray, n: np.ndarray, pos: np.ndarray, some: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of entries of a column whose first common word it may be, by size and position, i of ``some``.
+
+    Entries stand by column (numbers below 2**31) and size. What lies behind the
+    column in both sets, and it, bound the overlap, as nothing before is in both.
+    """
+    column, n = column.astype(np.int64) << 32, n.astype(np.int64)
+    left = n - pos  # positions that were cut off only leave more
+    # the largest set that an entry's own position allows; never over DEN / NUM of its size
+    most = (NUM + DEN) * left // NUM - n
+    begin = np.arange(1, len(n) + 1)
+    end = np.searchsorted(column | n, column | np.clip(most, 0, (1 << 32) - 1), "right")
+    some = some[end[some] > begin[some]]
+    count = end[some] - begin[some]
+    total = np.cumsum(count)
+    at = 0
+    while at < len(some):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _TESTED, "right")))
+        of, j = _ranges(begin[some[at:to]], count[at:to])
+        i = some[at:to][of]
+        ok = (NUM + DEN) * left[j] >= NUM * (n[i] + n[j])
+        yield i[ok], j[ok]
+        at = to
+
+
+def _paired(sizes: np.ndarray, n: np.ndarray, pos: np.ndarray, apart, small: int) -> np.ndarray:
+    """Which entries may be similar to another whose first common word is their column, as far as size, position and sketch tell.
+
+    ``sizes`` are those of the columns, whose entries stand together by size.
+    Similar sets pass in their first common column, where they are counted.
+    Columns of over ``small`` entries are kept whole.
+    """
+    has = np.repeat(sizes, sizes) > small
+    n = n.astype(np.int64)
+    for i, j in _windows(np.repeat(np.arange(len(sizes)), sizes), n, pos.astype(np.int64), np.flatnonzero(~has)):
+        ok = (NUM + DEN) * apart(i, j) <= (DEN - NUM) * (n[i] + n[j])
+        has[i[ok]] = True
+        has[j[ok]] = True
+    return has
+
+
 _ENTRY = (("rem", np.uint32), ("cls", np.uint64), ("doc", np.int64), ("line", np.int32), ("n", np.uint32), ("pos", np.uint16), ("sketch", np.uint64), ("sketch2", np.uint64))
 
 #: Sets of more words have 128 parities in the first round, others 64.
@@ -178,8 +232,8 @@ _COPIED = np.uint32(1 << 31)
 ENTRY, HEAD, COPY, TILED = range(4)
 
 
-def meetings(lines: DataFrame, rare: Rarity, bits: int, sizes: Sizes) -> DataFrame:
-    """Rows (kind, elem, cls, doc, line, n) from packed lines; see the kinds."""
+def meetings(lines: DataFrame, rare: Rarity, bits: int, sizes: Sizes, part: int = 0, parts: int = 1) -> DataFrame:
+    """Rows (kind, elem, cls, doc, line, n) from packed lines; see the kinds. Of every ``parts`` words it takes one."""
     shift = 64 - bits - 32
     shared = lines.sparkSession.sparkContext.broadcast(rare)  # 16 MB
     names = ["block", *(x for x, _ in _ENTRY)]
@@ -198,9 +252,10 @@ def meetings(lines: DataFrame, rare: Rarity, bits: int, sizes: Sizes) -> DataFra
             first = _fresh(cls[order])
             size = np.diff(np.append(np.flatnonzero(first), len(order)))
             own, copies = order[first], order[~first]
+            # copies go on as they are, to any block
+            salt = -1 - (mix(cls[copies] + mix(s.doc[copies].astype(np.uint64))) >> np.uint64(64 - bits)).astype(np.int64)
+            copies, salt = copies[salt % parts == part], salt[salt % parts == part]
             if len(copies):
-                # copies go on as they are, to any block
-                salt = -1 - (mix(cls[copies] + mix(s.doc[copies].astype(np.uint64))) >> np.uint64(64 - bits)).astype(np.int64)
                 by = np.argsort(salt, kind="stable")
                 yield blocks(salt[by], [None, *(np.ascontiguousarray(x[copies][by]) for x in (cls, s.doc, s.line)), None, None, None, None])
             cls, mark = cls[own], np.where(size > 1, _COPIED, np.uint32(0))
@@ -210,9 +265,9 @@ def meetings(lines: DataFrame, rare: Rarity, bits: int, sizes: Sizes) -> DataFra
             more = np.where(np.diff(s.bounds) > LONG, sketch[:, 1], np.uint64(0))
             of, pos, at = setjoin.prefixes(s, shared.value)
             # nobody is met in a word that was met once
-            often = shared.value.of(s.elements[at]) > 0
-            of, pos, at = of[often], pos[often], at[often]
             k = s.elements[at] >> np.uint64(shift)
+            often = (shared.value.of(s.elements[at]) > 0) & (k % np.uint64(parts) == np.uint64(part))
+            of, pos, k = of[often], pos[often], k[often]
             order = setjoin.sorted_order(k, bits + 32)
             k, of, pos = k[order], of[order], pos[order]
             n = np.diff(s.bounds).astype(np.uint32) | mark
@@ -255,6 +310,7 @@ def meetings(lines: DataFrame, rare: Rarity, bits: int, sizes: Sizes) -> DataFra
             order = order[np.repeat(size > 1, size)]
             if not len(order):
                 continue
+            order = order[np.lexsort((n[order], rem[order]))]
             own, fold, more = n[order], sketch[order], sketch2[order]
 
             def apart(i, j, own=own, fold=fold, more=more):
@@ -263,8 +319,7 @@ def meetings(lines: DataFrame, rare: Rarity, bits: int, sizes: Sizes) -> DataFra
                 both = (own[i] > LONG) & (own[j] > LONG)
                 return np.where(both, np.bitwise_count(x ^ y).astype(np.int64) + np.bitwise_count(y), out)
 
-            has, _ = setjoin.partners(size[size > 1], own, pos[order], apart, sizes.small)
-            order = order[has]
+            order = order[_paired(size[size > 1], own, pos[order], apart, sizes.small)]
             elem = (np.uint64(block) << np.uint64(32) | rem[order].astype(np.uint64)).view(np.int64)
             for i in range(0, len(order), 65536):
                 o = order[i : i + 65536]
@@ -340,26 +395,19 @@ def _common(elements: np.ndarray, a: tuple[np.ndarray, np.ndarray], b: tuple[np.
     return out
 
 
-def _candidates(size: np.ndarray, n: np.ndarray, pos: np.ndarray, side: np.ndarray, sketch: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _candidates(column: np.ndarray, n: np.ndarray, pos: np.ndarray, side: np.ndarray, sketch: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of entries of the same column that size, position and sketch allow, ``most`` or so at a time."""
-    last = np.repeat(np.cumsum(size), size) - 1
-    rest, d, out, held = np.arange(len(n)), 1, [], 0
-    while len(rest := rest[rest + d <= last[rest]]):
-        for at in range(0, len(rest), 1 << 18):
-            i = rest[at : at + (1 << 18)]
-            j = i + d
-            a, b, p, q = n[i], n[j], pos[i], pos[j]
-            total = a + b
-            ok = (DEN * a >= NUM * b) & (DEN * b >= NUM * a) & ((NUM + DEN) * (np.minimum(p, q) + 1 + np.minimum(a - 1 - p, b - 1 - q)) >= NUM * total) & ((side[i] == 0) | (side[i] != side[j]))
-            i, j, total = i[ok], j[ok], total[ok]
-            apart = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
-            ok = (NUM + DEN) * apart <= (DEN - NUM) * total
-            out.append((i[ok], j[ok]))
-            held += len(out[-1][0])
-            if held >= most:
-                yield tuple(np.concatenate(x) for x in zip(*out, strict=True))
-                out, held = [], 0
-        d += 1
+    out, held = [], 0
+    for i, j in _windows(column, n, pos, np.arange(len(n))):
+        ok = (side[i] == 0) | (side[i] != side[j])
+        i, j = i[ok], j[ok]
+        apart = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
+        ok = (NUM + DEN) * apart <= (DEN - NUM) * (n[i] + n[j])
+        out.append((i[ok], j[ok]))
+        held += len(out[-1][0])
+        if held >= most:
+            yield tuple(np.concatenate(x) for x in zip(*out, strict=True))
+            out, held = [], 0
     if held:
         yield tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
@@ -379,15 +427,28 @@ def needed_lines(lines: DataFrame, met: DataFrame, sizes: Sizes) -> DataFrame:
     return lines.select("doc", "line", "size", "sets").filter("doc IS NOT NULL").mapInArrow(run, "doc binary, line binary, size binary, sets binary")
 
 
-def counted_links(lines: DataFrame, met: DataFrame, rare: Rarity, bits: int, sizes: Sizes) -> DataFrame:
+def needed_entries(met: DataFrame, rare: Rarity, sizes: Sizes) -> Broadcast:
+    """The order of words, a filter of the entries and the tiles, for all tasks: 16 MB, 32 MB at most, and 16 bytes for each of MOST_TILED."""
+    entries = met.filter(F.col("kind") == ENTRY).select("elem", "cls")
+    return met.sparkSession.sparkContext.broadcast((rare, setjoin.bloom(entries, entries.count(), _entry_keys), Tiles.of(met, sizes.tile)))
+
+
+def link_parts(met: DataFrame, texts: int, sizes: Sizes) -> int:
+    """How many parts :func:`counted_links` goes in: what entries, those of tiles too, take there with their sets, by a share of the texts' bytes."""
+    entries = met.filter((F.col("kind") == ENTRY) & (F.col("n") <= sizes.short)).agg(F.count("*"), F.sum(6 * F.col("n") + 45)).collect()[0]
+    tiled = met.filter((F.col("kind") == TILED) & (F.col("n") > sizes.tile)).agg(F.sum(F.col("n") * (F.ceil(F.col("n") / sizes.tile) - 1))).collect()[0][0] or 0
+    whole = (entries[1] or 0) * (1 + tiled / max(1, entries[0]))
+    return max(1, math.ceil(whole / max(1, sizes.least, sizes.share * texts)))
+
+
+def counted_links(lines: DataFrame, met: DataFrame, shared: Broadcast, bits: int, sizes: Sizes, part: int = 0, parts: int = 1) -> DataFrame:
     """(cls, doc, line, n_links, e_doc, e_line, common, together): parts of each linked class's number of links, and its earliest partner in that part.
 
-    ``lines`` are those of :func:`needed_lines`. Pairs of lines of ``sizes.short``
-    words at most.
+    ``lines`` are those of :func:`needed_lines`, ``shared`` has what :func:`needed_entries`
+    gives. Pairs of lines of ``sizes.short`` words at most; of every ``parts``
+    places that words are dealt to, one.
     """
-    spark, shift = lines.sparkSession, 64 - bits - 32
-    entries = met.filter(F.col("kind") == ENTRY).select("elem", "cls")
-    shared = spark.sparkContext.broadcast((rare, setjoin.bloom(entries, entries.count(), _entry_keys), Tiles.of(met, sizes.tile)))  # 16 MB, 32 MB at most, and 16 bytes for each of MOST_TILED
+    shift = 64 - bits - 32
     names = ["block", *(x for x, _ in _WHOLE), "sets"]
 
     def deal(batches):
@@ -401,9 +462,11 @@ def counted_links(lines: DataFrame, met: DataFrame, rare: Rarity, bits: int, siz
             hit = needed.has(_entry_keys(k, cls[of]))
             of, pos, k = of[hit], pos[hit], k[hit]
             entry, key, side = tiles.dealt(k, cls[of])
+            own = key % np.uint64(parts) == np.uint64(part)
+            entry, key, side = entry[own], key[own], side[own]
             for i in range(0, len(entry), sizes.few):
-                part = slice(i, i + sizes.few)
-                e, x, y = entry[part], key[part], side[part]
+                few = slice(i, i + sizes.few)
+                e, x, y = entry[few], key[few], side[few]
                 block = (x >> np.uint64(64 - bits)).astype(np.int64)
                 by = np.argsort(block, kind="stable")
                 e, x, y, block = e[by], x[by], y[by], block[by]
@@ -425,10 +488,9 @@ def counted_links(lines: DataFrame, met: DataFrame, rare: Rarity, bits: int, siz
             order = np.lexsort((line, doc, cls, side, key))
             # a filter may have let a copy through
             order = order[_fresh(key[order], cls[order])]
-            begin = np.flatnonzero(_fresh(key[order]))
-            size = np.diff(np.append(begin, len(order)))
-            order, size = order[np.repeat(size > 1, size)], size[size > 1]
-            for i, j in _candidates(size, n[order], pos[order], side[order], sketch[order], sizes.pairs):
+            order = order[np.lexsort((n[order], key[order]))]
+            column = np.cumsum(_fresh(key[order]))
+            for i, j in _candidates(column, n[order], pos[order], side[order], sketch[order], sizes.pairs):
                 i, j = order[i], order[j]
                 before = np.flatnonzero((pos[i] > 0) & (pos[j] > 0))
                 seen = _common(elements, (bounds[i[before]], pos[i[before]]), (bounds[j[before]], pos[j[before]]), 2 * sizes.held) > 0
@@ -497,10 +559,13 @@ def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     p = setjoin.plan(ids, None, folder)
     lines = stored(packed_lines(p.docs, least), folder, "lines", _ROW_GROUP)
     rare = setjoin.rarity(lines.filter("block IS NOT NULL").select("block", "place", "n"))
-    met = stored(meetings(lines, rare, p.block_bits, sizes), folder, "met")
+    made = [stored(meetings(lines, rare, p.block_bits, sizes, i, sizes.parts), folder, f"met{i}") for i in range(sizes.parts)]
+    met = reduce(DataFrame.unionByName, made)
     needed = stored(needed_lines(lines, met, sizes), folder, "needed", _ROW_GROUP)
     drop_folder(docs.sparkSession, f"{folder}/lines")  # as large as the texts
-    links = stored(counted_links(needed, met, rare, p.block_bits, sizes), folder, "links").unionByName(long_links(needed, met, folder, sizes))
+    parts, entries = link_parts(met, p.bytes, sizes), needed_entries(met, rare, sizes)
+    made = [stored(counted_links(needed, met, entries, p.block_bits, sizes, i, parts), folder, f"links{i}") for i in range(parts)]
+    links = reduce(DataFrame.unionByName, [*made, long_links(needed, met, folder, sizes)])
 
     place, partner = F.struct("doc", "line"), F.struct(F.col("e_doc").alias("doc"), F.col("e_line").alias("line"))
     linked = links.groupBy("cls", "doc", "line").agg(F.sum("n_links").alias("n_links"), F.min(F.struct(partner.alias("e"), (F.col("common") / F.col("together")).alias("similarity"))).alias("m"))

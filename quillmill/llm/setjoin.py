@@ -123,6 +123,7 @@ class Plan(NamedTuple):
     extract: Extract | None
     folder: str
     block_bits: int
+    bytes: int  # of the texts
 
     @property
     def n_blocks(self) -> int:
@@ -133,7 +134,7 @@ def plan(docs: DataFrame, extract: Extract | None, folder: str) -> Plan:
     """``docs`` has the columns id and text; rows without either are left out."""
     docs = docs.filter("id IS NOT NULL AND text IS NOT NULL")
     total = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
-    return Plan(docs, extract, folder, max(8, int(np.ceil(np.log2(max(1, total / BLOCK_BYTES))))))
+    return Plan(docs, extract, folder, max(8, int(np.ceil(np.log2(max(1, total / BLOCK_BYTES))))), total)
 
 
 def _by_block(rows: DataFrame) -> DataFrame:

@@ -217,6 +217,21 @@ def test_lines_name_the_earliest_and_count_all_links(spark):
         assert len(got) == len(want) and max(r.n_links for r in got) >= 39
 
 
+def test_lines_that_only_share_words_do_not_meet_again(spark, tmp_path):
+    r, pool = random.Random(77), words(30, 78, 10**6)
+    texts = ["\n".join(" ".join(r.sample(pool, 15)) for _ in range(100)) for _ in range(40)]  # each word in some 2000 lines
+    p = setjoin.plan(frame(spark, texts).selectExpr("doc_id AS id", "text"), None, str(tmp_path))
+    lines = line_dedup.packed_lines(p.docs, 1).persist()
+    rare = setjoin.rarity(lines.filter("block IS NOT NULL").select("block", "place", "n"))
+    met = line_dedup.meetings(lines, rare, p.block_bits, line_dedup.Sizes()).filter(f"kind = {line_dedup.ENTRY}").count()
+    lines.unpersist()
+    assert 0 < met < 4000  # of 16,000 entries, each of which takes a whole set along
+    gone = brute_lines(texts)
+    for own in ({"parts": 3}, {"parts": 1, "tile": 100, "share": 0.3, "least": 1}):
+        assert {(x.doc_id, x.line) for x in line_dedup.later_lines(frame(spark, texts), sizes=line_dedup.Sizes(**own)).collect()} == gone
+    assert gone
+
+
 def test_very_long_lines(spark):
     r = random.Random(40)
     base = words(9000, 41, 10**6)
