@@ -232,6 +232,22 @@ def test_lines_that_only_share_words_do_not_meet_again(spark, tmp_path):
     assert gone
 
 
+def test_the_pipeline_stage_takes_few_sets_along(spark, tmp_path, monkeypatch):
+    r, pool, met = random.Random(79), words(30, 80, 10**6), []
+    texts = ["\n".join(" ".join(r.sample(pool, 15)) for _ in range(100)) for _ in range(40)]
+    stored = line_dedup.stored
+
+    def noted(df, folder, name, *more):
+        out = stored(df, folder, name, *more)
+        if name.startswith("met"):
+            met.append(out.filter(f"kind = {line_dedup.ENTRY}").count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "stored", noted)
+    got = corpus_pipeline.lines(spark, frame(spark, texts), str(tmp_path)).collect()
+    assert 0 < sum(met) < 4000 and sum(len(x.text.split("\n")) for x in got if x.text) == 4000 - len(brute_lines(texts))
+
+
 def test_very_long_lines(spark):
     r = random.Random(40)
     base = words(9000, 41, 10**6)
