@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import setjoin
-from .frames import finished, shared_folder, stored
+from .frames import drop_folder, finished, shared_folder, stored
 from .tokens import chunks, column, shingle_sets
 
 
@@ -84,19 +84,27 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     p = setjoin.plan(ids, extract, folder)
     cols = setjoin.columns(p, setjoin.rarity(setjoin.counted(p)), small, flush)
     table = setjoin.members(p, cols)
+    # tables of columns and sets may be as large as the texts: each goes when the last that reads it is stored
+    drop = lambda *names: [drop_folder(spark, f"{folder}/{x}") for x in names]
 
-    linked = stored(setjoin.verified(setjoin.first_pairs(cols), table, folder, "linked"), folder, "linked")
+    linked = stored(setjoin.verified(setjoin.first_pairs(cols), table, folder, "linked", p), folder, "linked")
+    drop("linked_sets")
     tree = roots(linked.select(F.col("a").alias("cls"), F.col("b").alias("parent")), f"{folder}/tree")
     known = open_columns(cols.select("elem", "cls", "n", "pos", "sketch", "sketch2", "doc", "line"), tree, folder, "open1")
+    drop("columns", "open1_roots")
     # the classes of large groups that aren't like the earliest: most find another here, and what a root holds needs no more pairs
     wide = table.filter("wide IS NOT NULL").select("cls", "wide").dropDuplicates(["cls"])
     known = stored(known.join(wide, "cls"), folder, "open2")
-    ring = stored(setjoin.verified(setjoin.ring_pairs(known), table, folder, "ring"), folder, "ring")
+    drop("open1")
+    ring = stored(setjoin.verified(setjoin.ring_pairs(known), table, folder, "ring", p), folder, "ring")
+    drop("ring_sets")
     tree = merged(linked.select("a", "b").unionByName(ring.select("a", "b")).toDF("x", "y"), f"{folder}/forest")
     known = open_columns(known.drop("root"), tree, folder, "open3")
+    drop("open2", "open3_roots")
     order = F.struct("x.doc", "x.cls") < F.struct("y.doc", "y.cls")
     more = setjoin.full_pairs(known, known, (F.col("x.root") != F.col("y.root")) & order & setjoin.within_wide("x", "y"))
-    late = stored(setjoin.verified(more, table, folder, "late"), folder, "late")
+    late = stored(setjoin.verified(more, table, folder, "late", p), folder, "late")
+    drop("late_sets", "open3")
 
     # classes by their smallest document, so that the least node of a component is its id
     links = linked.unionByName(ring).unionByName(late).select("a_doc", "b_doc").toDF("x", "y")

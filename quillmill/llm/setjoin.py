@@ -16,8 +16,10 @@ only these entries are multiplied:
 4. What these pairs leave open (the caller says which) is multiplied in full:
    overlap counts of all pairs in the open columns, dropped when count and
    sizes show that the similarity is out of reach.
-5. Sets of the classes that are left are fetched through a Bloom filter of
-   bounded size, and every candidate is verified on whole sets.
+5. A candidate's two sketches, of about a bit for each element, rule out most
+   that only share columns by chance. Sets of the classes that are left are
+   fetched through a Bloom filter of bounded size, and every candidate that is
+   left is verified on whole sets.
 
 Blocks grow in number with the input, not in size; nothing that grows with it
 is collected or broadcast.
@@ -433,9 +435,9 @@ WIDE = 8
 
 
 def members(p: Plan, cols: DataFrame) -> DataFrame:
-    """(doc, line, cls, n, set, wide) of every row that has a set; ``set`` and its sketch are there at the first place of a class that may meet another.
+    """(doc, line, cls, n, wide, broad) of every row that has a set; its sketches are there at the first place of a class that may meet another.
 
-    A few other rows have one too, as Bloom filters let some through.
+    A few other rows have them too, as Bloom filters let some through.
     """
     extract, expected = p.extract, cols.agg(F.approx_count_distinct("cls")).collect()[0][0]
     shared = p.docs.sparkSession.sparkContext.broadcast(bloom(cols.select("cls", "doc", "line"), expected))
@@ -447,26 +449,78 @@ def members(p: Plan, cols: DataFrame) -> DataFrame:
                 hit = shared.value.has(place_keys(ids, s.doc, s.line))
                 some = np.flatnonzero(sizes > 0)
                 own = [s.elements[s.bounds[i] : s.bounds[i + 1]] if hit[i] else None for i in some.tolist()]
-                sets, wide = [None if x is None else planes(x) for x in own], [None if x is None else wide_sketch(x) for x in own]
-                yield pa.RecordBatch.from_arrays([pa.array(s.doc[some]), pa.array(s.line[some], pa.int32()), pa.array(ids[some].astype(np.int64)), pa.array(sizes[some]), pa.array(sets, pa.binary()), pa.array(wide, pa.list_(pa.int64()))], names=["doc", "line", "cls", "n", "set", "wide"])
+                wide, broad = ([None if x is None else f(x) for x in own] for f in (wide_sketch, broad_sketch))
+                yield pa.RecordBatch.from_arrays([pa.array(s.doc[some]), pa.array(s.line[some], pa.int32()), pa.array(ids[some].astype(np.int64)), pa.array(sizes[some]), pa.array(wide, pa.list_(pa.int64())), pa.array(broad, pa.binary())], names=["doc", "line", "cls", "n", "wide", "broad"])
 
-    return stored(p.docs.mapInArrow(run, "doc long, line int, cls long, n long, set binary, wide array<long>"), p.folder, "members")
+    return stored(p.docs.mapInArrow(run, "doc long, line int, cls long, n long, wide array<long>, broad binary"), p.folder, "members")
+
+
+def fetched(p: Plan, keys: DataFrame) -> DataFrame:
+    """(cls, doc, line, set) of the rows of these (cls, doc, line), by one more reading of the texts; a filter of bounded size may let others through."""
+    extract, expected = p.extract, keys.count()
+    shared = p.docs.sparkSession.sparkContext.broadcast(bloom(keys.select("cls", "doc", "line"), expected))
+
+    def run(batches):
+        for batch in batches:
+            for s in extract(batch):
+                ids = class_ids(s)
+                some = np.flatnonzero(shared.value.has(place_keys(ids, s.doc, s.line)) & (np.diff(s.bounds) > 0))
+                if len(some):
+                    sets = [planes(s.elements[s.bounds[i] : s.bounds[i + 1]]) for i in some.tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[some].astype(np.int64)), pa.array(s.doc[some]), pa.array(s.line[some], pa.int32()), pa.array(sets, pa.binary())], names=["cls", "doc", "line", "set"])
+
+    return (p.docs if expected else p.docs.limit(0)).mapInArrow(run, "cls long, doc long, line int, set binary")
 
 
 #: A pair: two classes, each with its first place, at which its set is found.
 PAIR = ("a", "a_doc", "a_line", "b", "b_doc", "b_line")
 
+_PAIR_FIELDS = "a long, a_doc long, a_line int, b long, b_doc long, b_line int"
+
+
+#: Bytes of fetched sets that a task reads at a time, about.
+SETS_GROUP = 4 << 20
 
 #: Keys of sets at most that are sent to all tasks (20 MB).
 MOST_KEYS = 1_000_000
 
 
-def verified(pairs: DataFrame, table: DataFrame, folder: str, name: str) -> DataFrame:
+def _keys(pairs: DataFrame, folder: str, name: str) -> DataFrame:
+    """The (cls, doc, line) of the pairs' ends."""
+    key = lambda x: pairs.select(F.col(x).alias("cls"), F.col(f"{x}_doc").alias("doc"), F.col(f"{x}_line").alias("line"))
+    return stored(key("a").unionByName(key("b")).distinct(), folder, name)
+
+
+def _beside(pairs: DataFrame, some: DataFrame, table: DataFrame, value: str) -> DataFrame:
+    """The pairs with both ends' ``value`` from ``table`` as sa and sb; ``some`` are their keys."""
+    # only what is in a pair goes on: keys of 20 bytes are sent to all tasks up to a bound, and joined by a shuffle beyond it
+    few = F.broadcast(some) if some.count() <= MOST_KEYS else some
+    # rows that repeat a place have the same set there
+    own = table.filter(F.col(value).isNotNull()).select("cls", "doc", "line", value).join(few, ["cls", "doc", "line"], "left_semi").dropDuplicates(["cls", "doc", "line"])
+    side = lambda x: own.select(F.col("cls").alias(x), F.col("doc").alias(f"{x}_doc"), F.col("line").alias(f"{x}_line"), F.col(value).alias(f"s{x}"))
+    return pairs.join(side("a"), ["a", "a_doc", "a_line"]).join(side("b"), ["b", "b_doc", "b_line"]).select(*PAIR, "sa", "sb")
+
+
+def likely(pairs: DataFrame, table: DataFrame, folder: str, name: str) -> DataFrame:
+    """The pairs that broad sketches allow; all that reach the similarity are among them."""
+
+    def run(batches):
+        for batch in batches:
+            keep = [i for i, (x, y) in enumerate(zip(batch.column("sa"), batch.column("sb"), strict=True)) if within_broad(x.as_buffer(), y.as_buffer())]
+            yield batch.select(PAIR).take(pa.array(keep, pa.int64()))
+
+    pairs = stored(pairs, folder, f"{name}_likely")
+    return _beside(pairs, _keys(pairs, folder, f"{name}_sketched"), table, "broad").mapInArrow(run, _PAIR_FIELDS)
+
+
+def verified(pairs: DataFrame, table: DataFrame, folder: str, name: str, of: Plan | None = None) -> DataFrame:
     """The pairs whose sets reach the similarity, with the sizes of intersection and union as ``common`` and ``together``.
 
-    ``table`` is that of :func:`members`; intermediate tables are stored below
-    ``folder``. A class in very many pairs is a hot key of the second join,
-    which adaptive execution splits.
+    ``table`` has the sets, or it is that of :func:`members` of the plan ``of``:
+    then its broad sketches rule pairs out first, and only the sets of those
+    that are left are fetched. Intermediate tables are stored below ``folder``.
+    A class in very many pairs is a hot key of the second join, which adaptive
+    execution splits.
     """
 
     def run(batches):
@@ -483,16 +537,11 @@ def verified(pairs: DataFrame, table: DataFrame, folder: str, name: str) -> Data
             kept = batch.select(PAIR).take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(common, pa.int64()), pa.array(together, pa.int64())], names=[*PAIR, "common", "together"])
 
-    pairs = stored(pairs, folder, f"{name}_pairs")
-    key = lambda x: pairs.select(F.col(x).alias("cls"), F.col(f"{x}_doc").alias("doc"), F.col(f"{x}_line").alias("line"))
-    some = stored(key("a").unionByName(key("b")).distinct(), folder, f"{name}_needed")
-    # only sets that are in a pair go on: keys of 20 bytes are sent to all tasks up to a bound, and joined by a shuffle beyond it
-    few = F.broadcast(some) if some.count() <= MOST_KEYS else some
-    # rows that repeat a place have the same set there
-    sets = table.filter("set IS NOT NULL").select("cls", "doc", "line", "set").join(few, ["cls", "doc", "line"], "left_semi").dropDuplicates(["cls", "doc", "line"])
-    side = lambda x: sets.select(F.col("cls").alias(x), F.col("doc").alias(f"{x}_doc"), F.col("line").alias(f"{x}_line"), F.col("set").alias(f"s{x}"))
-    both = pairs.join(side("a"), ["a", "a_doc", "a_line"]).join(side("b"), ["b", "b_doc", "b_line"])
-    return both.select(*PAIR, "sa", "sb").mapInArrow(run, "a long, a_doc long, a_line int, b long, b_doc long, b_line int, common long, together long")
+    pairs = stored(likely(pairs, table, folder, name) if of else pairs, folder, f"{name}_pairs")
+    some = _keys(pairs, folder, f"{name}_needed")
+    if of:
+        table = stored(fetched(of, some), folder, f"{name}_sets", SETS_GROUP)
+    return _beside(pairs, some, table, "set").mapInArrow(run, f"{_PAIR_FIELDS}, common long, together long")
 
 
 def first_pairs(cols: DataFrame) -> DataFrame:
@@ -510,6 +559,22 @@ def wide_sketch(elements: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def broad_sketch(elements: np.ndarray) -> bytes:
+    """The number of elements, and parities as in :func:`parities`: a power of two of them, as many as elements or more, so that large sets are told apart too."""
+    width = max(64 * WIDE, 1 << (len(elements) - 1).bit_length())
+    odd = np.bincount((mix(elements ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.int64(len(elements)).tobytes() + np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def within_broad(x, y) -> bool:
+    """Whether two broad sketches allow a link; the wider one is folded, as its parities' numbers only have more leading bits."""
+    n = int(np.frombuffer(x, np.int64, 1)[0]) + int(np.frombuffer(y, np.int64, 1)[0])
+    u, v = sorted((np.frombuffer(z, np.uint64, offset=8) for z in (x, y)), key=len)
+    while len(v) > len(u):
+        v = v[: len(v) // 2] ^ v[len(v) // 2 :]
+    return (NUM + DEN) * int(np.bitwise_count(u ^ v).sum()) <= (DEN - NUM) * n
+
+
 def within_wide(x: str, y: str) -> Column:
     """Whether the wide sketches of two aliases allow a link."""
     apart = F.lit(0)

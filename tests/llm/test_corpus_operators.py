@@ -121,6 +121,42 @@ def test_components_of_large_columns(spark):
     assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect())) == brute_components(texts)
 
 
+def test_sketches_never_rule_out_a_link():
+    r = np.random.default_rng(3)
+    for n in (1, 2, 9, 511, 512, 513, 3000, 70000):
+        for m in {n, -(-4 * n // 5), n // 2 + 1}:
+            a = r.integers(0, 2**63, n).astype(np.uint64)
+            for b in (a[:m], np.append(a[: m - 1], a[:1] + np.uint64(1)), r.integers(0, 2**63, m).astype(np.uint64)):
+                both = len(np.intersect1d(a, b))
+                passes = setjoin.within_broad(setjoin.broad_sketch(a), setjoin.broad_sketch(b))
+                assert passes == setjoin.within_broad(setjoin.broad_sketch(b), setjoin.broad_sketch(a))
+                assert passes or 5 * both < 4 * len(np.union1d(a, b))
+                assert not passes or both or n < 500
+
+
+def test_long_texts_that_share_a_column_are_not_fetched(spark, tmp_path, monkeypatch):
+    passage, needed = " ".join(words(80, 60, 10**6)), []
+    texts = [" ".join([*words(2500 + 4 * k, 600 + k, 10**6), passage]) for k in range(30)]
+    # so that columns of many texts are in prefixes, as in a large corpus
+    monkeypatch.setattr(setjoin, "rarity", lambda counted: setjoin.Rarity(np.zeros(1 << setjoin.SCALE_BITS, np.uint8)))
+    near = texts[4].split()
+    near[700] = "other"
+    texts.append(" ".join(near))
+    stored = setjoin.stored
+
+    def noted(df, folder, name, *more):
+        out = stored(df, folder, name, *more)
+        if name.endswith("_needed"):
+            needed.append(out.count())
+        return out
+
+    monkeypatch.setattr(setjoin, "stored", noted)
+    # the pipeline's stage n-gram join
+    got = corpus_pipeline.near_duplicates(spark, frame(spark, texts), str(tmp_path)).collect()
+    assert sorted(x.doc_id for x in got) == [i for i, _, root in brute_components(texts) if i == root] == list(range(30))
+    assert 2 <= sum(needed) < 10
+
+
 def test_components_of_odd_tables(spark):
     assert ngram_join.components(frame(spark, [])).count() == 0
     assert ngram_join.components(frame(spark, [None, ""])).orderBy("doc_id").collect()[0].n_shingles == 0
