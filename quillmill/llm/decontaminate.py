@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import bounded_batches, drop_folder, shared_folder, stored
+from .frames import bounded_batches, drop_folder, lean, shared_folder, stored
 from .tokens import Texts, chunks, column, lower, mix, runs, whole, windows, word_hashes, words
 
 WIDTH = 5
@@ -227,7 +227,7 @@ def _mapped(docs: DataFrame, carry: dict[str, str], text_col: str, one: Benchmar
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], array], names=[*carry, "__found"])
 
     ddl = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(carry)]]
-    return rows.mapInArrow(run, ", ".join([*ddl, "__found array<struct<item:string,similarity:double,first_word:bigint,n_words:bigint>>"]))
+    return rows.mapInArrow(lean(run), ", ".join([*ddl, "__found array<struct<item:string,similarity:double,first_word:bigint,n_words:bigint>>"]))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

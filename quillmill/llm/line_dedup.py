@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import setjoin
-from .frames import drop_folder, finished, shared_folder, stored
+from .frames import drop_folder, finished, in_parts, lean, shared_folder, stored
 from .setjoin import DEN, NUM, Rarity, Sets
 from .tokens import Texts, chunks, column, lower, mix, word_hashes, words
 
@@ -141,9 +141,9 @@ def packed_lines(docs: DataFrame, least: int) -> DataFrame:
                         sets=[_slim(elements)],
                     )
         blocks, places, n = met.rows()
-        yield rows(block=blocks, place=places, n=n)
+        yield from in_parts(rows(block=blocks, place=places, n=n))
 
-    return docs.mapInArrow(run, _LINES)
+    return docs.mapInArrow(lean(run), _LINES)
 
 
 def _read(batches, most: int) -> Iterator[Sets]:
@@ -257,7 +257,7 @@ def meetings(lines: DataFrame, rare: Rarity, bits: int, sizes: Sizes, part: int
             copies, salt = copies[salt % parts == part], salt[salt % parts == part]
             if len(copies):
                 by = np.argsort(salt, kind="stable")
-                yield blocks(salt[by], [None, *(np.ascontiguousarray(x[copies][by]) for x in (cls, s.doc, s.line)), None, None, None, None])
+                yield from in_parts(blocks(salt[by], [None, *(np.ascontiguousarray(x[copies][by]) for x in (cls, s.doc, s.line)), None, None, None, None]))
             cls, mark = cls[own], np.where(size > 1, _COPIED, np.uint32(0))
             s = _picked(s, own)
             sketch = setjoin.parities(s.elements, s.bounds)
@@ -271,7 +271,7 @@ def meetings(lines: DataFrame, rare: Rarity, bits: int, sizes: Sizes, part: int
             order = setjoin.sorted_order(k, bits + 32)
             k, of, pos = k[order], of[order], pos[order]
             n = np.diff(s.bounds).astype(np.uint32) | mark
-            yield blocks(k >> np.uint64(32), [k.astype(np.uint32), cls[of], s.doc[of], s.line[of], n[of], np.minimum(pos, 65535).astype(np.uint16), fold[of], more[of]])
+            yield from in_parts(blocks(k >> np.uint64(32), [k.astype(np.uint32), cls[of], s.doc[of], s.line[of], n[of], np.minimum(pos, 65535).astype(np.uint16), fold[of], more[of]]))
 
     def found(kind, elem, cls, doc, line, n):
         size = len(cls)
@@ -329,8 +329,8 @@ def meetings(lines: DataFrame, rare: Rarity, bits: int, sizes: Sizes, part: int
             if (size > sizes.tile).any():
                 yield found(TILED, elem[begin[size > sizes.tile]], np.zeros(int((size > sizes.tile).sum()), np.int64), 0, 0, size[size > sizes.tile])
 
-    dealt = lines.filter("doc IS NOT NULL").select("doc", "line", "size", "sets").mapInArrow(deal, "block int, rem binary, cls binary, doc binary, line binary, n binary, pos binary, sketch binary, sketch2 binary")
-    return setjoin._by_block(dealt).mapInArrow(meet, "kind byte, elem long, cls long, doc long, line int, n long")
+    dealt = lines.filter("doc IS NOT NULL").select("doc", "line", "size", "sets").mapInArrow(lean(deal), "block int, rem binary, cls binary, doc binary, line binary, n binary, pos binary, sketch binary, sketch2 binary")
+    return setjoin._by_block(dealt).mapInArrow(lean(meet), "kind byte, elem long, cls long, doc long, line int, n long")
 
 
 class Tiles(NamedTuple):
@@ -424,7 +424,7 @@ def needed_lines(lines: DataFrame, met: DataFrame, sizes: Sizes) -> DataFrame:
                 s = _picked(s, some)
                 yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (s.doc.tobytes(), s.line.tobytes(), np.diff(s.bounds).astype(np.uint32).tobytes(), _slim(s.elements))], names=["doc", "line", "size", "sets"])
 
-    return lines.select("doc", "line", "size", "sets").filter("doc IS NOT NULL").mapInArrow(run, "doc binary, line binary, size binary, sets binary")
+    return lines.select("doc", "line", "size", "sets").filter("doc IS NOT NULL").mapInArrow(lean(run), "doc binary, line binary, size binary, sets binary")
 
 
 def needed_entries(met: DataFrame, rare: Rarity, sizes: Sizes) -> Broadcast:
@@ -476,7 +476,7 @@ def counted_links(lines: DataFrame, met: DataFrame, shared: Broadcast, bits: int
                 ends = np.append(begin, len(block))
                 arrays = [pa.array([setjoin.planes(np.ascontiguousarray(c[a:b])) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()) for c in cols]
                 sets = [_slim(s.elements[_ranges(s.bounds[o[a:b]], size[o[a:b]])[1]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(block[begin].astype(np.int32)), *arrays, pa.array(sets, pa.binary())], names=names)
+                yield from in_parts(pa.RecordBatch.from_arrays([pa.array(block[begin].astype(np.int32)), *arrays, pa.array(sets, pa.binary())], names=names))
 
     def meet(batches):
         for _, (*parts, raw) in setjoin._groups(batches, len(_WHOLE) + 1):
@@ -513,8 +513,8 @@ def counted_links(lines: DataFrame, met: DataFrame, shared: Broadcast, bits: int
                     names=["cls", "doc", "line", "n_links", "e_doc", "e_line", "common", "together"],
                 )
 
-    dealt = lines.mapInArrow(deal, ", ".join(["block int", *(f"{x} binary" for x, _ in _WHOLE), "sets binary"]))
-    return setjoin._by_block(dealt).mapInArrow(meet, "cls long, doc long, line int, n_links long, e_doc long, e_line int, common long, together long")
+    dealt = lines.mapInArrow(lean(deal), ", ".join(["block int", *(f"{x} binary" for x, _ in _WHOLE), "sets binary"]))
+    return setjoin._by_block(dealt).mapInArrow(lean(meet), "cls long, doc long, line int, n_links long, e_doc long, e_line int, common long, together long")
 
 
 def long_links(lines: DataFrame, met: DataFrame, folder: str, sizes: Sizes) -> DataFrame:
@@ -531,7 +531,7 @@ def long_links(lines: DataFrame, met: DataFrame, folder: str, sizes: Sizes) -> D
                 sets, wide = [setjoin.planes(x) for x in own[part]], [setjoin.wide_sketch(x) for x in own[part]]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(sets, pa.binary()), pa.array(wide, pa.list_(pa.int64()))], names=["cls", "doc", "line", "n", "set", "wide"])
 
-    table = stored(lines.mapInArrow(run, "cls long, doc long, line int, n long, set binary, wide array<long>"), folder, "long", _ROW_GROUP)
+    table = stored(lines.mapInArrow(lean(run), "cls long, doc long, line int, n long, set binary, wide array<long>"), folder, "long", _ROW_GROUP)
     entries = met.filter((F.col("kind") == ENTRY) & (F.col("n") >= least)).select("elem", "cls", "n", "doc", "line")
     entries = entries.join(table.select("cls", "wide").dropDuplicates(["cls"]), "cls").withColumns({c: F.lit(0).cast("long") for c in ("pos", "sketch", "sketch2")})
     entries = stored(entries, folder, "long_entries")

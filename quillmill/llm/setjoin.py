@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import stored
+from .frames import in_parts, lean, stored
 from .tokens import mix
 
 #: Leading bits of a hash that columns are counted by: the order takes one byte for each value, 16 MB.
@@ -211,7 +211,7 @@ def rarity(counted: DataFrame) -> Rarity:
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([step(n).tobytes()], pa.binary())], names=["block", "scale"])
 
     scale = np.zeros(1 << SCALE_BITS, np.uint8)
-    for block, raw in _by_block(counted).mapInArrow(total, "block int, scale binary").collect():  # 16 MB at most
+    for block, raw in _by_block(counted).mapInArrow(lean(total), "block int, scale binary").collect():  # 16 MB at most
         scale[block * width : (block + 1) * width] = np.frombuffer(raw, np.uint8)
     return Rarity(scale)
 
@@ -226,9 +226,9 @@ def counted(p: Plan) -> DataFrame:
             for s in extract(batch):
                 met.add(s.elements)
         blocks, places, n = met.rows()
-        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(places, pa.binary()), pa.array(n, pa.binary())], names=["block", "place", "n"])
+        yield from in_parts(pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(places, pa.binary()), pa.array(n, pa.binary())], names=["block", "place", "n"]))
 
-    return p.docs.mapInArrow(count, Counts.fields)
+    return p.docs.mapInArrow(lean(count), Counts.fields)
 
 
 def sorted_order(k: np.ndarray, bits: int) -> np.ndarray:
@@ -331,10 +331,10 @@ def columns(p: Plan, rare: Rarity, small: int = SMALL, flush: int = FLUSH) -> Da
                 found.append([s.elements[at] >> np.uint64(shift), class_ids(s)[of], s.doc[of], s.line[of], sizes[of].astype(np.uint32), np.minimum(pos, 65535).astype(np.uint16), s.sketch[of, 0], s.sketch[of, 1]])
                 held += len(at)
                 if held >= flush:
-                    yield packed(found)
+                    yield from in_parts(packed(found))
                     found, held = [], 0
         if held:
-            yield packed(found)
+            yield from in_parts(packed(found))
 
     def meet(batches):
         for block, parts in _groups(batches, len(_ENTRY)):
@@ -365,8 +365,8 @@ def columns(p: Plan, rare: Rarity, small: int = SMALL, flush: int = FLUSH) -> Da
                 arrays = [elem.astype(np.int64), cls[o].astype(np.int64), n[o].astype(np.int64), pos[o].astype(np.int32), sketch[o].astype(np.int64), sketch2[o].astype(np.int64), doc[o], line[o], cls[q].astype(np.int64), n[q].astype(np.int64), doc[q], line[q]]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["elem", "cls", "n", "pos", "sketch", "sketch2", "doc", "line", "pivot", "pivot_n", "pivot_doc", "pivot_line"])
 
-    dealt = p.docs.mapInArrow(deal, "block int, rem binary, cls binary, doc binary, line binary, n binary, pos binary, sketch binary, sketch2 binary")
-    rows = _by_block(dealt).mapInArrow(meet, "elem long, cls long, n long, pos int, sketch long, sketch2 long, doc long, line int, pivot long, pivot_n long, pivot_doc long, pivot_line int")
+    dealt = p.docs.mapInArrow(lean(deal), "block int, rem binary, cls binary, doc binary, line binary, n binary, pos binary, sketch binary, sketch2 binary")
+    rows = _by_block(dealt).mapInArrow(lean(meet), "elem long, cls long, n long, pos int, sketch long, sketch2 long, doc long, line int, pivot long, pivot_n long, pivot_doc long, pivot_line int")
     return stored(rows, p.folder, "columns")
 
 
@@ -412,7 +412,7 @@ def bloom(rows: DataFrame, expected: int, key: Callable[..., np.ndarray] = place
                 h = Bloom.hash(x, k, bits)
                 np.bitwise_or.at(words, h >> np.uint64(6), np.uint64(1) << (h & np.uint64(63)))
         full = [i for i in range(slices) if words[i * width : (i + 1) * width].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([words[i * width : (i + 1) * width].tobytes() for i in full], pa.binary())], names=["slice", "bits"])
+        yield from in_parts(pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([words[i * width : (i + 1) * width].tobytes() for i in full], pa.binary())], names=["slice", "bits"]))
 
     def merge(batches):
         # the rows of a slice stand together
@@ -423,7 +423,7 @@ def bloom(rows: DataFrame, expected: int, key: Callable[..., np.ndarray] = place
                 own[i] = own[i] | x if i in own else x
         yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array([x.tobytes() for x in own.values()], pa.binary())], names=["slice", "bits"])
 
-    parts = rows.mapInArrow(part, "slice int, bits binary").repartition("slice").mapInArrow(merge, "slice int, bits binary").collect()
+    parts = rows.mapInArrow(lean(part), "slice int, bits binary").repartition("slice").mapInArrow(lean(merge), "slice int, bits binary").collect()
     words = np.zeros(bits // 64, np.uint64)
     for i, raw in parts:
         words[i * width : (i + 1) * width] = np.frombuffer(raw, np.uint64)
@@ -452,7 +452,7 @@ def members(p: Plan, cols: DataFrame) -> DataFrame:
                 wide, broad = ([None if x is None else f(x) for x in own] for f in (wide_sketch, broad_sketch))
                 yield pa.RecordBatch.from_arrays([pa.array(s.doc[some]), pa.array(s.line[some], pa.int32()), pa.array(ids[some].astype(np.int64)), pa.array(sizes[some]), pa.array(wide, pa.list_(pa.int64())), pa.array(broad, pa.binary())], names=["doc", "line", "cls", "n", "wide", "broad"])
 
-    return stored(p.docs.mapInArrow(run, "doc long, line int, cls long, n long, wide array<long>, broad binary"), p.folder, "members")
+    return stored(p.docs.mapInArrow(lean(run), "doc long, line int, cls long, n long, wide array<long>, broad binary"), p.folder, "members")
 
 
 def fetched(p: Plan, keys: DataFrame) -> DataFrame:
@@ -469,7 +469,7 @@ def fetched(p: Plan, keys: DataFrame) -> DataFrame:
                     sets = [planes(s.elements[s.bounds[i] : s.bounds[i + 1]]) for i in some.tolist()]
                     yield pa.RecordBatch.from_arrays([pa.array(ids[some].astype(np.int64)), pa.array(s.doc[some]), pa.array(s.line[some], pa.int32()), pa.array(sets, pa.binary())], names=["cls", "doc", "line", "set"])
 
-    return (p.docs if expected else p.docs.limit(0)).mapInArrow(run, "cls long, doc long, line int, set binary")
+    return (p.docs if expected else p.docs.limit(0)).mapInArrow(lean(run), "cls long, doc long, line int, set binary")
 
 
 #: A pair: two classes, each with its first place, at which its set is found.
@@ -510,7 +510,7 @@ def likely(pairs: DataFrame, table: DataFrame, folder: str, name: str) -> DataFr
             yield batch.select(PAIR).take(pa.array(keep, pa.int64()))
 
     pairs = stored(pairs, folder, f"{name}_likely")
-    return _beside(pairs, _keys(pairs, folder, f"{name}_sketched"), table, "broad").mapInArrow(run, _PAIR_FIELDS)
+    return _beside(pairs, _keys(pairs, folder, f"{name}_sketched"), table, "broad").mapInArrow(lean(run), _PAIR_FIELDS)
 
 
 def verified(pairs: DataFrame, table: DataFrame, folder: str, name: str, of: Plan | None = None) -> DataFrame:
@@ -541,7 +541,7 @@ def verified(pairs: DataFrame, table: DataFrame, folder: str, name: str, of: Pla
     some = _keys(pairs, folder, f"{name}_needed")
     if of:
         table = stored(fetched(of, some), folder, f"{name}_sets", SETS_GROUP)
-    return _beside(pairs, some, table, "set").mapInArrow(run, f"{_PAIR_FIELDS}, common long, together long")
+    return _beside(pairs, some, table, "set").mapInArrow(lean(run), f"{_PAIR_FIELDS}, common long, together long")
 
 
 def first_pairs(cols: DataFrame) -> DataFrame:
@@ -621,7 +621,7 @@ def ring_pairs(rows: DataFrame) -> DataFrame:
 
     key = F.xxhash64("cls", "elem")
     order = rows.select("elem", "cls", "n", "doc", "line", "root", "wide", key.alias("h")).repartitionByRange("elem", "h").sortWithinPartitions("elem", "h")
-    found = order.mapInArrow(run, "a long, a_doc long, a_line int, b long, b_doc long, b_line int").groupBy(*PAIR).agg(F.count("*").alias("c"))
+    found = order.mapInArrow(lean(run), "a long, a_doc long, a_line int, b long, b_doc long, b_line int").groupBy(*PAIR).agg(F.count("*").alias("c"))
     # the most frequent of each of BEST parts of its partners
     per = found.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(BEST)))
     best = per.groupBy("a", "a_doc", "a_line", "part").agg(F.max(F.struct("c", "b", "b_doc", "b_line")).alias("m"))

@@ -6,14 +6,16 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillmill.llm import decontaminate, language_id, licenses, line_dedup, mixing, ngram_join, quality_model, quality_rules, queries, secrets, setjoin, tokens, warc
-from quillmill.llm.frames import shared_folder
+from quillmill.llm.frames import BATCH_BYTES, READ_ROWS, bounded_batches, in_parts, shared_folder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, cls int, __x string"
 
@@ -1090,3 +1092,24 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     rows = mix(spark, now, sf).collect()
     assert {x.doc_id: x.text for x in rows} == left and len({(x.mix_slot, x.mix_place) for x in rows}) == len(rows)
     assert sorted(map(repr, corpus_pipeline.run(spark, sf).collect())) == sorted(map(repr, rows))
+
+
+def test_tasks_give_out_small_batches_and_read_few_rows():
+    """The JVM takes buffers for whole batches, and arrays for all texts that it reads at a time, and keeps them."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array([" ".join(words(500, i, 10**6)) for i in range(2000)])], names=["id", "text"])
+    run = setjoin.counted(setjoin.Plan(SimpleNamespace(mapInArrow=lambda fn, _: fn), ngram_join.extract, "", 8, 0))
+    met, got = setjoin.Counts(), list(run(iter([batch])))
+    for s in ngram_join.extract(batch):
+        met.add(s.elements)
+    assert tuple(sum((x.column(c).to_pylist() for x in got), []) for c in range(3)) == met.rows()
+    assert sum(x.nbytes for x in got) > 4 << 20 and max(x.nbytes for x in got) < 2 << 20
+
+    odd = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array([b"x" * n for n in (5, 0, 5, 20, 3, 3, 3, 1, 0)], pa.binary()), pa.array([None] * 9, pa.binary())], names=["a", "b", "c"])
+    assert [x.to_pylist() for x in in_parts(odd, 10)] == [odd.to_pylist()[a:b] for a, b in ((0, 3), (3, 4), (4, 9))]
+    assert [len(x) for x in in_parts(odd.slice(3), 10)] == [1, 5] and not list(in_parts(odd.slice(9), 10))
+
+    rows, size = "spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxBytesPerBatch"
+    for given, held in (({}, {rows: str(READ_ROWS), size: str(BATCH_BYTES)}), ({rows: "77", size: "99"}, {rows: "77", size: "99"})):
+        conf = dict(given)
+        bounded_batches(SimpleNamespace(conf=SimpleNamespace(get=conf.get, set=conf.__setitem__)))
+        assert conf == held
