@@ -8,7 +8,7 @@ tokens; rules that need a lexer and follow each other share one Arrow pass.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from itertools import groupby
@@ -21,7 +21,7 @@ from pyspark.sql.types import StringType
 from ..functions.lexers import JAVA_PATTERNS
 from ..operators import symbols
 from .dsl import expand, parse, read_script
-from .registry import Registry, Rule, default_registry
+from .registry import Registry, Rule, default_registry, relevant
 
 #: Files to an Arrow batch: whole texts are large rows.
 BATCH = 256
@@ -37,7 +37,7 @@ class Plan:
 
     def relevant(self, path: Column) -> Column:
         """Paths that a rule is for."""
-        return reduce(lambda a, b: a | b, (r.relevant(path) for r in self.rules), F.lit(False))
+        return relevant(self.rules, path)
 
     def single(self, i: int) -> Plan:
         return Plan(self.name, (self.rules[i],))
@@ -73,18 +73,26 @@ def _steps(rules: tuple[Rule, ...]) -> Iterator[tuple[str | None, list[Rule]]]:
         yield lang, list(group)
 
 
+def _by_ending(rules: list[Rule]) -> Callable[[str], list[Rule]]:
+    """The rules that may take a path, by what follows its last dot."""
+    endings = [[None if s.startswith("/") and "." not in s else s.rpartition(".")[2] for s in r.suffixes] for r in rules]
+    other = [r for r, known in zip(rules, endings, strict=True) if None in known]
+    table = {e: [r for r, known in zip(rules, endings, strict=True) if e in known or None in known] for known in endings for e in known if e is not None}
+    return lambda path: table.get(path[path.rfind(".") + 1 :], other)
+
+
 def _arrow_step(rules: list[Rule]):
     """A function of Arrow columns that does the rules in order; texts that none of them is for never get here."""
 
     @F.arrow_udf(StringType())
     def run(path: pa.Array, text: pa.Array) -> pa.Array:
-        out = []
-        for p, t in zip(path.to_pylist(), text.to_pylist(), strict=True):
-            if t is not None and p is not None:
-                for r in rules:
+        # whole columns as objects: to_pylist makes a scalar of each value first
+        out, some = text.to_numpy(zero_copy_only=False).tolist(), _by_ending(rules)
+        for i, p in enumerate(path.to_numpy(zero_copy_only=False).tolist()):
+            if p is not None and out[i] is not None:
+                for r in some(p):
                     if r.takes(p):
-                        t = r.apply(t)
-            out.append(t)
+                        out[i] = r.apply(out[i])
         return pa.array(out, pa.string())
 
     return run
@@ -105,7 +113,7 @@ def rewritten(files: DataFrame, plan: Plan, path_col: str = "path", text_col: st
         if lang:
             new = F.when(rules[0].relevant(path), symbols.renamed(lang, now, [r.rename for r in rules])).otherwise(now)
         else:
-            new = F.when(_any_step(rules, path, now), _arrow_step(rules)(path, F.when(_any_step(rules, path, now), now))).otherwise(now)
+            new = F.coalesce(_arrow_step(rules)(path, F.when(_any_step(rules, path, now), now)), now)
         out = out.withColumn(out_col, new)
     return out
 
@@ -114,7 +122,7 @@ def _any_step(rules: list[Rule], path: Column, text: Column) -> Column:
     # a rule may bring in what a later one looks for, so only the first rule's needle can be asked for alone
     if len(rules) == 1:
         return _gate(rules, path, text)
-    return reduce(lambda a, b: a | b, (r.relevant(path) for r in rules))
+    return relevant(rules, path)
 
 
 def changes(files: DataFrame, plan: Plan, path_col: str = "path", text_col: str = "text") -> DataFrame:

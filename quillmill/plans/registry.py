@@ -7,11 +7,12 @@ A rule is either a column expression (``columns``) or a function of one text
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from ..errors import UnsupportedOperation
 from ..operators import calls, imports, manifests, symbols
@@ -49,14 +50,16 @@ class Rule:
 
     def relevant(self, path: Column) -> Column:
         """By the path alone, so that other files are never read."""
-        tests = []
-        for s in self.suffixes:
-            tests.append((path == s[1:]) | path.endswith(s) if s.startswith("/") else path.rlike(rf"[^/]\.{s}$"))
-        return reduce(lambda a, b: a | b, tests)
+        return relevant((self,), path)
 
     def takes(self, path: str) -> bool:
-        name = path.rpartition("/")[2]
-        return any(name == s[1:] if s.startswith("/") else name.endswith(f".{s}") and len(name) > len(s) + 1 for s in self.suffixes)
+        for s in self.suffixes:
+            if s.startswith("/"):
+                if path.endswith(s) or path == s[1:]:
+                    return True
+            elif path.endswith(f".{s}") and path[-len(s) - 2 : -len(s) - 1] not in ("", "/"):
+                return True
+        return False
 
     def apply(self, text: str) -> str:
         """The rule on one text, whichever form it has."""
@@ -67,6 +70,15 @@ class Rule:
         return self.function(text)
 
 
+def relevant(rules: Iterable[Rule], path: Column) -> Column:
+    """Whether one of the rules is for the path: all extensions are one regular expression."""
+    suffixes = dict.fromkeys(s for r in rules for s in r.suffixes)
+    tests = [(path == s[1:]) | path.endswith(s) for s in suffixes if s.startswith("/")]
+    if endings := [s for s in suffixes if not s.startswith("/")]:
+        tests.insert(0, path.rlike(rf"[^/]\.(?:{'|'.join(endings)})$"))
+    return reduce(lambda a, b: a | b, tests, F.lit(False))
+
+
 @dataclass
 class Backend:
     """A language: its modules, and a builder for each (module, action)."""

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from quillmill import cli
 from quillmill.errors import ConfigError
 from quillmill.operators import symbols
-from quillmill.plans import api, catalog, run
-from quillmill.plans.compiler import changes, compile_script
+from quillmill.plans import api, catalog, registry, run
+from quillmill.plans.compiler import Plan, changes, compile_script, rewritten
 from quillmill.sources import files, globs, sinks
 from quillmill.streaming import stream
 
@@ -230,3 +230,18 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(60)
     assert [r.after for r in spark.read.parquet(f"{tmp_path}/out/changes").collect()] == ["new"]
     assert spark.read.parquet(f"{tmp_path}/out/summary").agg(F.sum("files_seen")).first()[0] == 2
+
+
+def test_paths_are_asked_about_once_a_step(spark, tables):
+    ch = changes(catalog._mixed_files(spark, tables).limit(1), catalog._mixed_plan())
+    said = ch._jdf.queryExecution().executedPlan().toString().split("Union")[0]
+    assert 0 < said.count("RLIKE(") <= 3
+
+
+def test_rules_by_the_ending_of_a_path(spark):
+    suffixes = [("go",), ("d.ts", "ts"), ("/Cargo.toml",), ("/Makefile", "mk"), ("py",)]
+    rules = [registry.Rule(None, s, lambda t, i=i: f"{t}{i}") for i, s in enumerate(suffixes)]
+    want = {"a.go": "0", "x/.go": "", ".go": "", "go": "", "a.d.ts": "1", "x/.d.ts": "1", "x/.ts": "", "Cargo.toml": "2", "a/Cargo.toml": "2", "a/MyCargo.toml": "", "Makefile": "3", "a.b/Makefile": "3", "é.mk": "3", "a.py": "4", "a.py\n": "", "": ""}
+    df = spark.createDataFrame(list(want.items()), "path string, want string")
+    got = rewritten(df.withColumn("text", F.lit("")), Plan("t", tuple(rules))).collect()
+    assert {r.path: r.after for r in got} == want == {p: "".join(str(i) for i, r in enumerate(rules) if r.takes(p)) for p in want}

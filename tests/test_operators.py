@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from quillmill.errors import ConfigError, ParseError, UnsupportedOperation
 from quillmill.functions.lexers import lex
 from quillmill.functions.template import render
+from quillmill.operators import imports
 from quillmill.operators.edits import apply_edits, drop_lines, unified_diff
 from quillmill.plans import api, dsl, registry
 from quillmill.plans.catalog import CASES, script
@@ -151,3 +152,46 @@ def test_the_first_backend_of_a_name_stays():
     r = registry.default_registry()
     r.register(own)
     assert r.get("go").description != "mine"
+
+
+@pytest.mark.parametrize(
+    "rule, path, head, after",
+    [
+        ('match python::import "sys" { ensure }', "a.py", '"""Doc."""\nfrom __future__ import (a,\n b)\nx = 1\n', '"""Doc."""\nfrom __future__ import (a,\n b)\nimport sys\nx = 1\n'),
+        ('match python::import "sys" { ensure }', "a.py", "x = 1\n", "import sys\nx = 1\n"),
+        ('match java::package "a.b" { replace "c" }', "A.java", "// a.b\npackage a.b;\n", "// a.b\npackage c;\n"),
+        ('match java::import "q.Q" { ensure }', "A.java", "package a;\n", "package a;\n\nimport q.Q;\n"),
+        ('match go::import "log" { ensure }', "a.go", "package a\n", 'package a\n\nimport "log"\n'),
+    ],
+)
+def test_a_text_is_read_no_further_than_its_head(monkeypatch, rule, path, head, after):
+    read = [0]
+
+    def counted(f):
+        def g(*args):
+            for t in f(*args):
+                read[0] += 1
+                yield t
+
+        return g
+
+    monkeypatch.setattr(imports, "lex", counted(imports.lex))
+    monkeypatch.setattr(imports, "code", lambda *args, f=imports.code: list(counted(f)(*args)))
+    rest = "f(x) = { y }\n" * 2000
+    assert rewrite(rule, head + rest, path) == after + rest
+    assert read[0] < 30
+
+
+@pytest.mark.parametrize(
+    "path, rule, text",
+    [
+        ("a.py", 'match python::import "old.mod" { ensure }', "import old \\\n  . mod.sub\n"),
+        ("a.py", 'match python::import "old.mod" { ensure }', "import a, old.  mod\n"),
+        ("a.py", 'match python::import "old.mod" { ensure }', "if x:\n    import old . mod as m # c\n"),
+        ("a.py", 'match python::import "a.b" { ensure }', "import (x, a # c\n # d\n .b.c)\n"),
+        ("A.java", 'match java::import "a.b" { ensure }', "import a /* c */ . // d\n b ;\n"),
+        ("A.java", 'match java::import "a.b" { ensure }', "import static a .\n b.*;\n"),
+    ],
+)
+def test_names_broken_by_blanks_and_comments_are_found(path, rule, text):
+    assert rewrite(rule, text, path) == text
